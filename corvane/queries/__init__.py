@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from corvane.queries import evaluation, profiles, relations, scalars, scans  # noqa: F401
+from corvane.queries import evaluation, graphs, profiles, relations, retrieval, scalars, scans  # noqa: F401
 from corvane.queries.registry import ORACLES, QUERIES  # noqa: F401
