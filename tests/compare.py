@@ -60,7 +60,8 @@ def main() -> None:
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = tuple(p.lower() for p in sys.argv[2:])
-    spark = build_session("compare", "local[8]", 8, spark__driver__memory="16g")
+    spark = build_session("compare", "local[8]", 8, spark__driver__memory="16g",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, run in entry.queries().items():
