@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The cleaning patterns, applied in this order.
@@ -20,9 +20,12 @@ def joined_text(*parts: str, sep: str = " ") -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Lower-case letters and digits only, after URLs, inline math and commands are blanked."""
+    """Lower-case letters and digits only, after URLs, inline math and commands are blanked.
+
+    Replacing runs of other characters already leaves single spaces, so the last pattern needs no pass of its own.
+    """
     out = F.lower(text)
-    for pattern in CLEANING_ORDER:
+    for pattern in CLEANING_ORDER[:-1]:
         out = F.regexp_replace(out, pattern, " ")
     return F.trim(out)
 
@@ -108,3 +111,9 @@ def hash_fraction(key: Column, seed: object, fraction: float) -> Column:
 def hash_order(key: Column, seed: object) -> Column:
     """Pseudo-random sort key: md5 of seed and key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def exploded(df: DataFrame, tokens: str | Column, name: str, *keep: str) -> DataFrame:
+    """One row per token. The outer form keeps the optimizer from evaluating an expensive token expression a
+    second time as a filter below the explode."""
+    return df.select(*keep, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())

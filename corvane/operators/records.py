@@ -78,7 +78,7 @@ def in_periods(df: DataFrame, periods: Sequence[tuple[int, int]], min_docs: int
 
 
 def with_pretty_categories(df: DataFrame, category_map: DataFrame, key: str = "id",
-                           out_col: str = "pretty_categories", max_inline: int = 10_000) -> DataFrame:
+                           out_col: str = "pretty_categories", max_inline: int = 500) -> DataFrame:
     """Category codes replaced by their names (the code itself when unknown), repeats dropped, in order.
 
     A dictionary of at most ``max_inline`` names travels as one map value and the papers are not shuffled; a

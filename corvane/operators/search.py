@@ -18,6 +18,7 @@ from corvane.functions import numeric
 from corvane.functions import text as tx
 from corvane.operators import features
 from corvane.plans.ranking import top_k_per_group
+from corvane.plans.runtime import cut_lineage
 
 # Saturation and length normalisation of BM25.
 K1 = 1.2
@@ -75,12 +76,15 @@ def bm25(index: DataFrame, terms: DataFrame, n_docs, mean_length, k1: float = K1
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "id", text_col: str = "text_clean",
                 k1: float = K1, b: float = B) -> DataFrame:
-    """Top k documents per query text."""
-    index = inverted_index(docs, key, text_col)
-    sizes = features.tokenised(docs.select(F.col(text_col).alias("text_clean"))).select(
-        F.size("tokens").alias("n")).where(F.col("n") > 0)
+    """Top k documents per query text. The index is built once; all statistics are read from it."""
+    return bm25_on_index(cut_lineage(inverted_index(docs, key, text_col)), queries, k, k1, b)
+
+
+def bm25_on_index(index: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
+    """The same on a stored index, as ``write_index`` returns it."""
+    sizes = index.groupBy("doc_id").agg(F.max("doc_length").alias("n"))
     n_docs, mean_length = sizes.agg(F.count("*")).scalar(), sizes.agg(F.avg("n")).scalar()
-    return ranked(bm25(index, query_terms(queries), n_docs, mean_length, k1, b), k)
+    return ranked(bm25(index, cut_lineage(query_terms(queries)), n_docs, mean_length, k1, b), k)
 
 
 def bm25_like(docs: DataFrame, ids: Sequence, k: int = 20, key: str = "id", text_col: str = "text_clean") -> DataFrame:
@@ -97,12 +101,13 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str = "id", text_col:
                  min_doc_freq: int = 0) -> DataFrame:
     """(query_id, doc_id, score) of every document sharing a weighted term with the query."""
     tokens = features.tokenised(docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text_clean")))
-    postings = features.term_counts(tokens, "doc_id")
+    postings = cut_lineage(features.term_counts(tokens, "doc_id"))
     n_docs = docs.agg(F.count("*")).scalar()
-    idf = (features.document_frequency(postings).where(F.col("df") >= min_doc_freq)
-           .select("term", features.smoothed_idf(n_docs, F.col("df")).alias("idf")))
+    idf = cut_lineage(features.document_frequency(postings).where(F.col("df") >= min_doc_freq)
+                      .select("term", features.smoothed_idf(n_docs, F.col("df")).alias("idf")))
     weights = postings.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    asked = query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    asked = cut_lineage(query_terms(queries).join(idf, "term")
+                        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw")))
     asked_size = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_size"))
     size = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     dots = (weights.join(asked, "term").groupBy("query_id", "doc_id")

@@ -48,9 +48,10 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
     right = weights.select(F.col("topic").alias("topic_2"), "term", F.col("weight").alias("w2"))
     dots = (left.join(right, "term").where(F.col("topic_1") < F.col("topic_2"))
             .groupBy("topic_1", "topic_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot")))
-    one = sizes.select(F.col("topic").alias("topic_1"), F.col("size").alias("s1"))
-    two = sizes.select(F.col("topic").alias("topic_2"), F.col("size").alias("s2"))
-    pairs = one.join(two, F.col("topic_1") < F.col("topic_2"))
+    listed = sizes.agg(F.collect_list(F.struct("topic", "size"))).scalar()  # one entry per topic
+    pairs = (sizes.select(F.col("topic").alias("topic_1"), F.col("size").alias("s1"), F.explode(listed).alias("t"))
+             .select("topic_1", "s1", F.col("t.topic").alias("topic_2"), F.col("t.size").alias("s2"))
+             .where(F.col("topic_1") < F.col("topic_2")))
     return (pairs.join(dots, ["topic_1", "topic_2"], "left")
             .select("topic_1", "topic_2", numeric.ratio(F.coalesce("dot", F.lit(0.0)),
                                                         F.col("s1") * F.col("s2")).alias("cosine")))
@@ -65,8 +66,8 @@ def diversity(words: DataFrame, fixed_top: int | None = None) -> DataFrame:
 def class_tfidf(docs: DataFrame, topic: str = "topic", tokens_col: str = "tokens", noise: int = -1) -> DataFrame:
     """Class-based TF-IDF: tf of a term in a topic times ln(1 + A / f), f its total count and A the mean number
     of words per topic. Noise counts towards f and A as a topic of its own but gets no words."""
-    counts = (docs.select(F.col(topic).alias("topic"), F.explode(tokens_col).alias("term"))
-              .groupBy("topic", "term").agg(F.count("*").alias("tf")))
+    counts = cut_lineage(tx.exploded(docs.withColumn("topic", F.col(topic)), tokens_col, "term", "topic")
+                         .groupBy("topic", "term").agg(F.count("*").alias("tf")))
     totals = counts.groupBy("term").agg(F.sum("tf").alias("f"))
     mean_words = counts.agg(F.sum("tf") / F.count_distinct("topic")).scalar()
     return (counts.where(F.col("topic") != noise).join(totals, "term")
@@ -129,6 +130,7 @@ def word_pairs(words: DataFrame) -> DataFrame:
 
 def counted_pairs(words: DataFrame, docs: DataFrame, window: int | None, tokens_col: str) -> tuple[DataFrame, Column]:
     """Pairs with the counts n_1, n_2 and n_12, and the number of windows."""
+    words = cut_lineage(words)
     listed = [r["term"] for r in words.select("term").distinct().limit(MAX_TOPIC_WORDS + 1).collect()]
     counts = cut_lineage(presence_counts(docs, listed, window, tokens_col))
     own = counts.where(F.col("w1") == F.col("w2"))

@@ -112,7 +112,7 @@ def _(t):
 @query("K01_top_values", """
     SELECT token, CAST(count(*) AS BIGINT) AS n FROM tokens GROUP BY token ORDER BY n DESC, token LIMIT 50""")
 def _(t):
-    tokens = (t.clean_docs().select(F.explode(F.split("text_clean", " ")).alias("token")).where(F.col("token") != ""))
+    tokens = tx.exploded(t.clean_docs(), F.split("text_clean", " "), "token").where(F.col("token") != "")
     return records.top_values(tokens, "token", 50)
 
 

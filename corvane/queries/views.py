@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.plans.runtime import spread
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
          "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# Tables whose rows are costly to process, with their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 
 def clean_sql(expr: str) -> str:
     """SQL twin of ``text.clean``."""
@@ -102,7 +106,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in GIVEN:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table, TEXT_TABLES[name]) if name in TEXT_TABLES else table
 
     def papers(self) -> DataFrame:
         quality = F.when(F.col("quality") == 1, "q.hi").when(F.col("quality") == 0, "q.lo")
@@ -175,6 +180,6 @@ class Tables:
             F.col("lang").alias("group_name")).distinct()
 
     def lemma_dict(self) -> DataFrame:
-        token = F.explode(F.split("text_clean", " ")).alias("form")
-        return (self.clean_docs().select(token).where(F.col("form").rlike("^[a-z]{2,}(ing|ed|s)$")).distinct()
+        forms = tx.exploded(self.clean_docs(), F.split("text_clean", " "), "form")
+        return (forms.where(F.col("form").rlike("^[a-z]{2,}(ing|ed|s)$")).distinct()
                 .withColumn("lemma", F.regexp_replace("form", "(ing|ed|s)$", "")))
