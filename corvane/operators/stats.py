@@ -11,6 +11,7 @@ from corvane.functions import text as tx
 from corvane.functions.numeric import non_negative_long
 from corvane.operators.records import exploded_categories, frequency, top_values
 from corvane.plans.ranking import global_rank
+from corvane.plans.runtime import cut_lineage
 from corvane.sources.scan import hash_sample
 
 PAIR_BLOCK = 256
@@ -108,7 +109,7 @@ def top_pairs(df: DataFrame, group: str, member: str, k: int = 20, probe: int =
     A pair shares at most as many groups as its rarer member has. The k-th best count among the ``probe`` most
     frequent members is therefore a floor: members below it cannot be part of the answer.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
+    rows = cut_lineage(df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct())
     counts = rows.groupBy("m").agg(F.count("*").alias("n"))
     often = counts.orderBy(F.desc("n"), "m").limit(probe).select("m")
     best = (pair_counts(rows.join(often, "m", "left_semi"), "g", "m")

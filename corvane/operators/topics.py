@@ -232,6 +232,7 @@ def per_group(docs: DataFrame, group: str, min_docs: int, fit: Callable[[DataFra
     """``fit`` for every group with enough documents; words and metrics carry the group's name. Every fit runs
     over the cluster, one after the other; a group that fails is logged and the others go on. The number of
     groups is what reaches the driver."""
+    docs = cut_lineage(docs)
     sizes = docs.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     names = [r[0] for r in sizes.orderBy(F.desc("n"), group).limit(max_groups + 1).collect()]
     if len(names) > max_groups:
@@ -271,14 +272,15 @@ def lda_per_period(docs: DataFrame, periods: Sequence[tuple[int, int]], min_docs
                    vocab_size: int = 50_000, min_df: float = 20.0, max_df: float = 0.9,
                    max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
     """``docs`` has year and tokens; windows may overlap."""
-    sliced = cut_lineage(in_periods(docs, periods, min_docs))
+    sliced = in_periods(docs, periods, min_docs)
     return per_group(sliced, "period", 1, lambda part: lda(part, k, max_iter, vocab_size, min_df, max_df))
 
 
 def nmf_topics(docs: DataFrame, key: str = "id", k: int = 5, max_iter: int = 400, max_df: float = 0.9,
                min_df: float = 0.001, max_features: int = 30_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Topic weights and one row with the number of rounds and the first and last residual."""
-    rows, vocabulary = nmf.tfidf_rows(docs, key, "tokens", max_df, min_df, max_features)
+    tokens = cut_lineage(docs.select(key, "tokens"))
+    rows, vocabulary = nmf.tfidf_rows(tokens, key, "tokens", max_df, min_df, max_features)
     result = nmf.factorise(rows, vocabulary, k, max_iter, seed=seed)
     spark = docs.sparkSession
     row = spark.createDataFrame([(k, len(vocabulary), len(result.residuals), result.residuals[0], result.residuals[-1])],
@@ -395,5 +397,5 @@ def repeated_runs(docs: DataFrame, seeds: Sequence[int], fraction: float = 1.0,
 
 def cluster_topics_per_period(docs: DataFrame, periods: Sequence[tuple[int, int]], min_docs: int = 5000,
                               **options) -> tuple[DataFrame, DataFrame]:
-    sliced = cut_lineage(in_periods(docs, periods, min_docs))
+    sliced = in_periods(docs, periods, min_docs)
     return per_group(sliced, "period", 1, lambda part: cluster_topic_run(part, **options))

@@ -14,9 +14,9 @@ from corvane.queries.views import Tables
 
 
 def language_docs(t: Tables):
-    """Clean documents with their language as label."""
-    return t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("label_str"),
-                              tx.clean(F.col("text")).alias("text_clean"))
+    """Clean documents with their language as label, cleaned once for all the passes of a fit."""
+    return cut_lineage(t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("label_str"),
+                                          tx.clean(F.col("text")).alias("text_clean")))
 
 
 def hashed_rows(t: Tables, num_features: int = 1 << 16):
