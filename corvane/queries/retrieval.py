@@ -232,8 +232,8 @@ def _(t):
 
 @query("V08_approximate_neighbours")
 def _(t):
-    found = search.approximate_neighbours(t.embeddings, t.embeddings, 1.0, 10, "vec_id")
-    return shown(found)
+    # 1.41 is the distance of perpendicular unit vectors: no neighbour with a positive cosine is cut off
+    return shown(search.approximate_neighbours(t.embeddings, t.embeddings, 1.41, 10, "vec_id"))
 
 
 @query("V09_bm25_reranked", f"""WITH {bm25_ctes('docs')},
