@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import simhash
+from corvane.llm import simhash, toxicity
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,12 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (simhash.components(table(spark, sf_dir, "documents"))
             .select(F.col("id").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id"))
+
+
+@query("op3_toxicity_chain")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.given_categories())
+    p = F.col("toxicity")
+    return (toxicity.score(docs, chain).select("doc_id", *[p[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)])
+            .withColumn("toxic", F.col("p_toxic") >= 0.5))
