@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import simhash, toxicity
+from corvane.llm import lines, simhash, toxicity
 from corvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("toxicity")
     return (toxicity.score(docs, chain).select("doc_id", *[p[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)])
             .withColumn("toxic", F.col("p_toxic") >= 0.5))
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, count_col="n_removed")
