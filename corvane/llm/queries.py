@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import lines, simhash, toxicity
-from corvane.llm.common import table
+from corvane.llm import lines, simhash, spaced, toxicity
+from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, count_col="n_removed")
+
+
+@query("op4_spaced_seed_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spaced.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    per_document = found.groupBy("key").agg(
+        F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item")), ",").alias("items"))
+    flagged = docs.select("doc_id", row_key("doc_id", "text").alias("key")).join(per_document, "key", "left")
+    return flagged.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"),
+                          F.coalesce("items", F.lit("")).alias("items"), F.col("n_items").isNotNull().alias("contaminated"))
