@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm.common import fresh, row_key
 from corvane.plans.runtime import cut_lineage
@@ -40,37 +41,102 @@ SIEVE_BITS = 1 << 24
 PER_SLICE = COUNTERS // SLICES
 # Similarity 4/5, as the whole numbers in overlap >= 4/9 of both sizes and in the prefix length.
 SAME, OF = 4, 5
-WORDS_AT_ONCE = 2_000_000
+TEXTS_AT_ONCE = 4_000_000  # bytes
+BYTES_AT_ONCE = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_words(text: str | None) -> list[list[bytes]]:
-    return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
-
-
-def line_class(words: list[bytes]) -> int:
-    """The class of a line as a signed long."""
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).astype(np.int64))
-
-
-def hashes(lines: list[list[bytes]]) -> np.ndarray:
-    flat = [w for words in lines for w in words]
-    return np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
-
-
-def in_parts(texts: pa.Array | pa.ChunkedArray, most: int = WORDS_AT_ONCE) -> Iterator[list[tuple[int, int, list[bytes]]]]:
-    """(row, line number, words) of the lines that have words, in lists of bounded size."""
-    part, size = [], 0
-    for row, text in enumerate(texts):
-        for number, words in enumerate(line_words(text.as_py())):
-            if words:
-                part.append((row, number, words))
-                size += len(words)
-                if size >= most:
-                    yield part
-                    part, size = [], 0
-    if part:
-        yield part
+# Fixed values of the hashes: an odd base for bytes within a word, one for words within a line, and their inverses.
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
+BYTE_BACK, WORD_BACK = pow(BYTE_BASE, -1, 1 << 64), pow(WORD_BASE, -1, 1 << 64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+@cache
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, back: int) -> np.ndarray:
+    """A hash of each run values[start:end], the same wherever it stands: a polynomial in ``base``, from running sums."""
+    n = 1 << max(10, int(len(values)).bit_length())  # few sizes of table
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, n)[:len(values)])])
+    return mixed((sums[ends] - sums[starts]) * powers(back, n)[starts])
+
+
+class Words:
+    """The words of some whole texts, as arrays: hash, line (counted over all texts), and for each line with words its
+    text ``row``, its number ``number`` there, its first word ``first`` and its number of words ``n``."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.hash, self.line, self.row, self.number, self.first, self.n = (np.empty(0, t) for t in (
+            np.uint64, np.int64, np.int64, np.int32, np.int64, np.int64))
+        space = SPACE[data]
+        before = np.concatenate([[True], space[:-1]])
+        inner = offsets[:-1][offsets[:-1] < len(data)]
+        before[inner] = True
+        starts = np.flatnonzero(~space & before)
+        if not len(starts):
+            return
+        after = np.concatenate([space[1:], [True]])
+        after[inner[inner > 0] - 1] = True
+        ends = np.flatnonzero(~space & after) + 1
+        self.hash = np.concatenate([
+            run_hashes(LOWER[data[lo:hi]], starts[i:j] - lo, ends[i:j] - lo, BYTE_BASE, BYTE_BACK)
+            for i, j, lo, hi in chunks(starts, ends)])
+        newlines = np.flatnonzero(data == 10)
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        line = np.searchsorted(newlines, starts)  # newlines before the word
+        new = np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
+        self.line = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        self.n = np.diff(np.append(self.first, len(starts)))
+        self.row = row[self.first]
+        self.number = (line[self.first] - np.searchsorted(newlines, offsets[self.row])).astype(np.int32)
+
+    def classes(self) -> np.ndarray:
+        """A hash of each line's sequence of words, as a signed long."""
+        return run_hashes(self.hash, self.first, self.first + self.n, WORD_BASE, WORD_BACK).view(np.int64)
+
+    def only(self, lines: np.ndarray) -> Words:
+        """The given lines alone, in order; their row and number are dropped."""
+        part = Words(np.empty(0, np.uint8), np.zeros(1, np.int64))
+        part.n = self.n[lines]
+        part.first = np.cumsum(part.n) - part.n
+        part.line = np.repeat(np.arange(len(lines)), part.n)
+        part.hash = self.hash[np.arange(len(part.line)) - np.repeat(part.first, part.n) + np.repeat(self.first[lines], part.n)]
+        return part
+
+
+def chunks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of words of BYTES_AT_ONCE bytes or one longer word: (first word, behind the last, first byte, behind the last)."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BYTES_AT_ONCE)))
+        yield i, j, int(starts[i]), int(ends[j - 1])
+        i = j
+
+
+def in_parts(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """The texts a few at a time: (row of the first, words). A part has TEXTS_AT_ONCE bytes, or one longer text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + TEXTS_AT_ONCE, side="right")) - 1)
+        yield i, Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+        i = j
 
 
 # ---- word counts ---------------------------------------------------------------------------------------------
@@ -78,10 +144,8 @@ def in_parts(texts: pa.Array | pa.ChunkedArray, most: int = WORDS_AT_ONCE) -> It
 def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint32)
     for batch in batches:
-        for part in in_parts(batch.column(0)):
-            at = (hashes([words for _, _, words in part]) >> np.uint64(40)).astype(np.int64)
-            slot, n = np.unique(at, return_counts=True)
-            counts[slot] += n.astype(np.uint32)
+        for _, words in in_parts(batch.column(0)):
+            np.add.at(counts, (words.hash >> np.uint64(40)).astype(np.int64), np.uint32(1))
     for s in range(SLICES):
         mine = counts[s * PER_SLICE:(s + 1) * PER_SLICE]
         slot = np.flatnonzero(mine)
@@ -116,30 +180,36 @@ def word_ranks(texts: DataFrame) -> np.ndarray:
 
 # ---- shingles ------------------------------------------------------------------------------------------------
 
-def shingles(lines: list[list[bytes]], ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(words: Words, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, shingle, rarity) of the distinct shingles, sorted by line, rarity, shingle. Rarity 0: occurs once."""
-    h = hashes(lines)
-    lengths = np.array([len(words) for words in lines])
-    line_of = np.repeat(np.arange(len(lines)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    inside = np.arange(len(h)) - starts[line_of]
-    rank = ranks[(h >> np.uint64(40)).astype(np.int64)].astype(np.int64) if ranks is not None else np.ones(len(h), np.int64)
-    first = inside < np.maximum(1, lengths - SHINGLE + 1)[line_of]
-    at = np.flatnonzero(first)
+    h, last = words.hash, np.append(words.hash, np.zeros(SHINGLE, np.uint64))
+    inside = np.arange(len(h)) - words.first[words.line]
+    at = np.flatnonzero(inside < np.maximum(1, words.n - SHINGLE + 1)[words.line])
+    line = words.line[at]
+    room = words.n[line] - inside[at]  # words from here to the line's end
     value = np.full(len(at), 0x51ED270B, np.uint64)
-    rarity, once = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    rarity = np.zeros(len(at), np.int32)
+    if ranks is not None:
+        rank = np.append(ranks[(h >> np.uint64(40)).astype(np.int64)], np.zeros(SHINGLE, np.uint8)).astype(np.int32)
+        once = np.zeros(len(at), bool)
     for k in range(SHINGLE):
-        there = inside[at] + k < lengths[line_of[at]]
-        pick = np.minimum(at + k, len(h) - 1)
-        value = np.where(there, (value ^ h[pick]) * MIX, value)
-        value ^= np.where(there, value >> np.uint64(29), np.uint64(0))
-        rarity += np.where(there, rank[pick], 0)
-        once |= there & (rank[pick] == 0)
-    rarity = np.where(once, 0, rarity + 1)
-    line = line_of[at]
-    order = np.lexsort((value, line * 4096 + np.minimum(rarity, 4095)))
+        there = room > k
+        step = (value ^ last[at + k]) * MIX
+        value = np.where(there, step ^ (step >> np.uint64(29)), value)
+        if ranks is not None:
+            more = rank[at + k]
+            rarity += np.where(there, more, 0)
+            once |= there & (more == 0)
+    if ranks is not None:
+        rarity = np.where(once, 0, rarity + 1)
+    key = (line.astype(np.uint64) << np.uint64(43)) | (rarity.astype(np.uint64) << np.uint64(32)) | (value >> np.uint64(32))
+    order = np.argsort(key) if len(words.n) < 1 << 20 else np.lexsort((value, rarity, line))
+    tied = key[order]
+    tied = tied[1:] == tied[:-1]
+    if (value[order][1:][tied] != value[order][:-1][tied]).any():  # one key, two shingles
+        order = np.lexsort((value, rarity, line))
     line, value, rarity = line[order], value[order], rarity[order]
-    new = np.r_[True, (line[1:] != line[:-1]) | (value[1:] != value[:-1])] if len(line) else np.zeros(0, bool)
+    new = np.append(True, (line[1:] != line[:-1]) | (value[1:] != value[:-1])) if len(line) else np.zeros(0, bool)
     return line[new], value[new], rarity[new]
 
 
@@ -148,45 +218,36 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def prefix_task(ranks: np.ndarray):
-    """(shingle, class, n, at, id, line_no) for the prefix of every line, its certain singles left out."""
+    """(shingle, class, n, at) for the prefix of every class in the task, its certain singles left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            for part in in_parts(batch.column(2)):
-                words = [w for _, _, w in part]
-                line, value, rarity = shingles(words, ranks)
-                n = np.bincount(line, minlength=len(words))
+            for _, words in in_parts(batch.column(0)):
+                own, where = np.unique(words.classes(), return_index=True)
+                line, value, rarity = shingles(words.only(where), ranks)
+                n = np.bincount(line, minlength=len(own))
                 pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
                 keep = (pos < prefix_length(n)[line]) & (rarity > 0)
                 line, value, pos = line[keep], value[keep], pos[keep]
-                own = np.array([line_class(words[i]) if used else 0 for i, used in
-                                enumerate(np.bincount(line, minlength=len(words)) > 0)], np.int64)
-                row = pa.array(np.array([r for r, _, _ in part])[line])
-                number = np.array([k for _, k, _ in part], np.int32)[line]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value.view(np.int64)), pa.array(own[line]), pa.array(n[line].astype(np.int32)),
-                     pa.array(pos.astype(np.int32)), ids.take(row), keys.take(row), pa.array(number)],
-                    ["shingle", "class", "n", "at", "id", "key", "line_no"])
+                     pa.array(pos.astype(np.int32))], ["shingle", "class", "n", "at"])
     return run
 
 
 def set_task(sieve: np.ndarray):
-    """(class, set) of the lines whose classes pass the sieve."""
+    """(class, set) of the lines whose classes pass the sieve, each once for a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[int, list[bytes]] = {}
-            for part in in_parts(batch.column(0)):
-                for _, _, words in part:
-                    own = line_class(words)
-                    if own not in found and sieve[slot := own & (SIEVE_BITS - 1)] :
-                        found[own] = words
-            if found:
-                line, value, _ = shingles(list(found.values()), None)
-                offsets = np.r_[0, np.cumsum(np.bincount(line, minlength=len(found)))].astype(np.int32)
+            for _, words in in_parts(batch.column(0)):
+                own, where = np.unique(words.classes(), return_index=True)
+                passed = sieve[own & (SIEVE_BITS - 1)]
+                own, where = own[passed], where[passed]
+                line, value, _ = shingles(words.only(where), None)
+                offsets = np.append(0, np.cumsum(np.bincount(line, minlength=len(own)))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), sets], ["class", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), sets], ["class", "set"])
     return run
 
 
@@ -229,26 +290,24 @@ def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(both * (SAME + OF) >= (F.size("mine") + F.size("other")) * SAME).select("class", "earlier"))
 
 
-def unique_classes(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(class,) of the classes that an earlier one matches. ``texts``: id, key, text."""
-    ranks = spark.sparkContext.broadcast(word_ranks(texts.select("text")))
-    rows = texts.mapInArrow(lambda batches: prefix_task(ranks.value)(batches),
-                            "shingle long, class long, n int, at int, id long, key long, line_no int")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "line_no")
-    members = rows.groupBy("shingle", "class", "n", "at").agg(F.min(order).alias("first"))
-    groups = (members.groupBy("shingle")
-              .agg(F.count("*").alias("classes"), F.min(F.struct("first", "class", "n", "at")).alias("y"))
-              .where("classes > 1"))
-    met = cut_lineage(members.join(groups, "shingle"))
-    stars = (met.select("shingle", F.struct("class", "n", "at").alias("x"), "y", "classes")
+def later_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class,) of the classes that an earlier one matches. ``classes``: class, first (its first place)."""
+    spark = texts.sparkSession
+    ranks = spark.sparkContext.broadcast(word_ranks(texts))
+    rows = texts.mapInArrow(lambda batches: prefix_task(ranks.value)(batches), "shingle long, class long, n int, at int")
+    meet = Window.partitionBy("shingle")
+    members = (rows.repartition("shingle").distinct()
+               .withColumn("classes", F.count("*").over(meet)).where("classes > 1"))
+    met = cut_lineage(members.join(classes, "class"))
+    earliest = met.groupBy("shingle").agg(F.min(F.struct("first", "class", "n", "at")).alias("y"))
+    stars = (met.select("shingle", F.struct("class", "n", "at").alias("x")).join(earliest, "shingle")
              .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y"))
              .select(F.col("x.class").alias("class"), F.col("y.class").alias("earlier")))
-    sieve = spark.sparkContext.broadcast(sieve_of(met.select("class")))
-    sets = cut_lineage(texts.select("text").mapInArrow(lambda batches: set_task(sieve.value)(batches),
-                                                       "class long, set array<long>")
+    sieve = spark.sparkContext.broadcast(sieve_of(met))
+    sets = cut_lineage(texts.mapInArrow(lambda batches: set_task(sieve.value)(batches), "class long, set array<long>")
                        .groupBy("class").agg(F.first("set").alias("set")))
     settled = cut_lineage(matching(stars, sets).select("class").distinct())
-    shared = met.where("classes > 2").select("shingle", "class", "n", "at", "first", F.col("y.class").alias("centre"))
+    shared = met.where("classes > 2").join(earliest.select("shingle", F.col("y.class").alias("centre")), "shingle")
     x = shared.join(settled, "class", "left_anti").alias("x")
     rest = (x.join(shared.alias("y"), F.expr("x.shingle = y.shingle and y.first < x.first and y.class != x.centre"))
             .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y"))
@@ -260,24 +319,22 @@ def class_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key, class, line_no) of the lines that have words."""
     for batch in batches:
         ids, keys = batch.column(0), batch.column(1)
-        for part in in_parts(batch.column(2)):
-            row = pa.array([r for r, _, _ in part])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(row), keys.take(row), pa.array([line_class(w) for _, _, w in part], pa.int64()),
-                 pa.array([k for _, k, _ in part], pa.int32())], ["id", "key", "class", "line_no"])
+        for start, words in in_parts(batch.column(2)):
+            row = pa.array(words.row + start)
+            yield pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(words.classes()), pa.array(words.number)],
+                                             ["id", "key", "class", "line_no"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, removed, words_left): the numbers of a document's lines to remove, counted from 0, and whether any
     line with words stays. ``key`` is ``row_key(id_col, text_col)``; documents without such lines have no row."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"),
                         F.col(text_col).alias("text"))
-    later = cut_lineage(unique_classes(spark, texts))
     lines = cut_lineage(texts.mapInArrow(class_task, "id long, key long, class long, line_no int"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "line_no")
-    classes = (lines.groupBy("class").agg(F.min(place).alias("first"))
-               .join(later.withColumn("later", F.lit(True)), "class", "left"))
+    firsts = cut_lineage(lines.groupBy("class").agg(F.min(place).alias("first")))
+    later = later_classes(texts.select("text"), firsts)
+    classes = firsts.join(later.withColumn("later", F.lit(True)), "class", "left")
     told = lines.join(classes, "class").select(
         "key", "line_no", (F.coalesce("later", F.lit(False)) | (place != F.col("first"))).alias("gone"))
     return (told.groupBy("key").agg(F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
