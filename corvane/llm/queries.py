@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import lines, simhash, spaced, toxicity
+from corvane.llm import lines, mixing, simhash, spaced, toxicity
 from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = docs.select("doc_id", row_key("doc_id", "text").alias("key")).join(per_document, "key", "left")
     return flagged.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"),
                           F.coalesce("items", F.lit("")).alias("items"), F.col("n_items").isNotNull().alias("contaminated"))
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (mixing.mix(table(spark, sf_dir, "documents"))
+            .select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken"))
