@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import lines, mixing, simhash, spaced, toxicity
+from corvane.llm import lines, mixing, pstable, simhash, spaced, toxicity
 from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mix(table(spark, sf_dir, "documents"))
             .select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken"))
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
