@@ -9,7 +9,7 @@ the sum of the logarithms of the counts of a shingle's words, over all words of
 ``COUNTERS`` counters: its size is fixed, so it can go to every task. Any common order keeps the join exact; the counts
 only make it cheap. A shingle with a word counted once occurs nowhere else: it comes first and needs no row.
 
-Classes that meet in a prefix shingle pass the length and positional filters, first against the earliest class of that
+Classes that meet in a prefix shingle pass the length and positional filters and a bound on their difference, first against the earliest class of that
 shingle, which settles groups of copies without their pairs. Only classes that found no match there are then compared
 with the rest of their shingles' classes. Sets are compared whole (``array_intersect``).
 
@@ -38,6 +38,7 @@ SHINGLE = 5
 COUNTERS = 1 << 24  # one byte each where they are used
 SLICES = 64
 SIEVE_BITS = 1 << 24
+SLOTS = 1 << 20
 PER_SLICE = COUNTERS // SLICES
 # Similarity 4/5, as the whole numbers in overlap >= 4/9 of both sizes and in the prefix length.
 SAME, OF = 4, 5
@@ -141,17 +142,29 @@ def in_parts(texts: pa.Array) -> Iterator[tuple[int, Words]]:
 
 # ---- word counts ---------------------------------------------------------------------------------------------
 
-def count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (id, key, class, line_no) for every line with words; last, rows (slice, counts) of the words counted."""
     counts = np.zeros(COUNTERS, np.uint32)
+    names = ["id", "key", "class", "line_no", "slice", "counts"]
     for batch in batches:
-        for _, words in in_parts(batch.column(0)):
+        ids, keys = batch.column(0), batch.column(1)
+        for start, words in in_parts(batch.column(2)):
             np.add.at(counts, (words.hash >> np.uint64(40)).astype(np.int64), np.uint32(1))
+            row, n = pa.array(words.row + start), len(words.row)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(row), keys.take(row), pa.array(words.classes()), pa.array(words.number),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     for s in range(SLICES):
         mine = counts[s * PER_SLICE:(s + 1) * PER_SLICE]
         slot = np.flatnonzero(mine)
         if len(slot):
             blob = zlib.compress(slot.astype(np.uint32).tobytes() + mine[slot].tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+                + [pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names)
+
+
+FIRST = "id long, key long, class long, line_no int, slice int, counts binary"
 
 
 def add_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,9 +181,9 @@ def add_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"slice": [s], "ranks": [rank.astype(np.uint8).tobytes()]})
 
 
-def word_ranks(texts: DataFrame) -> np.ndarray:
+def word_ranks(slices: DataFrame) -> np.ndarray:
     """For each counter 8 * log2(count), 0 where the count is 1: COUNTERS bytes."""
-    found = (texts.mapInArrow(count_task, "slice int, counts binary").repartition("slice")
+    found = (slices.select("slice", "counts").repartition("slice")
              .mapInPandas(add_counts, "slice int, ranks binary").collect())
     ranks = np.zeros(COUNTERS, np.uint8)
     for r in found:
@@ -218,7 +231,9 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def prefix_task(ranks: np.ndarray):
-    """(shingle, class, n, at) for the prefix of every class in the task, its certain singles left out."""
+    """(shingle, class, n, at, odd) for the prefix of every class in the task, its certain singles left out. Bit b of
+    ``odd`` is set where the set has an odd number of shingles whose hash ends in b: two sets differ in at least as
+    many shingles as their ``odd`` in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,11 +242,13 @@ def prefix_task(ranks: np.ndarray):
                 line, value, rarity = shingles(words.only(where), ranks)
                 n = np.bincount(line, minlength=len(own))
                 pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
+                odd = (np.bitwise_xor.reduceat(np.uint64(1) << (value & np.uint64(63)), np.cumsum(n) - n).view(np.int64)
+                       if len(line) else np.empty(0, np.int64))
                 keep = (pos < prefix_length(n)[line]) & (rarity > 0)
                 line, value, pos = line[keep], value[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value.view(np.int64)), pa.array(own[line]), pa.array(n[line].astype(np.int32)),
-                     pa.array(pos.astype(np.int32))], ["shingle", "class", "n", "at"])
+                     pa.array(pos.astype(np.int32)), pa.array(odd[line])], ["shingle", "class", "n", "at", "odd"])
     return run
 
 
@@ -271,14 +288,20 @@ def sieve_of(classes: DataFrame) -> np.ndarray:
     return sieve
 
 
+def slot_of(key: Column) -> Column:
+    """One of ``SLOTS`` marks of a document, few enough to send to every task."""
+    return F.pmod(key, F.lit(SLOTS))
+
+
 # ---- the join ------------------------------------------------------------------------------------------------
 
 def may_match(x: str, y: str) -> Column:
-    """Length filter, and the bound on the overlap that the positions of a shared shingle give."""
+    """Length filter, and two bounds: on the overlap, from the positions of a shared shingle, and on the difference."""
     nx, ny, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
     bound = F.least(i, j) + 1 + F.least(nx - i, ny - j) - 1
     return ((F.least(nx, ny) * OF >= F.greatest(nx, ny) * SAME)
-            & (bound * (SAME + OF) >= (nx + ny) * SAME))
+            & (bound * (SAME + OF) >= (nx + ny) * SAME)
+            & (F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))) * (SAME + OF) <= (nx + ny) * (OF - SAME)))
 
 
 def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -290,39 +313,48 @@ def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(both * (SAME + OF) >= (F.size("mine") + F.size("other")) * SAME).select("class", "earlier"))
 
 
-def later_classes(texts: DataFrame, classes: DataFrame) -> DataFrame:
+def fetched_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, set) of the wanted (class, first), from the documents where they first stand. Which documents and lines
+    to look at goes to the tasks as marks of fixed number; a few others are looked at in vain."""
+    slots = wanted.select(slot_of(F.col("first.key")).alias("slot")).distinct()
+    sieve = texts.sparkSession.sparkContext.broadcast(sieve_of(wanted))
+    there = (texts.withColumn("slot", slot_of(F.col("key"))).join(F.broadcast(slots), "slot", "left_semi").select("text"))
+    sets = there.mapInArrow(lambda batches: set_task(sieve.value)(batches), "class long, set array<long>")
+    return sets.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
+
+
+def later_classes(texts: DataFrame, ranks: np.ndarray, classes: DataFrame) -> DataFrame:
     """(class,) of the classes that an earlier one matches. ``classes``: class, first (its first place)."""
-    spark = texts.sparkSession
-    ranks = spark.sparkContext.broadcast(word_ranks(texts))
-    rows = texts.mapInArrow(lambda batches: prefix_task(ranks.value)(batches), "shingle long, class long, n int, at int")
+    ranks = texts.sparkSession.sparkContext.broadcast(ranks)
+    rows = texts.select("text").mapInArrow(lambda batches: prefix_task(ranks.value)(batches),
+                                           "shingle long, class long, n int, at int, odd long")
     meet = Window.partitionBy("shingle")
     members = (rows.repartition("shingle").distinct()
                .withColumn("classes", F.count("*").over(meet)).where("classes > 1"))
     met = cut_lineage(members.join(classes, "class"))
-    earliest = met.groupBy("shingle").agg(F.min(F.struct("first", "class", "n", "at")).alias("y"))
-    stars = (met.select("shingle", F.struct("class", "n", "at").alias("x")).join(earliest, "shingle")
-             .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y"))
-             .select(F.col("x.class").alias("class"), F.col("y.class").alias("earlier")))
-    sieve = spark.sparkContext.broadcast(sieve_of(met))
-    sets = cut_lineage(texts.mapInArrow(lambda batches: set_task(sieve.value)(batches), "class long, set array<long>")
-                       .groupBy("class").agg(F.first("set").alias("set")))
-    settled = cut_lineage(matching(stars, sets).select("class").distinct())
+    earliest = met.groupBy("shingle").agg(F.min(F.struct("first", "class", "n", "at", "odd")).alias("y"))
+    stars = (met.select("shingle", F.struct("class", "n", "at", "odd", "first").alias("x")).join(earliest, "shingle")
+             .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y")))
+    settled = cut_lineage(matching(stars, texts))
     shared = met.where("classes > 2").join(earliest.select("shingle", F.col("y.class").alias("centre")), "shingle")
     x = shared.join(settled, "class", "left_anti").alias("x")
     rest = (x.join(shared.alias("y"), F.expr("x.shingle = y.shingle and y.first < x.first and y.class != x.centre"))
-            .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y"))
-            .select(F.col("x.class").alias("class"), F.col("y.class").alias("earlier")))
-    return settled.union(matching(rest, sets).select("class")).distinct()
+            .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y")))
+    return settled.union(matching(rest, texts)).distinct()
 
 
-def class_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, class, line_no) of the lines that have words."""
-    for batch in batches:
-        ids, keys = batch.column(0), batch.column(1)
-        for start, words in in_parts(batch.column(2)):
-            row = pa.array(words.row + start)
-            yield pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(words.classes()), pa.array(words.number)],
-                                             ["id", "key", "class", "line_no"])
+def matching(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class,) of the x whose set matches that of their y in a row of ``met``."""
+    x, y = (F.struct(F.col(f"{s}.class").alias("class"), F.col(f"{s}.first").alias("first")) for s in "xy")
+    pairs = cut_lineage(met.select(x.alias("x"), y.alias("y")).distinct())
+    wanted = cut_lineage(pairs.select(F.explode(F.array("x", "y")).alias("w")).select("w.*").distinct())
+    sets = cut_lineage(fetched_sets(texts, wanted))
+    left = sets.select(F.col("class").alias("class"), F.col("set").alias("mine"))
+    right = sets.select(F.col("class").alias("earlier"), F.col("set").alias("other"))
+    both = F.size(F.array_intersect("mine", "other"))
+    return (pairs.select(F.col("x.class").alias("class"), F.col("y.class").alias("earlier"))
+            .join(left, "class").join(right, "earlier")
+            .where(both * (SAME + OF) >= (F.size("mine") + F.size("other")) * SAME).select("class").distinct())
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,25 +362,33 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     line with words stays. ``key`` is ``row_key(id_col, text_col)``; documents without such lines have no row."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"),
                         F.col(text_col).alias("text"))
-    lines = cut_lineage(texts.mapInArrow(class_task, "id long, key long, class long, line_no int"))
+    scanned = cut_lineage(texts.mapInArrow(first_task, FIRST))
+    lines = scanned.where("slice is null").select("id", "key", "class", "line_no")
+    ranks = word_ranks(scanned.where("slice is not null"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "line_no")
-    firsts = cut_lineage(lines.groupBy("class").agg(F.min(place).alias("first")))
-    later = later_classes(texts.select("text"), firsts)
-    classes = firsts.join(later.withColumn("later", F.lit(True)), "class", "left")
-    told = lines.join(classes, "class").select(
-        "key", "line_no", (F.coalesce("later", F.lit(False)) | (place != F.col("first"))).alias("gone"))
-    return (told.groupBy("key").agg(F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line_no")))).alias("removed"),
-                                    F.bool_or(~F.col("gone")).alias("words_left"))
-            .where(F.size("removed") > 0))
+    firsts = cut_lineage(lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("lines")))
+    later = later_classes(texts.select("key", "text"), ranks, firsts.select("class", "first"))
+    classes = (firsts.join(later.withColumn("later", F.lit(True)), "class", "left")
+               .where("later or lines > 1").select("class", "first", F.coalesce("later", F.lit(False)).alias("later")))
+    gone = lines.join(classes, "class").where(F.col("later") | (place != F.col("first")))
+    removed = gone.groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    worded = lines.groupBy("key").agg(F.count_distinct("line_no").alias("worded"))
+    return removed.join(worded, "key").select("key", "removed", (F.size("removed") < F.col("worded")).alias("words_left"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False,
                 count_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``; ``count_col`` gets how many went."""
-    key, removed, left = (fresh(docs, n) for n in ("row_key", "removed_lines", "words_left"))
-    found = repeated_lines(docs, id_col, text_col).select(
-        F.col("key").alias(key), F.col("removed").alias(removed), F.col("words_left").alias(left))
-    joined = docs.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
+    key, removed, left, slot = (fresh(docs, n) for n in ("row_key", "removed_lines", "words_left", "slot"))
+    found = cut_lineage(repeated_lines(docs, id_col, text_col).select(
+        F.col("key").alias(key), F.col("removed").alias(removed), F.col("words_left").alias(left)))
+    keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(slot, slot_of(F.col(key)))
+    slots = F.broadcast(found.select(slot_of(F.col(key)).alias(slot)).distinct())
+    # Only documents that may lose lines are shuffled.
+    joined = keyed.join(slots, slot, "left_semi").join(found, key, "left")
+    untouched = keyed.join(slots, slot, "left_anti").select(
+        "*", F.lit(None).cast("array<int>").alias(removed), F.lit(True).alias(left))
+    joined = joined.unionByName(untouched)
     if drop_emptied:
         joined = joined.where(F.coalesce(F.col(left), F.lit(True)))
     parts = F.split(F.col(text_col), "\n", -1)
