@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import lines, mixing, pstable, simhash, spaced, toxicity, urls
+from corvane.llm import language, lines, mixing, pstable, simhash, spaced, tokens, toxicity, urls
 from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filter")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).withColumnRenamed("id", "page_id")
+
+
+@query("op7_language_profiles")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5
+    docs = docs.withColumn("held_out", F.coalesce(fifth == 0, F.lit(False)))
+    learned = language.prototypes(docs.where(fifth != 0), "text", "lang")
+    told = language.identify(docs.select("doc_id", "held_out", "text"), learned)
+    return told.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokens.read_vocabulary(tokens.VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return tokens.with_counts(docs, vocabulary, out="n_tokens").select("doc_id", "source", "n_tokens")
