@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, lines, mixing, pstable, simhash, spaced, tokens, toxicity, urls
+from corvane.llm import language, lines, mixing, pii, pstable, simhash, spaced, tokens, toxicity, urls
 from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokens.read_vocabulary(tokens.VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return tokens.with_counts(docs, vocabulary, out="n_tokens").select("doc_id", "source", "n_tokens")
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", *[f"personal.n_{k}" for k in pii.KINDS], "personal.base_sha256", "personal.spans",
+                        "personal.n_added")
