@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.plans.runtime import new_path
+
 # The white space that separates words: space and the five control characters from tab to carriage return.
 # It is also what Python's bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +30,13 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage like a checkpoint, in less space."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links (a[i], b[i]) as a forest of stars: (child, root) for every end that is not its component's smallest.
 

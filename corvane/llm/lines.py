@@ -31,8 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import fresh, row_key
-from corvane.plans.runtime import cut_lineage
+from corvane.llm.common import WORD, fresh, row_key, stored
 
 SHINGLE = 5
 COUNTERS = 1 << 24  # one byte each where they are used
@@ -195,26 +194,17 @@ def word_ranks(slices: DataFrame) -> np.ndarray:
 
 def shingles(words: Words, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, shingle, rarity) of the distinct shingles, sorted by line, rarity, shingle. Rarity 0: occurs once."""
-    h, last = words.hash, np.append(words.hash, np.zeros(SHINGLE, np.uint64))
-    inside = np.arange(len(h)) - words.first[words.line]
-    at = np.flatnonzero(inside < np.maximum(1, words.n - SHINGLE + 1)[words.line])
+    room = np.repeat(words.first + words.n, words.n) - np.arange(len(words.hash))  # words from here to the line's end
+    at = np.flatnonzero((room >= SHINGLE) | (room == words.n[words.line]))
     line = words.line[at]
-    room = words.n[line] - inside[at]  # words from here to the line's end
-    value = np.full(len(at), 0x51ED270B, np.uint64)
+    end = at + np.minimum(room[at], SHINGLE)
+    value = run_hashes(words.hash, at, end, WORD_BASE, WORD_BACK)
     rarity = np.zeros(len(at), np.int32)
     if ranks is not None:
-        rank = np.append(ranks[(h >> np.uint64(40)).astype(np.int64)], np.zeros(SHINGLE, np.uint8)).astype(np.int32)
-        once = np.zeros(len(at), bool)
-    for k in range(SHINGLE):
-        there = room > k
-        step = (value ^ last[at + k]) * MIX
-        value = np.where(there, step ^ (step >> np.uint64(29)), value)
-        if ranks is not None:
-            more = rank[at + k]
-            rarity += np.where(there, more, 0)
-            once |= there & (more == 0)
-    if ranks is not None:
-        rarity = np.where(once, 0, rarity + 1)
+        rank = ranks[(words.hash >> np.uint64(40)).astype(np.int64)]
+        total = np.append(0, np.cumsum(rank, dtype=np.int64))
+        singles = np.append(0, np.cumsum(rank == 0, dtype=np.int64))
+        rarity = np.where(singles[end] > singles[at], 0, total[end] - total[at] + 1)
     key = (line.astype(np.uint64) << np.uint64(43)) | (rarity.astype(np.uint64) << np.uint64(32)) | (value >> np.uint64(32))
     order = np.argsort(key) if len(words.n) < 1 << 20 else np.lexsort((value, rarity, line))
     tied = key[order]
@@ -232,8 +222,8 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 def prefix_task(ranks: np.ndarray):
     """(shingle, class, n, at, odd) for the prefix of every class in the task, its certain singles left out. Bit b of
-    ``odd`` is set where the set has an odd number of shingles whose hash ends in b: two sets differ in at least as
-    many shingles as their ``odd`` in bits."""
+    ``odd`` is set where the set has an odd number of shingles whose hash ends in b (of 32): two sets differ in at
+    least as many shingles as their ``odd`` in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,8 +232,8 @@ def prefix_task(ranks: np.ndarray):
                 line, value, rarity = shingles(words.only(where), ranks)
                 n = np.bincount(line, minlength=len(own))
                 pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-                odd = (np.bitwise_xor.reduceat(np.uint64(1) << (value & np.uint64(63)), np.cumsum(n) - n).view(np.int64)
-                       if len(line) else np.empty(0, np.int64))
+                odd = (np.bitwise_xor.reduceat(np.uint32(1) << (value & np.uint64(31)).astype(np.uint32), np.cumsum(n) - n)
+                       .view(np.int32) if len(line) else np.empty(0, np.int32))
                 keep = (pos < prefix_length(n)[line]) & (rarity > 0)
                 line, value, pos = line[keep], value[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays(
@@ -298,19 +288,11 @@ def slot_of(key: Column) -> Column:
 def may_match(x: str, y: str) -> Column:
     """Length filter, and two bounds: on the overlap, from the positions of a shared shingle, and on the difference."""
     nx, ny, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
+    odd = F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     bound = F.least(i, j) + 1 + F.least(nx - i, ny - j) - 1
     return ((F.least(nx, ny) * OF >= F.greatest(nx, ny) * SAME)
             & (bound * (SAME + OF) >= (nx + ny) * SAME)
-            & (F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))) * (SAME + OF) <= (nx + ny) * (OF - SAME)))
-
-
-def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (class, earlier) whose sets have the similarity asked for."""
-    left = sets.select("class", F.col("set").alias("mine"))
-    right = sets.select(F.col("class").alias("earlier"), F.col("set").alias("other"))
-    both = F.size(F.array_intersect("mine", "other"))
-    return (pairs.distinct().join(left, "class").join(right, "earlier")
-            .where(both * (SAME + OF) >= (F.size("mine") + F.size("other")) * SAME).select("class", "earlier"))
+            & (F.bit_count(odd) * (SAME + OF) <= (nx + ny) * (OF - SAME)))
 
 
 def fetched_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -323,77 +305,85 @@ def fetched_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
 
 
-def later_classes(texts: DataFrame, ranks: np.ndarray, classes: DataFrame) -> DataFrame:
-    """(class,) of the classes that an earlier one matches. ``classes``: class, first (its first place)."""
+def meeting_classes(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(shingle, class, n, at, odd): the classes that share a prefix shingle with another."""
     ranks = texts.sparkSession.sparkContext.broadcast(ranks)
     rows = texts.select("text").mapInArrow(lambda batches: prefix_task(ranks.value)(batches),
-                                           "shingle long, class long, n int, at int, odd long")
-    meet = Window.partitionBy("shingle")
-    members = (rows.repartition("shingle").distinct()
-               .withColumn("classes", F.count("*").over(meet)).where("classes > 1"))
-    met = cut_lineage(members.join(classes, "class"))
-    earliest = met.groupBy("shingle").agg(F.min(F.struct("first", "class", "n", "at", "odd")).alias("y"))
-    stars = (met.select("shingle", F.struct("class", "n", "at", "odd", "first").alias("x")).join(earliest, "shingle")
-             .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y")))
-    settled = cut_lineage(matching(stars, texts))
-    shared = met.where("classes > 2").join(earliest.select("shingle", F.col("y.class").alias("centre")), "shingle")
-    x = shared.join(settled, "class", "left_anti").alias("x")
-    rest = (x.join(shared.alias("y"), F.expr("x.shingle = y.shingle and y.first < x.first and y.class != x.centre"))
-            .where((F.col("x.class") != F.col("y.class")) & may_match("x", "y")))
-    return settled.union(matching(rest, texts)).distinct()
+                                           "shingle long, class long, n int, at int, odd int")
+    there = Window.partitionBy("shingle")
+    several = F.min("class").over(there) != F.max("class").over(there)
+    met = rows.repartition("shingle").withColumn("several", several).where("several").drop("several")
+    return stored(met.distinct(), "meeting")  # distinct: a class may come from several tasks
+
+
+def later_classes(texts: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class,) of the classes that an earlier one matches. ``classes``: class, first (its first place)."""
+    there = Window.partitionBy("shingle")
+    x, fields = F.struct("first", "class", "n", "at", "odd"), ["shingle", "x", "y", "classes"]
+    met = stored(met.join(classes, "class").select("shingle", x.alias("x"))
+                 .withColumn("y", F.min("x").over(there)).withColumn("classes", F.count("*").over(there))
+                 .select(fields), "met")
+    other = F.col("x.class") != F.col("y.class")
+    settled = matching(met.where(other & may_match("x", "y")).select("x", "y"), texts)
+    left = met.where("classes > 2").select("shingle", "x", F.col("y.class").alias("centre"), F.col("x.class").alias("class"))
+    unsettled = left.join(settled, "class", "left_anti").drop("class")
+    rest = (unsettled.join(left.select("shingle", F.col("x").alias("y")), "shingle")
+            .where((F.col("y.first") < F.col("x.first")) & (F.col("y.class") != F.col("centre")) & other & may_match("x", "y")))
+    return settled.union(matching(rest.select("x", "y"), texts)).distinct()
 
 
 def matching(met: DataFrame, texts: DataFrame) -> DataFrame:
     """(class,) of the x whose set matches that of their y in a row of ``met``."""
     x, y = (F.struct(F.col(f"{s}.class").alias("class"), F.col(f"{s}.first").alias("first")) for s in "xy")
-    pairs = cut_lineage(met.select(x.alias("x"), y.alias("y")).distinct())
-    wanted = cut_lineage(pairs.select(F.explode(F.array("x", "y")).alias("w")).select("w.*").distinct())
-    sets = cut_lineage(fetched_sets(texts, wanted))
+    pairs = stored(met.select(x.alias("x"), y.alias("y")).distinct(), "pairs")
+    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("w")).select("w.*").distinct(), "wanted")
+    sets = stored(fetched_sets(texts, wanted), "sets")
     left = sets.select(F.col("class").alias("class"), F.col("set").alias("mine"))
     right = sets.select(F.col("class").alias("earlier"), F.col("set").alias("other"))
     both = F.size(F.array_intersect("mine", "other"))
-    return (pairs.select(F.col("x.class").alias("class"), F.col("y.class").alias("earlier"))
-            .join(left, "class").join(right, "earlier")
-            .where(both * (SAME + OF) >= (F.size("mine") + F.size("other")) * SAME).select("class").distinct())
+    return stored(pairs.select(F.col("x.class").alias("class"), F.col("y.class").alias("earlier"))
+                  .join(left, "class").join(right, "earlier")
+                  .where(both * (SAME + OF) >= (F.size("mine") + F.size("other")) * SAME).select("class").distinct(), "later")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, removed, words_left): the numbers of a document's lines to remove, counted from 0, and whether any
-    line with words stays. ``key`` is ``row_key(id_col, text_col)``; documents without such lines have no row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"),
+    """(key, removed): the numbers of a document's lines to remove, counted from 0. ``key`` is
+    ``row_key(id_col, text_col)``; documents without such lines have no row."""
+    last = F.lit((1 << 63) - 1)  # null ids come last
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), row_key(id_col, text_col).alias("key"),
                         F.col(text_col).alias("text"))
-    scanned = cut_lineage(texts.mapInArrow(first_task, FIRST))
+    scanned = stored(texts.mapInArrow(first_task, FIRST), "lines")
     lines = scanned.where("slice is null").select("id", "key", "class", "line_no")
-    ranks = word_ranks(scanned.where("slice is not null"))
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "line_no")
-    firsts = cut_lineage(lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("lines")))
-    later = later_classes(texts.select("key", "text"), ranks, firsts.select("class", "first"))
-    classes = (firsts.join(later.withColumn("later", F.lit(True)), "class", "left")
-               .where("later or lines > 1").select("class", "first", F.coalesce("later", F.lit(False)).alias("later")))
-    gone = lines.join(classes, "class").where(F.col("later") | (place != F.col("first")))
-    removed = gone.groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    worded = lines.groupBy("key").agg(F.count_distinct("line_no").alias("worded"))
-    return removed.join(worded, "key").select("key", "removed", (F.size("removed") < F.col("worded")).alias("words_left"))
+    met = meeting_classes(texts, word_ranks(scanned.where("slice is not null")))
+    place = F.struct("id", "key", "line_no")
+    classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
+    classes = stored(classes.join(met.select("class", F.lit(True).alias("meets")).distinct(), "class", "left")
+                     .where("lines > 1 or meets"), "classes")  # the others stay, whatever comes
+    later = later_classes(texts.select("key", "text"), met, classes.where("meets").select("class", "first"))
+    told = (classes.join(later.withColumn("later", F.lit(True)), "class", "left").where("later or lines > 1")
+            .select("class", "first", F.coalesce("later", F.lit(False)).alias("later")))
+    gone = lines.join(told, "class").where(F.col("later") | (place != F.col("first")))
+    return gone.groupBy("key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False,
                 count_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``; ``count_col`` gets how many went."""
-    key, removed, left, slot = (fresh(docs, n) for n in ("row_key", "removed_lines", "words_left", "slot"))
-    found = cut_lineage(repeated_lines(docs, id_col, text_col).select(
-        F.col("key").alias(key), F.col("removed").alias(removed), F.col("words_left").alias(left)))
+    key, removed, slot = (fresh(docs, n) for n in ("row_key", "removed_lines", "slot"))
+    found = stored(repeated_lines(docs, id_col, text_col)
+                   .select(F.col("key").alias(key), F.col("removed").alias(removed)), "removed")
     keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(slot, slot_of(F.col(key)))
     slots = F.broadcast(found.select(slot_of(F.col(key)).alias(slot)).distinct())
     # Only documents that may lose lines are shuffled.
     joined = keyed.join(slots, slot, "left_semi").join(found, key, "left")
-    untouched = keyed.join(slots, slot, "left_anti").select(
-        "*", F.lit(None).cast("array<int>").alias(removed), F.lit(True).alias(left))
+    untouched = keyed.join(slots, slot, "left_anti").withColumn(removed, F.lit(None).cast("array<int>"))
     joined = joined.unionByName(untouched)
-    if drop_emptied:
-        joined = joined.where(F.coalesce(F.col(left), F.lit(True)))
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(removed))
     text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     count = [] if count_col is None else [F.coalesce(F.size(removed), F.lit(0)).alias(count_col)]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *count)
+    done = joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in [*docs.columns, removed]], *count)
+    if drop_emptied:
+        done = done.where(F.col(removed).isNull() | F.col(text_col).rlike(WORD))
+    return done.drop(removed)
