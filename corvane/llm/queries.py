@@ -35,7 +35,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.given_categories())
     p = F.col("toxicity")
     return (toxicity.score(docs, chain).select("doc_id", *[p[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)])
-            .withColumn("toxic", F.col("p_toxic") >= 0.5))
+            .withColumn("toxic", F.col("p_toxic") >= chain.cuts[chain.categories.index("toxic")]))
 
 
 @query("op9_line_dedup")

@@ -3,7 +3,7 @@
 One linear model per category, in the order given; each later model also reads the probabilities of all earlier ones.
 In training these are out-of-fold, so a later model sees them as uncertain as they will be on new texts. Features are
 the presence of words and of word beginnings (``PREFIXES`` letters); those that tell a category's rows apart best, by
-counts over the training rows, make the vocabulary.
+chi-square over the training rows and not by chance, make the vocabulary.
 
 Training rows are a bounded sample of the labelled ones: those whose ids hash lowest, ``max_rows`` of them. Scoring
 covers every document and whole texts. The model (a vocabulary of bounded size and one weight each per category) goes
@@ -29,10 +29,11 @@ from corvane.llm.common import fresh
 
 MAX_ROWS = 6000  # labelled rows that the models are fitted on
 VOCABULARY = 2000  # features over all categories
+EVIDENCE = 15.0  # the least chi-square of a feature with a category
 FOLDS = 3
 PREFIXES = (3, 4, 5)
-ROUNDS = 200
-RIDGE = 1e-5
+ROUNDS = 100
+RIDGE = 3e-6
 WORDS = re.compile(r"\w+|[^\w\s]{2,}")  # words, and runs of punctuation
 MEMORY = 500_000  # words whose features a task remembers
 
@@ -52,28 +53,65 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-penalised logistic regression; the last weight is the intercept."""
+    """Ridge-penalised logistic regression by limited-memory quasi-Newton steps; the last weight is the intercept."""
     w = np.zeros(x.shape[1] + 1)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
         w[-1] = np.log(share / (1 - share))
         return w
-    mean, square = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, ROUNDS + 1):
-        error = (sigmoid(x @ w[:-1].astype(x.dtype) + w[-1]) - y) / len(y)
-        slope = np.append(x.T @ error.astype(x.dtype) + RIDGE * w[:-1], error.sum())
-        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
-        w -= 0.1 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ w[:-1].astype(x.dtype) + w[-1]
+        error = (sigmoid(z) - y) / len(y)
+        value = float((np.logaddexp(0, z) - y * z).mean() + RIDGE / 2 * w[:-1] @ w[:-1])
+        return value, np.append(x.T @ error.astype(x.dtype) + RIDGE * w[:-1], error.sum())
+
+    value, slope = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []  # the last moves and changes of slope
+    for _ in range(ROUNDS):
+        way, parts = -slope, []
+        for move, change in reversed(steps):
+            part = move @ way / (move @ change)
+            parts.append(part)
+            way = way - part * change
+        if steps:
+            move, change = steps[-1]
+            way = way * (move @ change) / (change @ change)
+        for (move, change), part in zip(steps, reversed(parts)):
+            way = way + (part - change @ way / (move @ change)) * move
+        size = 1.0 if steps else 1.0 / max(1.0, float(np.abs(slope).sum()))
+        while (new := loss(w + size * way))[0] > value + 1e-4 * size * (slope @ way) and size > 1e-8:
+            size /= 2
+        move, change = size * way, new[1] - slope
+        if size <= 1e-8 or value - new[0] < 1e-9:
+            break
+        w, (value, slope) = w + move, new
+        if move @ change > 1e-12:
+            steps = [*steps[-9:], (move, change)]
     return w
 
 
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on to say yes, so that F1 is greatest; halfway (in odds) between two rows."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    at = int(f1.argmax())
+    high, low = p[order[at]], p[order[at + 1]] if at + 1 < len(y) else 0.0
+    odds = np.log(np.clip([high, low], 1e-9, 1 - 1e-9) / (1 - np.clip([high, low], 1e-9, 1 - 1e-9)))
+    return float(sigmoid(odds.mean()))
+
+
 @dataclass
 class Chain:
-    """``weights[k]``: one weight per vocabulary entry, one per earlier category, the intercept."""
+    """``weights[k]``: one weight per vocabulary entry, one per earlier category, the intercept. ``cuts[k]``: the
+    probability from which on a text is said to be of the category, chosen on out-of-fold probabilities."""
 
     categories: list[str]
     vocabulary: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
+    cuts: list[float] = field(default_factory=list)
 
     def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
         earlier = np.empty((len(x), 0), x.dtype)
@@ -84,6 +122,7 @@ class Chain:
                 w = fit_linear(inputs[rest], y[rest, k])
                 out[mine] = sigmoid(inputs[mine] @ w[:-1] + w[-1])
             self.weights.append(fit_linear(inputs, y[:, k]))
+            self.cuts.append(best_cut(out, y[:, k]))
             earlier = np.hstack([earlier, out[:, None]])
         return self
 
@@ -145,16 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     chain = Chain(names)
     if not n:
         chain.weights = [fit_linear(np.zeros((0, k)), np.zeros(0)) for k in range(len(names))]
+        chain.cuts = [0.5] * len(names)
         return chain
     counts = (rows.select("y", F.explode("features").alias("feature")).groupBy("feature")
               .agg(F.count("*").alias("n"), *[F.sum(F.col("y")[k]).alias(f"n{k}") for k in range(len(names))])
               .where("n > 2").persist())
     each = max(1, vocabulary // len(names))
     best: set[str] = set()
-    for k, p in enumerate(positives):  # chi-square of presence against category, up to a factor
+    for k, p in enumerate(positives):  # chi-square of presence against category
         contrast = F.col(f"n{k}") / max(1, p) - (F.col("n") - F.col(f"n{k}")) / max(1, n - p)
-        chi = contrast * contrast / (F.col("n") * (n + 1 - F.col("n")))
-        best |= {r.feature for r in counts.orderBy(chi.desc(), "feature").limit(each).collect()}
+        chi = contrast * contrast * p * (n - p) * n / (F.col("n") * (n + 1 - F.col("n")))
+        best |= {r.feature for r in counts.where(chi >= EVIDENCE).orderBy(chi.desc(), "feature").limit(each).collect()}
     chain.vocabulary = {f: i for i, f in enumerate(sorted(best))}
     index = chain.vocabulary
     present = F.udf(lambda found: [index[f] for f in found if f in index], "array<int>")
@@ -187,10 +227,10 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", out: str = "tox
     return docs.withColumn(out, probabilities(chain, F.col(text_col)))
 
 
-def reject(docs: DataFrame, chain: Chain, category: str, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose probability of ``category`` is ``threshold`` or more."""
-    out = fresh(docs, "toxicity")
-    kept = score(docs, chain, text_col, out).where(F.col(out)[chain.categories.index(category)] < threshold)
+def reject(docs: DataFrame, chain: Chain, category: str, threshold: float | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose probability of ``category`` is ``threshold`` (the chain's cut) or more."""
+    out, k = fresh(docs, "toxicity"), chain.categories.index(category)
+    kept = score(docs, chain, text_col, out).where(F.col(out)[k] < (chain.cuts[k] if threshold is None else threshold))
     return kept.select(*docs.columns)
 
 
