@@ -4,14 +4,15 @@ A line is the set of its five-word shingles (fewer words: the whole line). Two l
 of their sets is 0.8 or more; a line goes when an earlier one (by document id, then line number) matches it.
 
 Lines of equal words are one class, so only classes are joined. A class orders its shingles by rarity and sends its
-prefix, the part without which no 0.8 match is possible: any two matching classes share a prefix shingle. Rarity is
-the sum of the logarithms of the counts of a shingle's words, over all words of all documents, from a table of
-``COUNTERS`` counters: its size is fixed, so it can go to every task. Any common order keeps the join exact; the counts
-only make it cheap. A shingle with a word counted once occurs nowhere else: it comes first and needs no row.
+prefix, the part without which no 0.8 match is possible: any two matching classes share a prefix shingle. Rarity comes
+from counts over all documents in tables of ``COUNTERS`` counters, which words and shingles share by hash: their size
+is fixed, so they can go to every task. Any common order keeps the join exact; the counts only make it cheap. A shingle
+with a word counted once occurs nowhere else: it comes first and needs no row.
 
-Classes that meet in a prefix shingle pass the length and positional filters and a bound on their difference, first against the earliest class of that
-shingle, which settles groups of copies without their pairs. Only classes that found no match there are then compared
-with the rest of their shingles' classes. Sets are compared whole (``array_intersect``).
+Classes that meet in a prefix shingle pass the length and positional filters and a bound on their difference, first
+against the earliest and the most frequent class of that shingle, which settles groups of copies without their pairs.
+Only classes that found no earlier match there are then compared with the rest of their shingles' classes, a pair where
+it first meets. Sets are compared whole (``array_intersect``).
 
 Defined results: null texts stay null and blank lines stay; a line is split off at each newline; rows with equal ids
 are ordered by their text's hash, and equal rows count as one document; null ids come last; a document whose every
@@ -34,15 +35,18 @@ from pyspark.sql.window import Window
 from corvane.llm.common import WORD, fresh, row_key, stored
 
 SHINGLE = 5
-COUNTERS = 1 << 24  # one byte each where they are used
-SLICES = 64
-SIEVE_BITS = 1 << 24
+WORD_BITS, SHINGLE_BITS = 24, 20  # counters of words and of shingles, one byte each where they are used
+WORD_COUNTERS = 1 << WORD_BITS
+COUNTERS = WORD_COUNTERS + (1 << SHINGLE_BITS)
+SLICES = COUNTERS >> 18
+SIEVE_BITS, SIEVE_SLICES = 1 << 24, 64
 SLOTS = 1 << 20
+BEFORE = 64  # meeting shingles of a class that are listed as preceding another
 PER_SLICE = COUNTERS // SLICES
 # Similarity 4/5, as the whole numbers in overlap >= 4/9 of both sizes and in the prefix length.
 SAME, OF = 4, 5
-TEXTS_AT_ONCE = 4_000_000  # bytes
-BYTES_AT_ONCE = 1_000_000
+TEXTS_AT_ONCE = 1_000_000  # bytes
+BYTES_AT_ONCE = 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,6 +112,13 @@ class Words:
         """A hash of each line's sequence of words, as a signed long."""
         return run_hashes(self.hash, self.first, self.first + self.n, WORD_BASE, WORD_BACK).view(np.int64)
 
+    def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, hash, first word, behind the last) of every shingle, repeats included."""
+        room = np.repeat(self.first + self.n, self.n) - np.arange(len(self.hash))  # words from here to the line's end
+        at = np.flatnonzero((room >= SHINGLE) | (room == self.n[self.line]))
+        end = at + np.minimum(room[at], SHINGLE)
+        return self.line[at], run_hashes(self.hash, at, end, WORD_BASE, WORD_BACK), at, end
+
     def only(self, lines: np.ndarray) -> Words:
         """The given lines alone, in order; their row and number are dropped."""
         part = Words(np.empty(0, np.uint8), np.zeros(1, np.int64))
@@ -139,16 +150,25 @@ def in_parts(texts: pa.Array) -> Iterator[tuple[int, Words]]:
         i = j
 
 
-# ---- word counts ---------------------------------------------------------------------------------------------
+def word_counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def shingle_counter(h: np.ndarray) -> np.ndarray:
+    return WORD_COUNTERS + (h >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)
+
+
+# ---- counts ---------------------------------------------------------------------------------------------
 
 def first_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (id, key, class, line_no) for every line with words; last, rows (slice, counts) of the words counted."""
+    """A row (id, key, class, line_no) for every line with words; last, rows (slice, counts) of words and shingles."""
     counts = np.zeros(COUNTERS, np.uint32)
     names = ["id", "key", "class", "line_no", "slice", "counts"]
     for batch in batches:
         ids, keys = batch.column(0), batch.column(1)
         for start, words in in_parts(batch.column(2)):
-            np.add.at(counts, (words.hash >> np.uint64(40)).astype(np.int64), np.uint32(1))
+            np.add.at(counts, word_counter(words.hash), np.uint32(1))
+            np.add.at(counts, shingle_counter(words.shingles()[1]), np.uint32(1))
             row, n = pa.array(words.row + start), len(words.row)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(row), keys.take(row), pa.array(words.classes()), pa.array(words.number),
@@ -180,7 +200,7 @@ def add_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"slice": [s], "ranks": [rank.astype(np.uint8).tobytes()]})
 
 
-def word_ranks(slices: DataFrame) -> np.ndarray:
+def rarities(slices: DataFrame) -> np.ndarray:
     """For each counter 8 * log2(count), 0 where the count is 1: COUNTERS bytes."""
     found = (slices.select("slice", "counts").repartition("slice")
              .mapInPandas(add_counts, "slice int, ranks binary").collect())
@@ -194,17 +214,11 @@ def word_ranks(slices: DataFrame) -> np.ndarray:
 
 def shingles(words: Words, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, shingle, rarity) of the distinct shingles, sorted by line, rarity, shingle. Rarity 0: occurs once."""
-    room = np.repeat(words.first + words.n, words.n) - np.arange(len(words.hash))  # words from here to the line's end
-    at = np.flatnonzero((room >= SHINGLE) | (room == words.n[words.line]))
-    line = words.line[at]
-    end = at + np.minimum(room[at], SHINGLE)
-    value = run_hashes(words.hash, at, end, WORD_BASE, WORD_BACK)
+    line, value, at, end = words.shingles()
     rarity = np.zeros(len(at), np.int32)
     if ranks is not None:
-        rank = ranks[(words.hash >> np.uint64(40)).astype(np.int64)]
-        total = np.append(0, np.cumsum(rank, dtype=np.int64))
-        singles = np.append(0, np.cumsum(rank == 0, dtype=np.int64))
-        rarity = np.where(singles[end] > singles[at], 0, total[end] - total[at] + 1)
+        singles = np.append(0, np.cumsum(ranks[word_counter(words.hash)] == 0, dtype=np.int32))
+        rarity = np.where(singles[end] > singles[at], 0, ranks[shingle_counter(value)].astype(np.int32) + 1)
     key = (line.astype(np.uint64) << np.uint64(43)) | (rarity.astype(np.uint64) << np.uint64(32)) | (value >> np.uint64(32))
     order = np.argsort(key) if len(words.n) < 1 << 20 else np.lexsort((value, rarity, line))
     tied = key[order]
@@ -222,7 +236,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 def prefix_task(ranks: np.ndarray):
     """(shingle, class, n, at, odd) for the prefix of every class in the task, its certain singles left out. Bit b of
-    ``odd`` is set where the set has an odd number of shingles whose hash ends in b (of 32): two sets differ in at
+    ``odd`` is set where the set has an odd number of shingles whose hash ends in b (of 64): two sets differ in at
     least as many shingles as their ``odd`` in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +246,8 @@ def prefix_task(ranks: np.ndarray):
                 line, value, rarity = shingles(words.only(where), ranks)
                 n = np.bincount(line, minlength=len(own))
                 pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-                odd = (np.bitwise_xor.reduceat(np.uint32(1) << (value & np.uint64(31)).astype(np.uint32), np.cumsum(n) - n)
-                       .view(np.int32) if len(line) else np.empty(0, np.int32))
+                odd = (np.bitwise_xor.reduceat(np.uint64(1) << (value & np.uint64(63)), np.cumsum(n) - n).view(np.int64)
+                       if len(line) else np.empty(0, np.int64))
                 keep = (pos < prefix_length(n)[line]) & (rarity > 0)
                 line, value, pos = line[keep], value[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays(
@@ -262,7 +276,7 @@ def sieve_of(classes: DataFrame) -> np.ndarray:
     """Marks of the classes by their low bits: a table of fixed size, collected in slices of packed bits."""
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks: dict[int, np.ndarray] = {}
-        width = SIEVE_BITS // SLICES
+        width = SIEVE_BITS // SIEVE_SLICES
         for part in parts:
             slot = part["slot"].to_numpy()
             for s in np.unique(slot // width):
@@ -270,7 +284,7 @@ def sieve_of(classes: DataFrame) -> np.ndarray:
         yield from (pd.DataFrame({"slice": [s], "bits": [np.packbits(m).tobytes()]}) for s, m in marks.items())
 
     slots = classes.select(F.col("class").bitwiseAND(F.lit(SIEVE_BITS - 1)).alias("slot"))
-    sliced = slots.distinct().repartition(F.floor(F.col("slot") / (SIEVE_BITS // SLICES)))
+    sliced = slots.distinct().repartition(F.floor(F.col("slot") / (SIEVE_BITS // SIEVE_SLICES)))
     sieve = np.zeros(SIEVE_BITS, bool)
     for r in sliced.mapInPandas(pack, "slice int, bits binary").collect():
         marks = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
@@ -286,15 +300,24 @@ def slot_of(key: Column) -> Column:
 # ---- the join ------------------------------------------------------------------------------------------------
 
 def may_match(x: str, y: str) -> Column:
-    """Length filter, and two bounds: on the overlap, from the positions of a shared shingle, and on the difference."""
+    """Length filter, and two bounds: on the overlap, from the positions of a shared shingle, and on the difference.
+
+    Before their first shared shingle two sets share nothing; before a later one, at most what precedes it in both.
+    """
     nx, ny, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
-    odd = F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    bound = F.least(i, j) + 1 + F.least(nx - i, ny - j) - 1
+    odd = F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))
+    so_far = F.when(first_shared(x, y), 0).otherwise(F.least(i, j))
+    bound = so_far + F.least(nx - i, ny - j)
     return ((F.least(nx, ny) * OF >= F.greatest(nx, ny) * SAME)
             & (bound * (SAME + OF) >= (nx + ny) * SAME)
             & (F.bit_count(odd) * (SAME + OF) <= (nx + ny) * (OF - SAME)))
 
 
+def first_shared(x: str, y: str) -> Column:
+    """Whether nothing precedes this shingle in both; null where that isn't known."""
+    return ~F.arrays_overlap(F.col(f"{x}.before"), F.col(f"{y}.before"))
+
+
 def fetched_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, set) of the wanted (class, first), from the documents where they first stand. Which documents and lines
     to look at goes to the tasks as marks of fixed number; a few others are looked at in vain."""
@@ -309,7 +332,7 @@ def meeting_classes(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(shingle, class, n, at, odd): the classes that share a prefix shingle with another."""
     ranks = texts.sparkSession.sparkContext.broadcast(ranks)
     rows = texts.select("text").mapInArrow(lambda batches: prefix_task(ranks.value)(batches),
-                                           "shingle long, class long, n int, at int, odd int")
+                                           "shingle long, class long, n int, at int, odd long")
     there = Window.partitionBy("shingle")
     several = F.min("class").over(there) != F.max("class").over(there)
     met = rows.repartition("shingle").withColumn("several", several).where("several").drop("several")
@@ -317,33 +340,47 @@ def meeting_classes(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 
 def later_classes(texts: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class,) of the classes that an earlier one matches. ``classes``: class, first (its first place)."""
+    """(class,) of the classes that an earlier one matches. ``classes``: class, first (its first place), lines."""
     there = Window.partitionBy("shingle")
-    x, fields = F.struct("first", "class", "n", "at", "odd"), ["shingle", "x", "y", "classes"]
-    met = stored(met.join(classes, "class").select("shingle", x.alias("x"))
-                 .withColumn("y", F.min("x").over(there)).withColumn("classes", F.count("*").over(there))
-                 .select(fields), "met")
-    other = F.col("x.class") != F.col("y.class")
-    settled = matching(met.where(other & may_match("x", "y")).select("x", "y"), texts)
-    left = met.where("classes > 2").select("shingle", "x", F.col("y.class").alias("centre"), F.col("x.class").alias("class"))
-    unsettled = left.join(settled, "class", "left_anti").drop("class")
+    places = F.sort_array(F.collect_list(F.struct("at", "shingle")))  # a class's meeting shingles, part of its prefix
+    by_class = met.groupBy("class", "n", "odd").agg(places.alias("places")).join(classes, "class")
+    placed = by_class.select("*", F.posexplode("places").alias("nth", "place"))
+    before = F.when(F.col("nth") <= BEFORE, F.transform(F.slice("places", F.lit(1), F.col("nth")), lambda p: p["shingle"]))
+    x = F.struct("first", "class", "n", F.col("place.at").alias("at"), "odd", before.alias("before"))
+    grouped = (placed.select(F.col("place.shingle").alias("shingle"), "lines", x.alias("x"))
+               .withColumn("early", F.min("x").over(there))
+               .withColumn("common", F.min(F.struct(-F.col("lines"), "x")).over(there)["x"])
+               .withColumn("classes", F.count("*").over(there)))
+
+    def compared(y: str) -> Column:  # what a star needs of its centre, where the pair may match
+        fit = (F.col("x.class") != F.col(f"{y}.class")) & may_match("x", y)
+        return F.when(fit, F.struct(F.col(f"{y}.first").alias("first"), F.col(f"{y}.class").alias("class")))
+
+    met = stored(grouped.select("shingle", "classes", "x", compared("early").alias("early"), compared("common").alias("common"),
+                                F.col("early.class").alias("early_class"), F.col("common.class").alias("common_class"))
+                 .where("classes > 2 or early is not null or common is not null"), "met")
+    stars = met.select("x", F.explode(F.array_distinct(F.array("early", "common"))).alias("y"))
+    settled = later_of(stars.where("y is not null"), texts)
+    left = met.where("classes > 2").select("shingle", "x", F.col("x.class").alias("class"), "early_class", "common_class")
+    unsettled = left.join(settled, "class", "left_anti")
     rest = (unsettled.join(left.select("shingle", F.col("x").alias("y")), "shingle")
-            .where((F.col("y.first") < F.col("x.first")) & (F.col("y.class") != F.col("centre")) & other & may_match("x", "y")))
-    return settled.union(matching(rest.select("x", "y"), texts)).distinct()
+            .where((F.col("y.first") < F.col("x.first")) & (F.col("y.class") != F.col("early_class"))
+                   & (F.col("y.class") != F.col("common_class")) & (F.col("x.class") != F.col("y.class"))
+                   & F.coalesce(first_shared("x", "y"), F.lit(True)) & may_match("x", "y")))
+    return settled.union(later_of(rest.select("x", "y"), texts)).distinct()
 
 
-def matching(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """(class,) of the x whose set matches that of their y in a row of ``met``."""
-    x, y = (F.struct(F.col(f"{s}.class").alias("class"), F.col(f"{s}.first").alias("first")) for s in "xy")
-    pairs = stored(met.select(x.alias("x"), y.alias("y")).distinct(), "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("w")).select("w.*").distinct(), "wanted")
-    sets = stored(fetched_sets(texts, wanted), "sets")
-    left = sets.select(F.col("class").alias("class"), F.col("set").alias("mine"))
-    right = sets.select(F.col("class").alias("earlier"), F.col("set").alias("other"))
-    both = F.size(F.array_intersect("mine", "other"))
-    return stored(pairs.select(F.col("x.class").alias("class"), F.col("y.class").alias("earlier"))
-                  .join(left, "class").join(right, "earlier")
-                  .where(both * (SAME + OF) >= (F.size("mine") + F.size("other")) * SAME).select("class").distinct(), "later")
+def later_of(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class,) of the later class of each row (x, y) of ``met`` whose sets match."""
+    x, y = (F.struct(F.col(f"{s}.first").alias("first"), F.col(f"{s}.class").alias("class")) for s in "xy")
+    pairs = stored(met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "pairs")
+    wanted = pairs.select("x.*").union(pairs.select("y.*")).distinct()
+    sets = stored(fetched_sets(texts, stored(wanted, "wanted")), "sets")
+    left = sets.select(F.col("class").alias("earlier"), F.col("set").alias("other"))
+    both = F.size(F.array_intersect("set", "other"))
+    return stored(pairs.select(F.col("y.class").alias("class"), F.col("x.class").alias("earlier"))
+                  .join(sets, "class").join(left, "earlier")
+                  .where(both * (SAME + OF) >= (F.size("set") + F.size("other")) * SAME).select("class").distinct(), "later")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,12 +391,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         F.col(text_col).alias("text"))
     scanned = stored(texts.mapInArrow(first_task, FIRST), "lines")
     lines = scanned.where("slice is null").select("id", "key", "class", "line_no")
-    met = meeting_classes(texts, word_ranks(scanned.where("slice is not null")))
+    met = meeting_classes(texts, rarities(scanned.where("slice is not null")))
     place = F.struct("id", "key", "line_no")
     classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
     classes = stored(classes.join(met.select("class", F.lit(True).alias("meets")).distinct(), "class", "left")
                      .where("lines > 1 or meets"), "classes")  # the others stay, whatever comes
-    later = later_classes(texts.select("key", "text"), met, classes.where("meets").select("class", "first"))
+    later = later_classes(texts.select("key", "text"), met, classes.where("meets").select("class", "first", "lines"))
     told = (classes.join(later.withColumn("later", F.lit(True)), "class", "left").where("later or lines > 1")
             .select("class", "first", F.coalesce("later", F.lit(False)).alias("later")))
     gone = lines.join(told, "class").where(F.col("later") | (place != F.col("first")))

@@ -35,7 +35,7 @@ PREFIXES = (3, 4, 5)
 ROUNDS = 100
 RIDGE = 3e-6
 WORDS = re.compile(r"\w+|[^\w\s]{2,}")  # words, and runs of punctuation
-MEMORY = 500_000  # words whose features a task remembers
+MEMORY = 200_000  # words whose features a task remembers
 
 
 def word_features(word: str) -> list[str]:
