@@ -7,7 +7,10 @@ map-side, so a vertex with a third of all edges is neither shuffled to one task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
@@ -77,8 +80,8 @@ def mean_degree(edges: DataFrame, end: str = "dst") -> DataFrame:
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both endpoints among ``ids``, a bounded set such as a top-k list."""
-    return (edges.join(F.broadcast(ids.select(F.col("id").alias("src"))), "src", "left_semi")
-            .join(F.broadcast(ids.select(F.col("id").alias("dst"))), "dst", "left_semi")
+    return (edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+            .join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
             .select("src", "dst"))
 
 
@@ -163,6 +166,9 @@ def page_rank(raw_edges: DataFrame, tolerance: float = 1e-4, iterations: int | N
             moved = ranks.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if moved is None or moved < tolerance:
                 break
+    else:
+        if iterations is None:
+            raise RuntimeError(f"ranks not settled after {max_rounds} rounds")
     scale = ranks.agg(F.count("*") / F.sum("rank")).scalar()
     return ranks.select("id", (F.col("rank") * scale).alias("rank"))
 
@@ -231,7 +237,7 @@ def label_propagation(raw_edges: DataFrame, rounds: int = 5) -> DataFrame:
 def largest_community_members(labels: DataFrame, k: int = 5) -> DataFrame:
     """The k smallest ids of the largest community."""
     biggest = group_sizes(labels, "label", 1).select("label")
-    return labels.join(F.broadcast(biggest), "label", "left_semi").orderBy("id").limit(k)
+    return labels.join(biggest, "label", "left_semi").orderBy("id").limit(k)
 
 
 # ---- distances -----------------------------------------------------------------------------------------------
@@ -240,15 +246,15 @@ def most_cited(edges: DataFrame) -> DataFrame:
     return top_degrees(edges, "dst", 1).select("id")
 
 
-def distances(raw_edges: DataFrame, source: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def distances(raw_edges: DataFrame, source: DataFrame) -> DataFrame:
     """(id, distance) of every vertex reachable from the one-row frame ``source``, direction ignored."""
     sym = cut_lineage(symmetric(raw_edges))
     total = sym.count()
     start = source.select("id", F.lit(0).cast("bigint").alias("distance"))
     state = cut_lineage(vertices(raw_edges).join(degrees(sym, "src", "n"), "id", "left")
-                        .join(F.broadcast(start), "id", "left")
+                        .join(start, "id", "left")
                         .select("id", F.coalesce("n", F.lit(0)).alias("n"), "distance"))
-    for hop in range(max_rounds):
+    for hop in count():  # ends when a hop reaches nothing new
         frontier = state.where((F.col("distance") == hop) & (F.col("n") > 0)).select(F.col("id").alias("src"), "n")
         met = (hot_key_join(sym, frontier, "src", "n", total).select(F.col("dst").alias("id")).distinct()
                .withColumn("met", F.lit(True)))
@@ -270,11 +276,11 @@ def distance_histogram(found: DataFrame, first: int = 30) -> DataFrame:
 
 # ---- cores and bridges ---------------------------------------------------------------------------------------
 
-def k_core(raw_edges: DataFrame, k: int, max_rounds: int = 30) -> DataFrame:
-    """Vertices left after repeatedly removing those with fewer than k neighbours; at most ``max_rounds`` times."""
+def k_core(raw_edges: DataFrame, k: int) -> DataFrame:
+    """Vertices left after removing those with fewer than k neighbours until none is left to remove."""
     edges = cut_lineage(symmetric(raw_edges))
     left = edges.count()
-    for _ in range(max_rounds):
+    while True:  # every round but the last removes edges
         degree = degrees(edges, "src", "n")
         strong = cut_lineage(degree.where(F.col("n") >= k))
         kept = hot_key_join(edges, strong.withColumnRenamed("id", "src"), "src", "n", left).select("src", "dst")
@@ -287,23 +293,24 @@ def k_core(raw_edges: DataFrame, k: int, max_rounds: int = 30) -> DataFrame:
 
 
 def node_attributes(nodes: DataFrame, edges: DataFrame, labels: DataFrame, base_url: str,
-                    degree_edges: DataFrame | None = None) -> DataFrame:
-    """Bounded node list with rank, degrees (0 when none), community (-1 when none), label and link."""
-    counted = degree_edges if degree_edges is not None else edges
-    wanted = F.broadcast(nodes.select("id"))
+                    label: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Node list with rank, degrees (0 when none), community (-1 when none), label and link. ``label`` makes the
+    label's part in brackets from the in-degree."""
+    wanted = nodes.select("id")
 
     def own(df: DataFrame) -> DataFrame:
         return df.join(wanted, "id", "left_semi")
 
-    degree_in = degrees(counted.join(wanted.withColumnRenamed("id", "dst"), "dst", "left_semi"), "dst", "in_degree")
-    degree_out = degrees(counted.join(wanted.withColumnRenamed("id", "src"), "src", "left_semi"), "src", "out_degree")
+    degree_in = degrees(edges.join(wanted.withColumnRenamed("id", "dst"), "dst", "left_semi"), "dst", "in_degree")
+    degree_out = degrees(edges.join(wanted.withColumnRenamed("id", "src"), "src", "left_semi"), "src", "out_degree")
     joined = (nodes.join(degree_in, "id", "left").join(degree_out, "id", "left")
               .join(own(labels), "id", "left"))
     in_degree = F.coalesce("in_degree", F.lit(0))
+    in_brackets = label(in_degree) if label else F.concat(F.lit("in="), in_degree.cast("string"))
     return joined.select(
         *nodes.columns, in_degree.alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"),
         F.coalesce(F.col("label"), F.lit(-1)).alias("community"),
-        F.concat(F.col("id").cast("string"), F.lit(" (in="), in_degree.cast("string"), F.lit(")")).alias("viz_label"),
+        F.concat(F.col("id").cast("string"), F.lit(" ("), in_brackets, F.lit(")")).alias("viz_label"),
         tx.link(F.col("id"), base_url).alias("url"))
 
 
@@ -339,7 +346,8 @@ def bridges(raw_edges: DataFrame, ranks: DataFrame, labels: DataFrame, n: int =
     nodes = (top.join(seen, "id", "left")
              .withColumn("neighbour_communities", F.coalesce("neighbour_communities", F.lit(0)))
              .withColumn("bridge_score", F.col("neighbour_communities") * F.col("rank")))
-    return node_attributes(nodes, edges, labels, base_url), inside
+    told = F.format_string("nComm=%d, bScore=%.3f", "neighbour_communities", "bridge_score")
+    return node_attributes(nodes, edges, labels, base_url, lambda _: told), inside
 
 
 def top_bridges(nodes: DataFrame, k: int = 20) -> DataFrame:
@@ -356,7 +364,7 @@ def report_rows(lists: dict[str, DataFrame], papers: DataFrame, category_map: Da
     for part in parts[1:]:
         wanted = wanted.unionByName(part)
     wanted = cut_lineage(wanted)
-    ids = F.broadcast(wanted.select("id").distinct())
+    ids = wanted.select("id").distinct()
     meta = papers.select("id", "title", "categories", "update_date").join(ids, "id", "left_semi")
     meta = with_pretty_categories(meta, category_map).withColumn("year", year_prefix(F.col("update_date")))
     return wanted.join(meta, "id", "left").select("list", "id", "title", "pretty_categories", "year")

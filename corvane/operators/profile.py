@@ -79,14 +79,18 @@ def missing_version_parts(df: DataFrame) -> DataFrame:
 def duplicate_differences(df: DataFrame, key: str = "id", columns: Sequence[str] | None = None) -> DataFrame:
     """(key, column, distinct values) for duplicated keys and the columns in which their rows differ.
 
-    Null is a value of its own. Each (key, column, value) is combined before the shuffle, so a key with very
-    many rows is never gathered.
+    Null is a value of its own. One aggregate finds the keys and columns that differ (smallest and largest value, or
+    some but not all null); only their cells are stacked, combined before the shuffle, and counted.
     """
     columns = list(columns or [c for c in df.columns if c != key])
+    differs = F.array(*[F.when((F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*"))), F.lit(c)) for c in columns])
+    found = (df.groupBy(key).agg(F.array_compact(differs).alias("__differ"), F.count("*").alias("__n"))
+             .where((F.col("__n") > 1) & (F.size("__differ") > 0)))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    distinct = df.select(key, F.explode(cells).alias("cell")).select(key, "cell.*").distinct()
-    return (distinct.groupBy(key, "column").agg(F.count("*").alias("n_values"))
-            .where(F.col("n_values") > 1))
+    wanted = F.filter(cells, lambda cell: F.array_contains("__differ", cell["column"]))
+    distinct = (df.join(found.select(key, "__differ"), key).select(key, F.explode(wanted).alias("cell"))
+                .select(key, "cell.*").distinct())
+    return distinct.groupBy(key, "column").agg(F.count("*").alias("n_values"))
 
 
 def value_profile(df: DataFrame, column: str, top: int = 20) -> DataFrame:
@@ -102,8 +106,13 @@ def value_profile(df: DataFrame, column: str, top: int = 20) -> DataFrame:
 
 
 def distinctness(df: DataFrame, *columns: str) -> DataFrame:
-    """(column, present rows, distinct values). The cells are stacked, so all columns share one shuffle."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    """(column, present rows, distinct values). The cells are stacked, so all columns share one shuffle, as digests of
+    256 bits where they are longer than that."""
+    def short(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), short(c).alias("value")) for c in columns])
     counts = (df.select(F.explode(cells).alias("cell")).select("cell.*")
               .groupBy("column", "value").agg(F.count("*").alias("n")))
     return counts.where(F.col("value").isNotNull()).groupBy("column").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import people
 from corvane.functions import text as tx
+from corvane.plans.skew import hot_key_join
 
 
 def with_clean_text(df: DataFrame, parts: Sequence[str] = ("title", "abstract"), min_chars: int = 50) -> DataFrame:
@@ -77,25 +78,23 @@ def in_periods(df: DataFrame, periods: Sequence[tuple[int, int]], min_docs: int
     return sliced.join(big_enough.select("period"), "period", "left_semi")
 
 
-def with_pretty_categories(df: DataFrame, category_map: DataFrame, key: str = "id",
-                           out_col: str = "pretty_categories", max_inline: int = 500) -> DataFrame:
+def with_pretty_categories(df: DataFrame, category_map: DataFrame, out_col: str = "pretty_categories") -> DataFrame:
     """Category codes replaced by their names (the code itself when unknown), repeats dropped, in order.
 
-    A dictionary of at most ``max_inline`` names travels as one map value and the papers are not shuffled; a
-    larger one is joined to the exploded codes.
+    Every distinct ``categories`` string is named once and joined back on the string, strings of very many papers in
+    place. Of several names of one code the smallest counts.
     """
-    names = category_map.select("category_id", "pretty_name").na.drop().dropDuplicates(["category_id"])
+    names = (category_map.select("category_id", "pretty_name").na.drop()
+             .groupBy("category_id").agg(F.min("pretty_name").alias("pretty_name")))
+    given = df.where(F.col("categories").isNotNull())
+    strings = given.groupBy("categories").agg(F.count("*").alias("__n"))
     codes = F.filter(F.split(F.trim("categories"), r"\s+"), lambda c: c != "")
-    if names.limit(max_inline + 1).count() <= max_inline:
-        lookup = names.agg(F.map_from_entries(F.collect_list(F.struct("category_id", "pretty_name")))).scalar()
-        pretty = F.transform(F.col("__codes"), lambda c: F.coalesce(F.try_element_at(F.col("__names"), c), c))
-        return (df.withColumn("__codes", codes).withColumn("__names", lookup)
-                .withColumn(out_col, F.when(F.col("categories").isNotNull(),
-                                            F.array_join(F.array_distinct(pretty), "; ")))
-                .drop("__codes", "__names"))
-    parts = df.select(key, F.posexplode(codes).alias("__pos", "category_id")).join(names, "category_id", "left")
+    parts = strings.select("categories", F.posexplode(codes).alias("__pos", "category_id")).join(names, "category_id", "left")
     entry = F.struct("__pos", F.coalesce("pretty_name", "category_id").alias("name"))
-    joined = parts.groupBy(key).agg(F.array_join(F.array_distinct(F.transform(
+    named = parts.groupBy("categories").agg(F.array_join(F.array_distinct(F.transform(
         F.array_sort(F.collect_list(entry)), lambda e: e["name"])), "; ").alias(out_col))
-    return (df.join(joined, key, "left")
-            .withColumn(out_col, F.when(F.col("categories").isNotNull(), F.coalesce(out_col, F.lit("")))))
+    per_string = (strings.join(named, "categories", "left")
+                  .select("categories", "__n", F.coalesce(out_col, F.lit("")).alias(out_col)))
+    total = given.agg(F.count("*")).scalar()
+    done = hot_key_join(given, per_string, "categories", "__n", total).select(*df.columns, out_col)
+    return done.unionByName(df.where(F.col("categories").isNull()).withColumn(out_col, F.lit(None).cast("string")))

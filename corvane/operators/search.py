@@ -7,6 +7,7 @@ are compared at nine decimals and ties go to the smaller id, so equal documents
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,12 @@ from corvane.functions import text as tx
 from corvane.operators import features
 from corvane.plans.ranking import top_k_per_group
 from corvane.plans.runtime import cut_lineage
+from corvane.plans.skew import hot_key_join
 
 # Saturation and length normalisation of BM25.
 K1 = 1.2
 B = 0.75
-MAX_QUERIES = 4096
+QUERY_BLOCK = 4096  # query vectors that a task multiplies at once
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -65,13 +67,17 @@ def bm25(index: DataFrame, terms: DataFrame, n_docs, mean_length, k1: float = K1
 
     Only postings of query terms are touched; their document frequency is their posting count.
     """
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = cut_lineage(index.join(terms.select("term").distinct(), "term", "left_semi"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").select("query_id", "term", (idf * F.col("qtf")).alias("w"))
+    asked = F.struct("query_id", (idf * F.col("qtf")).alias("w"))
+    weights = terms.join(df, "term").groupBy("term").agg(F.first("df").alias("df"), F.collect_list(asked).alias("asked"))
+    total = wanted.agg(F.count("*")).scalar()
     length = 1.0 - b + b * F.col("doc_length") / mean_length
     part = F.col("w") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * length)
-    return (wanted.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")))
+    met = hot_key_join(wanted, weights, "term", "df", total)  # very common terms are scored where their postings lie
+    return (met.select("doc_id", "tf", "doc_length", F.explode("asked").alias("a")).select("*", "a.*")
+            .groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "id", text_col: str = "text_clean",
@@ -87,10 +93,18 @@ def bm25_on_index(index: DataFrame, queries: DataFrame, k: int = 20, k1: float =
     return ranked(bm25(index, cut_lineage(query_terms(queries)), n_docs, mean_length, k1, b), k)
 
 
+def stored_texts(docs: DataFrame, ids: Sequence, key: str, text_col: str) -> DataFrame:
+    """(query_id, text) of the named documents; an unknown id is an error. The list bounds what reaches the driver."""
+    queries = cut_lineage(docs.where(F.col(key).isin(list(ids))).select(F.col(key).alias("query_id"), F.col(text_col).alias("text")))
+    missing = set(ids) - {r["query_id"] for r in queries.select("query_id").distinct().collect()}
+    if missing:
+        raise KeyError(f"no document {sorted(missing)}")
+    return queries
+
+
 def bm25_like(docs: DataFrame, ids: Sequence, k: int = 20, key: str = "id", text_col: str = "text_clean") -> DataFrame:
     """Top k documents for the texts of given documents, themselves left out and ranks closed up."""
-    queries = docs.where(F.col(key).isin(list(ids))).select(F.col(key).alias("query_id"),
-                                                            F.col(text_col).alias("text"))
+    queries = stored_texts(docs, ids, key, text_col)
     hits = without_self(bm25_search(docs, queries, k + 1, key, text_col))
     return ranked(hits, k)
 
@@ -124,8 +138,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 20, **options) ->
 def tfidf_like(docs: DataFrame, ids: Sequence, k: int = 20, key: str = "id", text_col: str = "text_clean",
                **options) -> DataFrame:
     """Top k documents for given documents, themselves and documents without a score left out."""
-    queries = docs.where(F.col(key).isin(list(ids))).select(F.col(key).alias("query_id"),
-                                                            F.col(text_col).alias("text"))
+    queries = stored_texts(docs, ids, key, text_col)
     return ranked(without_self(tfidf_cosine(docs, queries, key=key, text_col=text_col, **options)), k)
 
 
@@ -148,8 +161,10 @@ def nearest(embeddings: DataFrame, queries: pd.DataFrame, k: int = 20, key: str
     The query matrix goes to every task, which multiplies it with its Arrow batches and hands on its own best k
     per query, so k rows per query and task are shuffled, however large the table.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time")
+    if len(queries) > QUERY_BLOCK:
+        blocks = [nearest(embeddings, queries.iloc[i:i + QUERY_BLOCK], k, key, vector, exclude_self)
+                  for i in range(0, len(queries), QUERY_BLOCK)]
+        return reduce(DataFrame.union, blocks)
     query_ids = queries["query_id"].to_numpy()
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in queries["vector"]])
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
@@ -225,6 +240,14 @@ def enriched(hits: DataFrame, papers: DataFrame, key: str = "id",
     return hits.join(meta, "doc_id", "left")
 
 
+def hit_records(hits: DataFrame, papers: DataFrame, query_type: str, key: str = "id") -> DataFrame:
+    """Hits as they are exported: what was asked (its type, value, title and abstract) beside rank, score and metadata."""
+    asked = papers.select(F.col(key).alias("query_id"), F.col("title").alias("query_title"), F.col("abstract").alias("query_abstract"))
+    asked = asked.join(hits.select("query_id").distinct(), "query_id", "left_semi")
+    return (enriched(hits, papers, key).join(asked, "query_id", "left")
+            .withColumns({"query_type": F.lit(query_type), "query_value": F.col("query_id").cast("string")}))
+
+
 def overlap_at_k(hits: DataFrame, k: int = 20) -> DataFrame:
     """Share of common documents for every two methods that answered a query, 0 included.
     ``hits`` is (query_id, method, doc_id, rank)."""

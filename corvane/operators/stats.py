@@ -12,6 +12,7 @@ from corvane.functions.numeric import non_negative_long
 from corvane.operators.records import exploded_categories, frequency, top_values
 from corvane.plans.ranking import global_rank
 from corvane.plans.runtime import cut_lineage
+from corvane.plans.skew import hot_key_join
 from corvane.sources.scan import hash_sample
 
 PAIR_BLOCK = 256
@@ -38,6 +39,11 @@ def mean_per_year(df: DataFrame, metric: Column, year: str = "year", name: str =
             .groupBy(year).agg(F.avg(metric).alias(name)))
 
 
+def means_per_year(df: DataFrame, metrics: dict[str, Column], year: str = "year") -> DataFrame:
+    """Several means in one pass; a year without any value of a metric has null there."""
+    return df.where(F.col(year).isNotNull()).groupBy(year).agg(*[F.avg(m).alias(name) for name, m in metrics.items()])
+
+
 def top_over_time(df: DataFrame, entity: str, k: int, year: str = "year") -> DataFrame:
     """Yearly counts of the k most frequent entities; an entity is ranked over all rows, dated or not."""
     top = top_values(df, entity, k).select(entity)
@@ -83,12 +89,12 @@ def member_pairs(df: DataFrame, group: str, member: str, min_size: int = 2,
     Members of a large group are hashed into blocks of about PAIR_BLOCK, and each pair of blocks is a join key of
     its own, so the pairs of one huge group are spread over many tasks and no list is built.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
+    rows = cut_lineage(df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct())
     sizes = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min_size))
     if max_size is not None:
         sizes = sizes.where(F.col("n") <= max_size)
     blocks = F.ceil(F.col("n") / PAIR_BLOCK)
-    blocked = (rows.join(sizes, "g")
+    blocked = (hot_key_join(rows, sizes, "g", "n", rows.agg(F.count("*")).scalar())
                .withColumn("blocks", blocks)
                .withColumn("b", F.pmod(F.xxhash64("m"), F.col("blocks")))
                .withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))

@@ -12,7 +12,7 @@ from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import numeric
@@ -20,14 +20,14 @@ from corvane.functions import text as tx
 from corvane.operators import features, nmf
 from corvane.operators.records import in_periods
 from corvane.plans.ranking import top_k_per_group
-from corvane.plans.runtime import cut_lineage
+from corvane.plans.runtime import cut_lineage, new_path
+from corvane.plans.skew import hot_key_join
 from corvane.sources.scan import hash_sample
 
 # Sliding-window widths of the two window-based coherences, and the smoothing of their logarithms.
 NPMI_WINDOW = 10
 CV_WINDOW = 110
 EPSILON = 1e-12
-MAX_TOPIC_WORDS = 20_000
 MAX_CENTROIDS = 20_000
 
 log = logging.getLogger(__name__)
@@ -68,57 +68,46 @@ def class_tfidf(docs: DataFrame, topic: str = "topic", tokens_col: str = "tokens
     of words per topic. Noise counts towards f and A as a topic of its own but gets no words."""
     counts = cut_lineage(tx.exploded(docs.withColumn("topic", F.col(topic)), tokens_col, "term", "topic")
                          .groupBy("topic", "term").agg(F.count("*").alias("tf")))
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("f"))
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("topics"))
     mean_words = counts.agg(F.sum("tf") / F.count_distinct("topic")).scalar()
-    return (counts.where(F.col("topic") != noise).join(totals, "term")
+    return (hot_key_join(counts.where(F.col("topic") != noise), totals, "term", "topics", counts.agg(F.count("*")).scalar())
             .select("topic", "term", (F.col("tf") * F.log(1.0 + mean_words / F.col("f"))).alias("weight")))
 
 
 # ---- coherence -----------------------------------------------------------------------------------------------
 
-def presence_counts(docs: DataFrame, words: Sequence[str], window: int | None, tokens_col: str = "tokens") -> DataFrame:
-    """(w1, w2, n): in how many windows both words occur, w1 <= w2; n of (w, w) is the word's own count and the
-    row with both null the number of windows. ``window`` None means whole documents.
+def presence_counts(docs: DataFrame, pairs: DataFrame, window: int | None, tokens_col: str = "tokens") -> DataFrame:
+    """(w1, w2, n) for the wanted ``pairs`` (low, high) and for each of their words with itself: in how many windows
+    both occur. The row with both null has the number of windows. ``window`` None means whole documents.
 
-    Texts stay where they are: every task adds up one small words-by-words table over its documents.
+    A word's places in a document become disjoint runs of windows, so that counting is interval arithmetic; only the
+    wanted pairs of words meet, within their document.
     """
-    if len(words) > MAX_TOPIC_WORDS:
-        raise ValueError(f"more than {MAX_TOPIC_WORDS} topic words")
-    listed = sorted(set(words))
-    number = {w: i for i, w in enumerate(listed)}
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both: dict[tuple[int, int], int] = {}
-        total = 0
-        for frame in frames:
-            for tokens in frame["tokens"]:
-                length = len(tokens)
-                if length == 0:
-                    continue
-                windows = 1 if window is None else max(1, length - window + 1)
-                width = length if window is None else min(window, length)
-                total += windows
-                places: dict[int, list[int]] = {}
-                for place, token in enumerate(tokens):
-                    code = number.get(token)
-                    if code is not None:
-                        places.setdefault(code, []).append(place)
-                if not places:
-                    continue
-                codes = np.array(sorted(places))
-                seen = np.zeros((len(codes), windows), dtype=np.float32)
-                for row, code in enumerate(codes):
-                    for place in places[code]:
-                        seen[row, max(0, place - width + 1):place + 1] = 1.0
-                shared = np.rint(seen.astype(np.float64) @ seen.T.astype(np.float64)).astype(np.int64)
-                for i, j in zip(*np.nonzero(np.triu(shared))):
-                    pair = (int(codes[i]), int(codes[j]))
-                    both[pair] = both.get(pair, 0) + int(shared[i, j])
-        rows = [(listed[i], listed[j], n) for (i, j), n in both.items()] + [(None, None, total)]
-        yield pd.DataFrame(rows, columns=["w1", "w2", "n"])
-
-    parts = docs.select(F.col(tokens_col).alias("tokens")).mapInPandas(count, "w1 string, w2 string, n long")
-    return parts.groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    width = F.lit(window).cast("int")
+    last = F.lit(0) if window is None else F.greatest(F.lit(0), F.col("length") - width)  # the last window's start
+    sized = docs.select(F.col(tokens_col).alias("tokens"), F.size(tokens_col).alias("length")).where("length > 0")
+    total = sized.agg(F.sum(last + 1).cast("bigint").alias("n"))
+    words = pairs.select(F.explode(F.array("low", "high")).alias("w")).distinct()
+    placed = (sized.withColumn("doc", F.monotonically_increasing_id())
+              .select("doc", "length", F.posexplode("tokens").alias("p", "w")).join(words, "w", "left_semi"))
+    low = F.lit(0) if window is None else F.greatest(F.lit(0), F.col("p") - width + 1)
+    high = F.lit(0) if window is None else F.least(F.col("p"), last)
+    spans = cut_lineage(placed.select("doc", "w", low.alias("low"), high.alias("high")).distinct())
+    in_order = Window.partitionBy("doc", "w").orderBy("low", "high")
+    before = F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (spans.withColumn("new", (F.coalesce(before, F.lit(-2)) + 1 < F.col("low")).cast("int"))
+            .withColumn("run", F.sum("new").over(in_order))
+            .groupBy("doc", "w", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    runs = cut_lineage(runs.select("doc", "w", "low", "high"))
+    own = runs.groupBy("w").agg(F.sum(F.col("high") - F.col("low") + 1).cast("bigint").alias("n"))
+    first = pairs.select(F.col("low").alias("w"), F.col("high").alias("other")).distinct()
+    left = runs.join(first, "w").select("doc", "w", "other", F.col("low").alias("a"), F.col("high").alias("b"))
+    right = runs.select("doc", F.col("w").alias("other"), F.col("low").alias("c"), F.col("high").alias("d"))
+    shared = F.least("b", "d") - F.greatest("a", "c") + 1
+    both = left.join(right, ["doc", "other"]).where(shared > 0).groupBy("w", "other").agg(F.sum(shared).cast("bigint").alias("n"))
+    none = F.lit(None).cast("string")
+    return (own.select(F.col("w").alias("w1"), F.col("w").alias("w2"), "n")
+            .union(both.select("w", "other", "n")).union(total.select(none, none, "n")))
 
 
 def word_pairs(words: DataFrame) -> DataFrame:
@@ -131,8 +120,8 @@ def word_pairs(words: DataFrame) -> DataFrame:
 def counted_pairs(words: DataFrame, docs: DataFrame, window: int | None, tokens_col: str) -> tuple[DataFrame, Column]:
     """Pairs with the counts n_1, n_2 and n_12, and the number of windows."""
     words = cut_lineage(words)
-    listed = [r["term"] for r in words.select("term").distinct().limit(MAX_TOPIC_WORDS + 1).collect()]
-    counts = cut_lineage(presence_counts(docs, listed, window, tokens_col))
+    wanted = word_pairs(words).select(F.least("word_1", "word_2").alias("low"), F.greatest("word_1", "word_2").alias("high"))
+    counts = cut_lineage(presence_counts(docs, wanted.distinct(), window, tokens_col))
     own = counts.where(F.col("w1") == F.col("w2"))
     first = own.select(F.col("w1").alias("word_1"), F.col("n").alias("n_1"))
     second = own.select(F.col("w1").alias("word_2"), F.col("n").alias("n_2"))
@@ -186,6 +175,15 @@ def c_v(words: DataFrame, docs: DataFrame, window: int = CV_WINDOW, tokens_col:
     return per_word.groupBy("topic").agg(F.avg(numeric.ratio(F.col("dot"), size)).alias("coherence"))
 
 
+def with_quality(row: DataFrame, words: DataFrame, docs: DataFrame, **parameters) -> DataFrame:
+    """A one-row record with the quality of its topics and the parameters of the fit."""
+    found = cut_lineage(quality(cut_lineage(words), docs))
+    out = row
+    for name in found.columns:
+        out = out.withColumn(name, found.select(name).scalar())
+    return out.withColumns({name: F.lit(value) for name, value in parameters.items()})
+
+
 def quality(words: DataFrame, docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """One row: mean c_v, c_npmi and u_mass over the topics, and diversity with a fixed denominator."""
     top = words.agg(F.max("rank")).first()[0] or 1
@@ -227,34 +225,36 @@ def lda(docs: DataFrame, k: int = 5, max_iter: int = 20, vocab_size: int = 50_00
     return words, metrics
 
 
-def per_group(docs: DataFrame, group: str, min_docs: int, fit: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
-              max_groups: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """``fit`` for every group with enough documents; words and metrics carry the group's name. Every fit runs
-    over the cluster, one after the other; a group that fails is logged and the others go on. The number of
-    groups is what reaches the driver."""
-    docs = cut_lineage(docs)
-    sizes = docs.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    names = [r[0] for r in sizes.orderBy(F.desc("n"), group).limit(max_groups + 1).collect()]
-    if len(names) > max_groups:
-        raise ValueError(f"more than {max_groups} groups; raise min_docs or max_groups")
+def per_group(docs: DataFrame, group: str, min_docs: int,
+              fit: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """``fit`` for every group with enough documents; words and metrics carry the group's name. The documents are
+    written once, a folder for each group, and every fit reads its own and runs over the cluster. A group that
+    cannot be fitted keeps its row, with the error as ``status``. The names of the groups are what reaches the driver."""
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "groups")
+    large = docs.groupBy(group).agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) & F.col(group).isNotNull())
+    docs.join(large.select(group), group, "left_semi").withColumn("__group", F.col(group)).write.partitionBy("__group").parquet(path)
+    stored = spark.read.option("basePath", path).schema(docs.schema.add("__group", docs.schema[group].dataType)).parquet(path)
+    names = [r[0] for r in large.orderBy(F.desc("n"), group).collect()]
     words, metrics = [], []
     for name in names:
+        named = F.lit(name).alias("group")
         try:
-            found, row = fit(docs.where(F.col(group) == name))
-        except Exception:  # a group Spark cannot fit, such as one whose vocabulary is empty
+            found, row = fit(stored.where(F.col("__group") == name).drop("__group"))
+        except Exception as error:  # such as an empty vocabulary
             log.exception("no topics for %s", name)
+            metrics.append(spark.range(1).select(named, F.lit(type(error).__name__).alias("status")))
             continue
-        words.append(found.select(F.lit(name).alias("group"), "*"))
-        metrics.append(row.select(F.lit(name).alias("group"), "*"))
+        words.append(found.select(named, "*"))
+        metrics.append(row.select(named, F.lit("ok").alias("status"), "*"))
     if not words:
         raise ValueError("no group could be fitted")
-    return union_all(words), union_all(metrics)
+    return union_all(words), union_all(sorted(metrics, key=lambda m: -len(m.columns)))
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
-        out = out.unionByName(frame)
+        out = out.unionByName(frame, allowMissingColumns=True)
     return out
 
 
@@ -263,7 +263,7 @@ def lda_per_category(docs: DataFrame, group: str = "main_category", min_docs: in
                      max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
     def fit(part: DataFrame) -> tuple[DataFrame, DataFrame]:
         words, row = lda(part, k, max_iter, vocab_size, min_df, max_df)
-        return words, row.withColumn("diversity", diversity(words).scalar())
+        return words, with_quality(row, words, part, vocab_size=vocab_size, min_df=float(min_df), max_df=float(max_df), max_iter=max_iter)
 
     return per_group(docs, group, min_docs, fit)
 
@@ -273,7 +273,12 @@ def lda_per_period(docs: DataFrame, periods: Sequence[tuple[int, int]], min_docs
                    max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
     """``docs`` has year and tokens; windows may overlap."""
     sliced = in_periods(docs, periods, min_docs)
-    return per_group(sliced, "period", 1, lambda part: lda(part, k, max_iter, vocab_size, min_df, max_df))
+
+    def fit(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        words, row = lda(part, k, max_iter, vocab_size, min_df, max_df)
+        return words, with_quality(row, words, part, vocab_size=vocab_size, min_df=float(min_df), max_df=float(max_df), max_iter=max_iter)
+
+    return per_group(sliced, "period", 1, fit)
 
 
 def nmf_topics(docs: DataFrame, key: str = "id", k: int = 5, max_iter: int = 400, max_df: float = 0.9,
@@ -289,7 +294,12 @@ def nmf_topics(docs: DataFrame, key: str = "id", k: int = 5, max_iter: int = 400
 
 
 def nmf_per_group(docs: DataFrame, group: str, min_docs: int, key: str = "id", **options) -> tuple[DataFrame, DataFrame]:
-    return per_group(docs, group, min_docs, lambda part: nmf_topics(part, key, **options))
+    def fit(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        weights, row = nmf_topics(part, key, **options)
+        words = cut_lineage(top_terms(weights, 10))
+        return words, with_quality(row, words, part)
+
+    return per_group(docs, group, min_docs, fit)
 
 
 def category_texts(papers: DataFrame, main: str) -> DataFrame:

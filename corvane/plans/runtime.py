@@ -58,10 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Rows of an input with fewer splits than the cluster has cores, such as one large row group, hashed by key
-    over all of them; an input with enough splits is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

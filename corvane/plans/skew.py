@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_PARTS of the rows, so there are fewer than HOT_PARTS hot keys.
 HOT_PARTS = 1000
 
 
-def hot_key_join(big: DataFrame, per_key: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def hot_key_join(big: DataFrame, per_key: DataFrame, key: str, weight: str, total: int | Column) -> DataFrame:
     """Inner join of ``big`` with ``per_key``, which has one row per key and in ``weight`` (at least) the number
     of ``big`` rows of that key; ``total`` is the number of ``big`` rows.
 

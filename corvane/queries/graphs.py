@@ -56,10 +56,13 @@ def top_sql(n: int) -> str:
                                 AND dst IN (SELECT id FROM top))"""
 
 
-def attributes_sql(nodes: str, edges: str, extra: str = "") -> str:
+IN_LABEL = "concat(t.id, ' (in=', coalesce(i.d, 0), ')')"
+
+
+def attributes_sql(nodes: str, edges: str, extra: str = "", label: str = IN_LABEL) -> str:
     return f"""SELECT t.id, round(t.rank, 6) AS rank, {extra} CAST(coalesce(i.d, 0) AS BIGINT) AS in_degree,
         CAST(coalesce(o.d, 0) AS BIGINT) AS out_degree, CAST(coalesce(c.label, -1) AS BIGINT) AS community,
-        concat(t.id, ' (in=', coalesce(i.d, 0), ')') AS viz_label, concat('{BASE}', t.id) AS url
+        {label} AS viz_label, concat('{BASE}', t.id) AS url
       FROM {nodes} t LEFT JOIN (SELECT dst, count(*) AS d FROM {edges} GROUP BY dst) i ON i.dst = t.id
       LEFT JOIN (SELECT src, count(*) AS d FROM {edges} GROUP BY src) o ON o.src = t.id
       LEFT JOIN comm c ON c.id = t.id"""
@@ -277,7 +280,8 @@ BRIDGE_SQL = f"""WITH {rank_sql()}, {label_sql()}, {top_sql(40)},
 
 
 @query("G15_bridge_nodes", BRIDGE_SQL + attributes_sql(
-    "btop", "clean_edges", "CAST(t.nc AS BIGINT) AS neighbour_communities, round(t.score, 6) AS bridge_score,"))
+    "btop", "clean_edges", "CAST(t.nc AS BIGINT) AS neighbour_communities, round(t.score, 6) AS bridge_score,",
+    "concat(t.id, ' (nComm=', t.nc, ', bScore=', printf('%.3f', t.score), ')')"))
 def _(t):
     nodes, _ = graph.bridges(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
     return nodes.withColumns({c: r6(F.col(c)) for c in ("rank", "bridge_score")})
@@ -309,3 +313,15 @@ def _(t):
     lists = {"out": graph.top_degrees(edges, "src"), "in": graph.top_degrees(edges, "dst"),
              "rank": graph.top_ranked(ranks_of(t), 10)}
     return graph.report_rows(lists, t.dated_papers(), names)
+
+
+@query("G13_community_edges", f"WITH {rank_sql()}, {top_sql(20)} SELECT src, dst, 'Directed' AS type FROM inside")
+def _(t):
+    _, edges = graph.community_map(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+    return edges.withColumn("type", F.lit("Directed"))
+
+
+@query("G15_bridge_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst, 'Directed' AS type FROM inside")
+def _(t):
+    _, edges = graph.bridges(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+    return edges.withColumn("type", F.lit("Directed"))

@@ -62,7 +62,7 @@ def _(t):
 @query("T10_word_vectors")
 def _(t):
     docs = language_docs(t)
-    model = features.word2vec_stages(vector_size=50, partitions=8, label=False).fit(docs)
+    model = features.word2vec_stages(partitions=8, label=False).fit(docs)
     return features.components(model.transform(docs), "features", ["x", "y"]).select("id", r6(F.col("x")).alias("x"),
                                                                                      r6(F.col("y")).alias("y"))
 
@@ -87,7 +87,7 @@ def _(t):
 def small_rows(t: Tables):
     """Vocabulary features: trees bin every column, so they get a fitted vocabulary instead of hash buckets."""
     docs = language_docs(t)
-    rows = features.vocabulary_stages(2000, 5.0).fit(docs).transform(docs)
+    rows = features.vocabulary_stages(10_000, 2.0).fit(docs).transform(docs)
     return cut_lineage(features.feature_rows(rows))
 
 
@@ -98,12 +98,12 @@ def _(t):
 
 @query("M04_random_forest")
 def _(t):
-    return scores(classify.run_classifier(small_rows(t), classify.random_forest(trees=50)))
+    return scores(classify.run_classifier(small_rows(t), classify.random_forest()))
 
 
 @query("M05_word_vectors_logistic")
 def _(t):
-    return scores(classify.run_classifier(language_docs(t), classify.word2vec_logistic(50, partitions=8)))
+    return scores(classify.run_classifier(language_docs(t), classify.word2vec_logistic(200, max_iter=60, reg=0.1, partitions=8)))
 
 
 @query("M06_train_and_evaluate")
@@ -121,8 +121,8 @@ def _(t):
 @query("M07_ablation")
 def _(t):
     first = classify.ABLATION[:1]
-    path = classify.ablation(language_docs(t), settings=first, estimator=classify.naive_bayes)
-    path = classify.ablation(language_docs(t), path, estimator=classify.naive_bayes)
+    path = classify.ablation(language_docs(t), min_df=2.0, settings=first)
+    path = classify.ablation(language_docs(t), path, min_df=2.0)
     return t.spark.read.parquet(path)
 
 
@@ -136,7 +136,7 @@ def _(t):
 @query("M08_kmeans_tfidf")
 def _(t):
     rows = hashed_rows(t).select("features", "label_str")
-    return evaluate.cluster_summary(evaluate.contingency(classify.clustered(rows, 30, 10)))
+    return evaluate.cluster_summary(evaluate.contingency(classify.clustered(rows, 30)))
 
 
 @query("M09_plane")
@@ -147,7 +147,7 @@ def _(t):
 
 @query("M10_chi_square")
 def _(t):
-    return features.feature_summary(classify.chi_square_features(small_rows(t), 300), "selected")
+    return features.feature_summary(classify.chi_square_features(small_rows(t)), "selected")
 
 
 @query("M02_quality_labels")

@@ -155,12 +155,10 @@ def _(t):
            round(avg(length(title)), 6) AS mean_title_len, round(avg(CAST(citations AS BIGINT)), 6) AS mean_cit
     FROM dated_papers JOIN paper_years USING (id) GROUP BY yr""")
 def _(t):
-    papers = dated(t)
-    cats = stats.mean_per_year(papers, F.size(tx.category_list(F.col("categories"))), name="mean_categories")
-    titles = stats.mean_per_year(papers, F.length("title"), name="mean_title_len")
-    cit = stats.mean_per_year(papers, F.col("citations").try_cast("bigint"), name="mean_cit")
-    joined = cats.join(titles, "year").join(cit, "year")
-    return joined.select("year", *[r6(F.col(c)).alias(c) for c in ("mean_categories", "mean_title_len", "mean_cit")])
+    means = stats.means_per_year(dated(t), {
+        "mean_categories": F.size(tx.category_list(F.col("categories"))), "mean_title_len": F.length("title"),
+        "mean_cit": F.col("citations").try_cast("bigint")})
+    return means.select("year", *[r6(F.col(c)).alias(c) for c in means.columns[1:]])
 
 
 @query("A14_top_authors_over_time", """

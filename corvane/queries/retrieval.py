@@ -12,7 +12,7 @@ from corvane.plans.runtime import new_path
 from corvane.queries.registry import query
 from corvane.queries.views import Tables, clean_sql
 
-QUERY_DOCS = (3, 41, 128, 250, 377)
+QUERY_DOCS = (3, 41, 128, 150, 177)  # in the tables of every size
 IDS = ", ".join(map(str, QUERY_DOCS))
 
 
@@ -100,7 +100,7 @@ def _(t):
 
 @query("T11_lemmatised_large_dictionary", LEMMA_SQL)
 def _(t):
-    return features.lemmatised(t.clean_docs(), t.lemma_dict(), max_inline=0)
+    return features.lemmatised(t.clean_docs().repartition("id"), t.lemma_dict())
 
 
 @query("T13_max_term_weights", """
@@ -108,12 +108,12 @@ def _(t):
          n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM clean_docs),
          vocab AS (SELECT term, ln((n + 1.0) / (df + 1.0)) + 1.0 AS idf FROM (
              SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term), n
-           WHERE df <= 0.9 * n AND df >= 0.02 * n ORDER BY total DESC, term LIMIT 500),
+           WHERE df <= 0.9 * n AND df >= 0.001 * n ORDER BY total DESC, term LIMIT 30000),
          raw AS (SELECT id, term, tf * idf AS w FROM tf JOIN vocab USING (term)),
          len AS (SELECT id, sqrt(sum(w * w)) AS l FROM raw GROUP BY id)
     SELECT id, term, round(w / l, 6) AS weight FROM raw JOIN len USING (id)""")
 def _(t):
-    weights = features.max_term_weights(features.tokenised(t.clean_docs()), min_df=0.02, max_features=500)
+    weights = features.max_term_weights(features.tokenised(t.clean_docs()))
     return weights.withColumn("weight", r6(F.col("weight")))
 
 
@@ -275,9 +275,11 @@ def _(t):
 
 
 @query("V12_enriched_hits", f"""WITH {bm25_ctes('docs')}, hits AS ({hits_sql('scored', 20, 'query_id <> doc_id')})
-    SELECT h.*, p.title, p.abstract, p.categories FROM hits h LEFT JOIN papers p ON p.id = h.doc_id""")
+    SELECT h.*, p.title, p.abstract, p.categories, 'id' AS query_type, CAST(h.query_id AS VARCHAR) AS query_value,
+           q.title AS query_title, q.abstract AS query_abstract
+    FROM hits h LEFT JOIN papers p ON p.id = h.doc_id LEFT JOIN papers q ON q.id = h.query_id""")
 def _(t):
-    return search.enriched(shown(search.bm25_like(t.clean_docs(), QUERY_DOCS, 20)), t.papers())
+    return search.hit_records(shown(search.bm25_like(t.clean_docs(), QUERY_DOCS, 20)), t.papers(), "id")
 
 
 def method_hits(t: Tables):

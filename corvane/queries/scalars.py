@@ -162,7 +162,7 @@ def _(t):
 
 @query("P20_pretty_categories_large_map", PRETTY_SQL)
 def _(t):
-    shown = records.with_pretty_categories(t.papers(), t.category_map(), max_inline=0)
+    shown = records.with_pretty_categories(t.papers().repartition(3), t.category_map().repartition(3))
     return shown.select("id", "pretty_categories")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.numeric import r6
-from corvane.operators import features, topics
+from corvane.operators import encode, features, topics
 from corvane.queries.registry import query
 from corvane.queries.views import Tables
 
@@ -18,16 +18,15 @@ def token_docs(t: Tables):
 
 
 def labelled_docs(t: Tables):
-    """Embedded documents with their cluster label as topic, every third one noise."""
-    noise = F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("label"))
-    vectors = t.embeddings.select(F.col("vec_id").alias("id"), noise.cast("bigint").alias("topic"), "embedding")
-    docs = features.tokenised(t.clean_docs(), output_col="tokens").select("id", "tokens")
-    return vectors.join(docs, "id")
+    """All documents with the number of their source as topic, every third one noise."""
+    noise = F.when(F.col("id") % 3 == 0, -1).otherwise(F.regexp_extract("label_str", "([0-9]+)$", 1).cast("bigint"))
+    docs = features.tokenised(t.clean_docs(), output_col="tokens")
+    return docs.select("id", noise.cast("bigint").alias("topic"), "tokens")
 
 
 LABELLED = """lab AS MATERIALIZED (
-    SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS topic FROM embeddings
-    WHERE vec_id IN (SELECT id FROM clean_docs))"""
+    SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) END AS topic
+    FROM documents)"""
 CTFIDF = f"""{LABELLED},
     tt AS MATERIALIZED (SELECT topic, token AS term, count(*) AS tf FROM lab JOIN tokens USING (id) GROUP BY 1, 2),
     ff AS (SELECT term, sum(tf) AS f FROM tt GROUP BY term),
@@ -122,25 +121,25 @@ def _(t):
 
 @query("C01_lda")
 def _(t):
-    words, _ = topics.lda(token_docs(t), max_iter=10, min_df=5.0)
+    words, _ = topics.lda(token_docs(t), min_df=5.0)
     return words
 
 
 @query("C10_lda_fit_scores")
 def _(t):
-    _, metrics = topics.lda(token_docs(t), max_iter=10, min_df=5.0)
+    _, metrics = topics.lda(token_docs(t), min_df=5.0)
     return metrics
 
 
 @query("C02_lda_per_category")
 def _(t):
-    words, _ = topics.lda_per_category(token_docs(t), "lang", 50, k=3, max_iter=5)
+    words, _ = topics.lda_per_category(token_docs(t), "lang")
     return words
 
 
 @query("C11_category_metrics")
 def _(t):
-    _, metrics = topics.lda_per_category(token_docs(t), "lang", 50, k=3, max_iter=5)
+    _, metrics = topics.lda_per_category(token_docs(t), "lang")
     return metrics
 
 
@@ -155,19 +154,19 @@ PERIODS = ((1995, 1997), (1997, 1999), (2000, 2001))
 
 @query("C03_lda_per_period")
 def _(t):
-    words, _ = topics.lda_per_period(dated_docs(t), PERIODS, min_docs=20, k=3, min_df=2.0, max_iter=5)
+    words, _ = topics.lda_per_period(dated_docs(t), PERIODS, min_docs=20, min_df=2.0)
     return words
 
 
 @query("C04_nmf")
 def _(t):
-    weights, _ = topics.nmf_topics(token_docs(t), k=5, max_iter=30, min_df=0.005)
+    weights, _ = topics.nmf_topics(token_docs(t))
     return topics.top_terms(weights, 10)
 
 
 @query("C04_nmf_per_category")
 def _(t):
-    _, metrics = topics.nmf_per_group(token_docs(t), "lang", 50, k=3, max_iter=10, min_df=0.01)
+    _, metrics = topics.nmf_per_group(token_docs(t), "lang", 5)
     return metrics
 
 
@@ -231,18 +230,20 @@ def _(t):
 
 
 def embedded_docs(t: Tables):
-    vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return dated_docs(t).join(vectors, "id")
+    """Every document with the vector its text encodes to; a document without an order of its number has no year."""
+    vectors = encode.embedded(t.documents, "hashed-384", key="doc_id")
+    years = t.orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"))
+    return token_docs(t).join(vectors, "id").join(years, "id", "left")
 
 
 @query("C18_repeated_runs")
 def _(t):
-    return topics.repeated_runs(embedded_docs(t), (0, 1), 0.8, k=5, min_size=5)
+    return topics.repeated_runs(embedded_docs(t), range(5), 0.8, k=5, min_size=5)
 
 
 @query("C19_cluster_topics_per_period")
 def _(t):
-    words, _ = topics.cluster_topics_per_period(embedded_docs(t), PERIODS[:2], min_docs=5, k=3, min_size=2, threshold=0.0)
+    words, _ = topics.cluster_topics_per_period(embedded_docs(t), PERIODS, min_docs=5, k=3, min_size=2)
     return words
 
 

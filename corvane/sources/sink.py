@@ -28,7 +28,7 @@ def write_partitioned_csv(df: DataFrame, path: str, by: str, quote_all: bool = F
 
 def write_single_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     """One file with a header, for reports of bounded size such as top lists."""
-    (df.coalesce(1).write.mode("overwrite").option("header", True)
+    (df.repartition(1).write.mode("overwrite").option("header", True)
      .option("quoteAll", quote_all).option("escape", '"').csv(path))
 
 
@@ -42,7 +42,7 @@ def key_values(one_row: DataFrame) -> DataFrame:
 def write_key_values(summary: DataFrame, path: str) -> None:
     """The same (key, value) rows as JSON lines and as CSV."""
     flat = summary.withColumn("value", F.regexp_replace("value", r"[\r\n]", " "))
-    summary.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    summary.repartition(1).write.mode("overwrite").json(f"{path}/json")
     write_single_csv(flat, f"{path}/csv", quote_all=True)
 
 

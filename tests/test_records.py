@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import numeric, people
 from corvane.functions import text as tx
 from corvane.functions.stopwords import ENGLISH
-from corvane.operators import features, profile, records, sampling, stats
+from corvane.operators import graph, features, profile, records, sampling, stats
 from corvane.plans import ranking, skew
 from corvane.plans.runtime import new_path
 from corvane.sources import scan, sink
@@ -157,9 +157,15 @@ def test_pretty_categories(spark):
     df = spark.createDataFrame([(1, "a.x  b a.x"), (2, None), (3, "")], "id int, categories string")
     names = spark.createDataFrame([("a.x", "Alpha", "A"), ("c", None, "C")],
                                   "category_id string, pretty_name string, group_name string")
-    for inline in (500, 0):
-        shown = records.with_pretty_categories(df, names, max_inline=inline).orderBy("id")
-        assert [r.pretty_categories for r in shown.collect()] == ["Alpha; b", None, ""]
+    shown = records.with_pretty_categories(df, names).orderBy("id")
+    assert [r.pretty_categories for r in shown.collect()] == ["Alpha; b", None, ""]
+
+
+def test_pretty_categories_with_repeated_keys_and_a_hot_string(spark):
+    df = spark.createDataFrame([("x", "a b"), ("x", "c a")] + [("y", "a b")] * 3000, "id string, categories string")
+    names = spark.createDataFrame([("a", "Z", "g"), ("a", "A", "g")], "category_id string, pretty_name string, group_name string")
+    shown = records.with_pretty_categories(df, names).groupBy("id", "pretty_categories").count()
+    assert sorted(values(shown)) == [("x", "A; b", 1), ("x", "c; A", 1), ("y", "A; b", 3000)]
 
 
 def test_samples(spark):
@@ -172,12 +178,26 @@ def test_samples(spark):
     assert sampling.fixed_size(df, 10).count() == 10
 
 
-def test_lemma_paths_agree(spark):
+def test_lemmas(spark):
     docs = spark.createDataFrame([(1, "The cats running x9 far"), (2, ""), (3, "cats")], "id int, text_clean string")
     lemmas = spark.createDataFrame([("cats", "cat"), ("running", "run")], "form string, lemma string")
-    for inline in (10, 0):
-        got = sorted(values(features.lemmatised(docs, lemmas, max_inline=inline)))
-        assert got == [(1, "cat run far"), (2, ""), (3, "cat")]
+    assert sorted(values(features.lemmatised(docs, lemmas))) == [(1, "cat run far"), (2, ""), (3, "cat")]
+
+
+def test_lemmas_with_repeated_keys_a_hot_form_and_two_lemmas(spark):
+    rows = [(1, "cats run"), (1, "dogs"), (1, "dogs"), (None, "cats")] + [(i, "cats " * 40) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "id int, text_clean string")
+    lemmas = spark.createDataFrame([("cats", "zat"), ("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
+    got = sorted(values(features.lemmatised(docs, lemmas)), key=str)
+    want = [(1, "cat run"), (1, "dog"), (1, "dog"), (None, "cat")] + [(i, " ".join(["cat"] * 40)) for i in range(2, 60)]
+    assert got == sorted(want, key=str)
+
+
+def test_loops_settle(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert graph.k_core(path, 2).isEmpty()
+    with pytest.raises(RuntimeError):
+        graph.page_rank(path, tolerance=1e-12, max_rounds=2)
 
 
 def test_clipped_histogram_counts_every_kept_value(spark):
