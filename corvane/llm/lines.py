@@ -35,11 +35,11 @@ from pyspark.sql.window import Window
 from corvane.llm.common import WORD, fresh, row_key, stored
 
 SHINGLE = 5
-WORD_BITS, SHINGLE_BITS = 24, 20  # counters of words and of shingles, one byte each where they are used
+WORD_BITS, SHINGLE_BITS = 23, 20  # counters of words and of shingles, one byte each where they are used
 WORD_COUNTERS = 1 << WORD_BITS
 COUNTERS = WORD_COUNTERS + (1 << SHINGLE_BITS)
 SLICES = COUNTERS >> 18
-SIEVE_BITS, SIEVE_SLICES = 1 << 24, 64
+SIEVE_BITS, SIEVE_SLICES = 1 << 22, 16
 SLOTS = 1 << 20
 BEFORE = 64  # meeting shingles of a class that are listed as preceding another
 PER_SLICE = COUNTERS // SLICES
@@ -99,8 +99,9 @@ class Words:
             run_hashes(LOWER[data[lo:hi]], starts[i:j] - lo, ends[i:j] - lo, BYTE_BASE, BYTE_BACK)
             for i, j, lo, hi in chunks(starts, ends)])
         newlines = np.flatnonzero(data == 10)
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        line = np.searchsorted(newlines, starts)  # newlines before the word
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+        bounds = np.concatenate([[0], np.searchsorted(starts, newlines), [len(starts)]])
+        line = np.repeat(np.arange(len(newlines) + 1), np.diff(bounds))  # newlines before the word
         new = np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
         self.line = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
@@ -140,7 +141,7 @@ def chunks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int
 
 def in_parts(texts: pa.Array) -> Iterator[tuple[int, Words]]:
     """The texts a few at a time: (row of the first, words). A part has TEXTS_AT_ONCE bytes, or one longer text."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
     i = 0
@@ -328,15 +329,34 @@ def fetched_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
 
 
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle and class, those whose shingle has several classes, each class once: after dropping
+    repeats, a row stays if a neighbour has its shingle. One row waits for the next batch."""
+    waiting: pa.RecordBatch | None = None
+    joined = False  # whether the waiting row's shingle is also the row's before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([waiting, batch]) if waiting is not None else batch
+        shingle, own = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        new = np.append(True, (shingle[1:] != shingle[:-1]) | (own[1:] != own[:-1]))
+        at = np.flatnonzero(new)
+        same = shingle[at][1:] == shingle[at][:-1]
+        stays = np.append(joined, same) | np.append(same, False)
+        yield rows.take(pa.array(at[:-1][stays[:-1]]))
+        joined = bool(same[-1]) if len(same) else joined
+        waiting = rows.slice(int(at[-1]), 1)
+    if waiting is not None and joined:
+        yield waiting
+
+
 def meeting_classes(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(shingle, class, n, at, odd): the classes that share a prefix shingle with another."""
     ranks = texts.sparkSession.sparkContext.broadcast(ranks)
     rows = texts.select("text").mapInArrow(lambda batches: prefix_task(ranks.value)(batches),
                                            "shingle long, class long, n int, at int, odd long")
-    there = Window.partitionBy("shingle")
-    several = F.min("class").over(there) != F.max("class").over(there)
-    met = rows.repartition("shingle").withColumn("several", several).where("several").drop("several")
-    return stored(met.distinct(), "meeting")  # distinct: a class may come from several tasks
+    in_order = rows.repartition("shingle").sortWithinPartitions("shingle", "class")
+    return stored(in_order.mapInArrow(shared_rows, in_order.schema), "meeting")
 
 
 def later_classes(texts: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from corvane.llm import lines
 from corvane.llm.queries import QUERIES
 from tests.llm import cases
@@ -55,3 +57,20 @@ def test_query(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = QUERIES["op9_line_dedup"](spark, "/root/testdata/sf0.001")
     assert texts_of(got) == cases.deduplicated([(r.doc_id, r.text) for r in rows])
+
+
+def test_shared_rows_over_any_batches():
+    rng = random.Random(2)
+    names = ["shingle", "class", "n", "at", "odd"]
+    for _ in range(300):
+        rows = sorted((rng.randrange(6), rng.randrange(4)) for _ in range(rng.randrange(30)))
+        per = {s: {c for t, c in rows if t == s} for s, _ in rows}
+        wanted = sorted({(s, c) for s, c in rows if len(per[s]) > 1})
+        batches, i = [], 0
+        while i < len(rows):
+            j = i + rng.randrange(1, 5)
+            cols = [pa.array([r[k] for r in rows[i:j]], pa.int64()) for k in (0, 1, 1, 1, 1)]
+            batches.append(pa.RecordBatch.from_arrays(cols, names))
+            i = j
+        got = [(s, c) for b in lines.shared_rows(iter(batches)) for s, c in zip(b[0].to_pylist(), b[1].to_pylist())]
+        assert got == wanted
