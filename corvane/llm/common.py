@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from corvane.plans.runtime import new_path
 # The white space that separates words: space and the five control characters from tab to carriage return.
 # It is also what Python's bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
+TEXTS_IN_A_BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +34,23 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = TEXTS_IN_A_BATCH) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is executed meanwhile: whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(given), rows) if int(given) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage like a checkpoint, in less space."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import forest, fresh, row_key
+from corvane.llm.common import forest, fresh, row_key, stored
 from corvane.operators.graph import connected_components
 from corvane.plans.runtime import cut_lineage
 
@@ -189,8 +189,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                max_distance: int = 4) -> DataFrame:
     """One row per document: id, row_key, fp, component_id (smallest id reachable), keep_key (the row_key of the
     component's row with the smallest id, then the smallest key)."""
-    rows = cut_lineage(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"),
-                                   fingerprint(F.col(text_col), shingle).alias("fp")))
+    rows = stored(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"),
+                              fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("first")
     groups = rows.groupBy("fp").agg(first)
     links = cut_lineage(fingerprint_links(groups.select("fp"), max_distance))

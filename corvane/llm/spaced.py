@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import fresh, row_key
+from corvane.llm.common import fresh, row_key, stored
 from corvane.plans.runtime import cut_lineage
 
 TOKEN = re.compile(r"\w+")
@@ -222,7 +222,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     masks = sorted({tuple(r["mask"]) for r in short} | set(MASKS))
     sieve = spark.sparkContext.broadcast(sieve_of(rows))
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    hits = document_hits(texts, sieve, masks)
+    hits = stored(document_hits(texts, sieve, masks), "hits")
     span = F.element_at("mask", -1) + 1
     wanted = rows.select("hash", "item", "n", F.col("at").alias("item_at"), F.col("before").alias("item_before"),
                          F.col("tokens").alias("item_tokens"), span.alias("span"))
