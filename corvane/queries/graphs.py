@@ -232,9 +232,9 @@ def _(t):
     return graph.distance_histogram(found)
 
 
-@query("G12_k_core", f"WITH {core_sql('sym_edges', 40)} SELECT id FROM core")
+@query("G12_k_core", f"WITH {core_sql('sym_edges', 20, 20)} SELECT id FROM core")
 def _(t):
-    return graph.k_core(t.citations(), 40)
+    return graph.k_core(t.citations(), 20)
 
 
 @query("J10_induced_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst FROM inside")
