@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from corvane.llm.common import WORD, fresh, row_key, stored
 
 SHINGLE = 5
-WORD_BITS, SHINGLE_BITS = 23, 20  # counters of words and of shingles, one byte each where they are used
+WORD_BITS, SHINGLE_BITS = 24, 20  # counters of words and of shingles, one byte each where they are used
 WORD_COUNTERS = 1 << WORD_BITS
 COUNTERS = WORD_COUNTERS + (1 << SHINGLE_BITS)
 SLICES = COUNTERS >> 18
@@ -432,7 +432,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(slot, slot_of(F.col(key)))
     slots = F.broadcast(found.select(slot_of(F.col(key)).alias(slot)).distinct())
     # Only documents that may lose lines are shuffled.
-    joined = keyed.join(slots, slot, "left_semi").join(found, key, "left")
+    joined = keyed.join(slots, slot, "left_semi").join(found.hint("shuffle_hash"), key, "left")  # texts aren't sorted
     untouched = keyed.join(slots, slot, "left_anti").withColumn(removed, F.lit(None).cast("array<int>"))
     joined = joined.unionByName(untouched)
     parts = F.split(F.col(text_col), "\n", -1)
