@@ -91,8 +91,9 @@ def test_presence_counts(spark, window):
     texts = ["a b c a d e f a", "b", "", "c c c a", "x y z"]
     docs = features.tokenised(spark.createDataFrame([(t,) for t in texts], "text_clean string").repartition(3))
     words = ["a", "b", "c", "q"]
+    pairs = spark.createDataFrame(list(itertools.combinations(words, 2)), "low string, high string")
     own, both, total = brute_counts([t.split() for t in texts], words, window)
-    got = {(r.w1, r.w2): r.n for r in topics.presence_counts(docs, words, window).collect()}
+    got = {(r.w1, r.w2): r.n for r in topics.presence_counts(docs, pairs, window).collect()}
     assert got.pop((None, None)) == total
     assert {k[0]: n for k, n in got.items() if k[0] == k[1]} == own
     assert {k: n for k, n in got.items() if k[0] != k[1]} == both
@@ -159,7 +160,8 @@ def test_failed_group_does_not_stop_the_others(spark, docs):
         return part.select(F.lit(0).alias("topic")), part.groupBy().count()
 
     words, metrics = topics.per_group(docs, "label_str", 1, fit)
-    assert {r.group for r in words.collect()} == {"a"} and metrics.count() == 1
+    assert {r.group for r in words.collect()} == {"a"}
+    assert {r.group: r.status for r in metrics.collect()} == {"a": "ok", "b": "RuntimeError"}
 
 
 def test_silhouette_range(spark, docs):
