@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from corvane.queries import ORACLES, QUERIES  # those of corvane/llm have their tests in tests/llm
 from tests.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
