@@ -9,19 +9,24 @@ segments' ends picks boundaries and kinds together. An entity has at most ``MAX_
 an "@"; every other word is a segment of no kind, so a text falls apart, exactly, into its runs of such words, and
 each run is solved by itself between two segments of no kind.
 
-It is fitted by maximum likelihood on runs from a bounded sample of documents, those ``max_docs`` with a digit or "@"
-whose ids hash lowest, with the base spans as labels; each labelled run also teaches rewritten forms of its entity
-(``rewritten``), which is where the added kinds of writing come from, and numbers that are none (``decoys``). Scoring covers every document and whole texts.
+It is fitted by maximum likelihood with the base spans as labels, on a sample from all runs of all documents: of the
+runs with a base span and of those without, each for itself, the ``max_runs`` that hash lowest. A run of more than
+``PIECE`` words counts as several, cut between entities. Each labelled run also teaches rewritten forms of its entity
+(``rewritten``), which is where the added kinds of writing come from, and numbers that are none (``decoys``). Scoring
+covers every document and whole texts.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows are judged
-alike; without any document to learn from, nothing is added.
+alike; without any base span to learn from, nothing is added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import json
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.plans.ranking import top_k_per_group
+
 # Fixed values of the contract.
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -38,10 +45,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a run of d
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MAX_DOCS = 1500
-MAX_RUNS = 1000
-RUNS_OF_A_DOC = 20
+MAX_RUNS = 500  # of each: runs with a base span, runs without
 MAX_WORDS = 6
+PIECE = 4 * MAX_WORDS  # words that are learned from at once
 EPOCHS = 8
 NONE = len(KINDS)  # the kind of a segment that is no entity
 ANCHOR = re.compile(r"[0-9@]")
@@ -325,41 +331,92 @@ def decoys(run: Run) -> Iterator[Run]:
 
 def fit_runs(runs: Sequence[Run], epochs: int = EPOCHS) -> Model:
     model, squares = Model(), {}
-    taught = [r for run in runs for r in (run, *rewritten(run), *decoys(run)) if len(r.words) <= 4 * MAX_WORDS]
+    taught = [r for run in runs for r in (run, *rewritten(run), *decoys(run))]
     known = [{(i, j): features(r, i, j) for i in range(len(r.words))
               for j in range(i + 1, min(i + MAX_WORDS, len(r.words)) + 1)} for r in taught]
     order = np.random.default_rng(7)
-    for _ in range(epochs if any(r.gold for r in taught) else 0):
+    for _ in range(epochs):
         for at in order.permutation(len(taught)):
             learn(model, taught[at], known[at], squares)
     return model
 
 
-def labelled_runs(text: str) -> list[Run]:
-    """Up to RUNS_OF_A_DOC runs of a training text with their base spans."""
-    spans, out = base_spans(text), []
+def pieces(run: Run) -> Iterator[Run]:
+    """The run in pieces of at most PIECE words; an entity that its words bound stays in one piece."""
+    if len(run.words) <= PIECE:
+        yield run
+        return
+    cuts, first = [], 0  # a piece is filled up by whole segments
+    for i, j, _ in segments(run):
+        if j - first > PIECE:
+            cuts.append((first, i))
+            first = i
+    for i, j in [*cuts, (first, len(run.words))]:
+        a, b = run.words[i][0], run.words[j - 1][1]
+        before = run.text[run.words[i - 1][0]:run.words[i - 1][1]].lower().strip(EDGE) if i else run.before
+        yield Run(run.text[a:b], [(s - a, e - a) for s, e in run.words[i:j]], run.start + a, before,
+                  [(k, s - a, e - a) for k, s, e in run.gold if s >= a and e <= b])
+
+
+def labelled_runs(text: str) -> Iterator[Run]:
+    """The runs of a training text with their base spans, long ones in pieces."""
+    spans = base_spans(text)
+    starts = [a for _, a, _ in spans]
     for run in runs_of(text):
         end = run.start + len(run.text)
-        run.gold = [(k, a - run.start, b - run.start) for k, a, b in spans if a >= run.start and b <= end]
-        out.append(run)
-        if len(out) == RUNS_OF_A_DOC:
-            break
+        near = spans[bisect_left(starts, run.start):bisect_left(starts, end)]
+        run.gold = [(k, a - run.start, b - run.start) for k, a, b in near if b <= end]
+        yield from pieces(run)
+
+
+class Lowest:
+    """The ``n`` distinct runs that hash lowest."""
+
+    def __init__(self, n: int):
+        self.n, self.heap, self.rows = n, [], {}
+
+    def add(self, key: int, row: Run) -> None:
+        if key in self.rows or (len(self.heap) == self.n and key >= -self.heap[0]):
+            return
+        self.rows[key] = row
+        heapq.heappush(self.heap, -key)
+        if len(self.heap) > self.n:
+            del self.rows[-heapq.heappop(self.heap)]
+
+
+SAMPLE = "labelled boolean, hash long, run string"
+
+
+def sampled_runs(docs: DataFrame, id_col: str, text_col: str, max_runs: int) -> list[Run]:
+    """Up to ``max_runs`` runs with a base span and as many without, by the hash of id and run over all documents.
+    A task hands on no more than these numbers of its own."""
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = {True: Lowest(max_runs), False: Lowest(max_runs)}
+        for batch in batches:
+            for doc, text in zip(batch["id"], batch["text"]):
+                for run in labelled_runs(text):
+                    name = f"{doc} {run.before} {run.text} {run.gold}".encode()
+                    kept[bool(run.gold)].add(int.from_bytes(hashlib.blake2b(name, digest_size=8).digest()) >> 1, run)
+        yield pd.DataFrame([(labelled, key, json.dumps([r.text, r.words, r.before, r.gold]))
+                            for labelled, low in kept.items() for key, r in low.rows.items()],
+                           columns=["labelled", "hash", "run"])
+
+    texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).cast("string").alias("id"),
+                                                               F.col(text_col).alias("text"))
+    found = texts.mapInPandas(lowest, SAMPLE).distinct()
+    rows = top_k_per_group(found, ["labelled"], [F.col("hash"), F.col("run")], max_runs).collect()
+    out = []
+    for r in sorted(rows, key=lambda r: (r["hash"], r["run"])):
+        text, words, before, gold = json.loads(r["run"])
+        out.append(Run(text, [tuple(w) for w in words], 0, before, [tuple(g) for g in gold]))
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS,
-        max_runs: int = MAX_RUNS) -> Model | None:
-    """The model learned from a bounded sample of the documents; None if no document has a digit or "@"."""
-    ids = (docs.where(F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
-           .orderBy(F.xxhash64("id"), "id").limit(max_docs).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    run_type = "array<struct<text:string,words:array<array<int>>,before:string,gold:array<array<int>>>>"
-    to_rows = F.udf(lambda t: [(r.text, [list(w) for w in r.words], r.before, [list(g) for g in r.gold])
-                               for r in labelled_runs(t or "")], run_type)
-    found = (texts.select("id", F.explode(to_rows("text")).alias("r")).select("id", "r.*").distinct()
-             .orderBy(F.xxhash64("id", "text"), "id", "text", "before").limit(max_runs).collect())
-    runs = [Run(r.text, [tuple(w) for w in r.words], 0, r.before, [tuple(g) for g in r.gold]) for r in found]
-    return fit_runs(runs) if runs else None
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_runs: int = MAX_RUNS) -> Model | None:
+    """The model learned from a bounded sample of the runs of all documents; None if no run has a base span."""
+    runs = sampled_runs(docs, id_col, text_col, max_runs)
+    return fit_runs(runs) if any(r.gold for r in runs) else None
 
 
 # ---- finding -------------------------------------------------------------------------------------------------

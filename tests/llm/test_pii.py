@@ -117,6 +117,33 @@ def test_added_spans(model):
         assert added(plain) == []
 
 
+def test_numbers_only_teach_nothing(spark):
+    docs = cases.documents(spark, [(i, f"in {1900 + i} about {i} of x{i}", None, None, None) for i in range(300)])
+    assert pii.fit(docs) is None
+    assert all(r.found.spans == "" and r.found.n_added == 0 for r in pii.find(docs, pii.fit(docs), out="found").collect())
+
+
+def test_training_runs_come_from_all_of_all_texts(spark):
+    table = " and ".join(str(n) for n in range(100, 160))
+    long = " ".join(str(n) for n in range(100))
+    rows = [(i, f"{table}\nnothing here", None, None, None) for i in range(1600)]
+    rows += [(5000, f"{table}, write to joe@x.org now", None, None, None), (5001, f"{long} 10.1.2.3 {long}", None, None, None)]
+    docs = cases.documents(spark, rows)
+    runs = pii.sampled_runs(docs, "doc_id", "text", 50)
+    entities = sorted(r.text[a:b] for r in runs for _, a, b in r.gold)
+    assert entities == ["10.1.2.3", "joe@x.org"] and sum(not r.gold for r in runs) == 50
+    assert all(len(r.words) <= pii.PIECE for r in runs)
+    model = pii.fit(docs, max_runs=50)
+    assert pii.added_spans("in 2020 about 77", [], model) == []
+
+
+def test_pieces_hold_every_word_and_entity_once():
+    text = " ".join(["7"] * 22 + ["4111 1111 1111 1111"] + ["8"] * 40 + ["a@b.c"])
+    got = list(pii.labelled_runs(text))
+    assert [w for r in got for w in r.text.split()] == text.split() and all(len(r.words) <= pii.PIECE for r in got)
+    assert sorted((k, r.start + a, r.start + b) for r in got for k, a, b in r.gold) == sorted(pii.base_spans(text))
+
+
 def test_odd_documents(spark, model):
     docs = cases.documents(spark, extra=True)
     rows = pii.find(docs, model, out="found").collect()
