@@ -26,7 +26,7 @@ import heapq
 import json
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -421,22 +421,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_run
 
 # ---- finding -------------------------------------------------------------------------------------------------
 
+def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what sorted spans cover together, in order and apart."""
+    starts, ends = [], []
+    for _, a, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def covered(starts: list[int], ends: list[int], a: int, b: int) -> int:
+    """How much of a..b the merged spans cover."""
+    total, at = 0, bisect_right(ends, a)
+    while at < len(starts) and starts[at] < b:
+        total += min(b, ends[at]) - max(a, starts[at])
+        at += 1
+    return total
+
+
 def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     """What the model finds beside the base spans."""
     out = []
-    at = 0
-    ends = np.maximum.accumulate([b for _, _, b in base]) if base else []
+    starts, ends = merged(base)
     for run in runs_of(text):
-        stop = run.start + len(run.text)
-        while at < len(base) and ends[at] <= run.start:
-            at += 1
-        near = [s for s in base[at:at + 4 * len(run.words) + 4] if s[1] < stop and s[2] > run.start]
-        taken = sum(b - a for _, a, b in near)
-        if taken and taken >= len(run.text.strip(EDGE)):
-            continue  # one span or more fill the run
+        inner = run.text.strip(EDGE)
+        first = run.start + len(run.text) - len(run.text.lstrip(EDGE))
+        if inner and covered(starts, ends, first, first + len(inner)) == len(inner):
+            continue  # the base spans fill the run
         for kind, a, b in model.best(run):
             a, b = a + run.start, b + run.start
-            if a < b and not any(s < b and e > a for _, s, e in near):
+            if a < b and not covered(starts, ends, a, b):
                 out.append((kind, a, b))
     return out
 

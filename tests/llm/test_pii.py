@@ -117,6 +117,34 @@ def test_added_spans(model):
         assert added(plain) == []
 
 
+class EveryWord:
+    """A model that finds an entity in every word."""
+
+    @staticmethod
+    def best(run):
+        return [(0, *pii.trimmed(run, i, i + 1)) for i in range(len(run.words))]
+
+
+def test_added_spans_see_all_base_spans():
+    text = ",".join(f"joe{i}@x.org" for i in range(20)) + " 10.1.2.3"
+    base = pii.base_spans(text)
+    assert len(base) == 21 and pii.added_spans(text, base, EveryWord) == []
+    last = text.rindex("10.1.2.3")
+    one = [s for s in base if s[1] == last]  # only the last word is taken
+    assert pii.added_spans(text, one, EveryWord) == [(0, 0, last - 1)]
+    assert pii.added_spans("11 222 3", [(1, 0, 2), (3, 0, 6), (2, 3, 6)], EveryWord) == [(0, 7, 8)]  # overlapping, not filled
+
+
+def test_added_spans_as_by_all_pairs():
+    rng = random.Random(5)
+    for _ in range(500):
+        text = "".join(rng.choice("1a.@,  \n") for _ in range(40))
+        base = sorted(((rng.randrange(4), a, a + rng.randrange(1, 9)) for a in rng.sample(range(30), 6)), key=lambda s: s[1])
+        words = [(0, a + r.start, b + r.start) for r in pii.runs_of(text) for _, a, b in EveryWord.best(r)]
+        free = [w for w in words if w[1] < w[2] and not any(s < w[2] and e > w[1] for _, s, e in base)]
+        assert pii.added_spans(text, base, EveryWord) == free
+
+
 def test_numbers_only_teach_nothing(spark):
     docs = cases.documents(spark, [(i, f"in {1900 + i} about {i} of x{i}", None, None, None) for i in range(300)])
     assert pii.fit(docs) is None
