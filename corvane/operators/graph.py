@@ -213,6 +213,10 @@ def triangle_counts(raw_edges: DataFrame) -> DataFrame:
     return found.union(zero).groupBy("id").agg(F.sum("t").alias("triangles"))
 
 
+def top_triangles(counts: DataFrame, k: int = 5) -> DataFrame:
+    return counts.orderBy(F.desc("triangles"), "id").limit(k)
+
+
 # ---- communities ---------------------------------------------------------------------------------------------
 
 def label_propagation(raw_edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -357,8 +361,10 @@ def top_bridges(nodes: DataFrame, k: int = 20) -> DataFrame:
 
 # ---- report --------------------------------------------------------------------------------------------------
 
-def report_rows(lists: dict[str, DataFrame], papers: DataFrame, category_map: DataFrame) -> DataFrame:
-    """Named id lists of bounded length with the papers' metadata; ids without a paper keep nulls."""
+def report_rows(lists: dict[str, DataFrame], papers: DataFrame, category_map: DataFrame,
+                authors: DataFrame | None = None) -> DataFrame:
+    """Named id lists of bounded length with the papers' metadata; ids without a paper keep nulls. With ``authors``,
+    rows (id, author), also the listed papers' authors in order of name."""
     parts = [df.select(F.lit(name).alias("list"), "id") for name, df in lists.items()]
     wanted = parts[0]
     for part in parts[1:]:
@@ -367,4 +373,9 @@ def report_rows(lists: dict[str, DataFrame], papers: DataFrame, category_map: Da
     ids = wanted.select("id").distinct()
     meta = papers.select("id", "title", "categories", "update_date").join(ids, "id", "left_semi")
     meta = with_pretty_categories(meta, category_map).withColumn("year", year_prefix(F.col("update_date")))
-    return wanted.join(meta, "id", "left").select("list", "id", "title", "pretty_categories", "year")
+    columns = ["list", "id", "title", "pretty_categories", "year"]
+    if authors is not None:
+        own = authors.join(ids, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("author")).alias("names"))
+        meta = meta.join(own.select("id", F.array_join("names", ", ").alias("authors")), "id", "left")
+        columns.insert(3, "authors")
+    return wanted.join(meta, "id", "left").select(*columns)

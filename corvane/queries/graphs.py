@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import r6
@@ -69,9 +71,14 @@ def attributes_sql(nodes: str, edges: str, extra: str = "", label: str = IN_LABE
 
 
 def ranks_of(t: Tables):
+    """Five rounds, as the SQL unrolls them; the queries named ``_settled`` take ``settled_ranks`` instead."""
     return graph.page_rank(t.citations(), iterations=ROUNDS)
 
 
+def settled_ranks(t: Tables):
+    return graph.page_rank(t.citations())
+
+
 @query("G01_vertices", "SELECT id FROM vertices")
 def _(t):
     return graph.vertices(t.citations())
@@ -238,20 +245,20 @@ def _(t):
 
 
 @query("J10_induced_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst FROM inside")
-def _(t):
-    return graph.induced(graph.clean_edges(t.citations()), graph.top_ranked(ranks_of(t), 40))
+def induced_edges(t, ranks=ranks_of):
+    return graph.induced(graph.clean_edges(t.citations()), graph.top_ranked(ranks(t), 40))
 
 
 @query("G13_community_nodes", f"WITH {rank_sql()}, {label_sql()}, {top_sql(20)} " + attributes_sql("top", "clean_edges"))
-def _(t):
-    nodes, _ = graph.community_map(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
+def community_nodes(t, ranks=ranks_of):
+    nodes, _ = graph.community_map(t.citations(), ranks(t), graph.label_propagation(t.citations()))
     return nodes.withColumn("rank", r6(F.col("rank")))
 
 
 @query("J09_node_attributes", f"WITH {rank_sql()}, {label_sql()}, {top_sql(100)} " + attributes_sql("top", "clean_edges"))
-def _(t):
+def node_attributes(t, ranks=ranks_of):
     edges = graph.clean_edges(t.citations())
-    top = graph.top_ranked(ranks_of(t), 100)
+    top = graph.top_ranked(ranks(t), 100)
     nodes = graph.node_attributes(top, edges, graph.label_propagation(t.citations()), BASE)
     return nodes.withColumn("rank", r6(F.col("rank")))
 
@@ -259,16 +266,16 @@ def _(t):
 @query("G14_backbone_nodes", f"""WITH {rank_sql()}, {label_sql()}, {top_sql(60)}, {core_sql('inside', 2)},
     cedges AS MATERIALIZED (SELECT src, dst FROM inside WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
     ctop AS (SELECT id, rank FROM top WHERE id IN (SELECT id FROM core)) """ + attributes_sql("ctop", "cedges"))
-def _(t):
-    nodes, _ = graph.backbone(t.citations(), ranks_of(t), graph.label_propagation(t.citations()), n=60)
+def backbone_nodes(t, ranks=ranks_of):
+    nodes, _ = graph.backbone(t.citations(), ranks(t), graph.label_propagation(t.citations()), n=60)
     return nodes.withColumn("rank", r6(F.col("rank")))
 
 
 @query("G14_backbone_edges", f"""WITH {rank_sql()}, {top_sql(60)}, {core_sql('inside', 2)}
     SELECT src, dst FROM inside WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)""")
-def _(t):
+def backbone_edges(t, ranks=ranks_of):
     own = graph.vertices(t.citations()).withColumn("label", F.col("id"))
-    _, edges = graph.backbone(t.citations(), ranks_of(t), own, n=60)
+    _, edges = graph.backbone(t.citations(), ranks(t), own, n=60)
     return edges
 
 
@@ -282,18 +289,23 @@ BRIDGE_SQL = f"""WITH {rank_sql()}, {label_sql()}, {top_sql(40)},
 @query("G15_bridge_nodes", BRIDGE_SQL + attributes_sql(
     "btop", "clean_edges", "CAST(t.nc AS BIGINT) AS neighbour_communities, round(t.score, 6) AS bridge_score,",
     "concat(t.id, ' (nComm=', t.nc, ', bScore=', printf('%.3f', t.score), ')')"))
-def _(t):
-    nodes, _ = graph.bridges(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
+def bridge_nodes(t, ranks=ranks_of):
+    nodes, _ = graph.bridges(t.citations(), ranks(t), graph.label_propagation(t.citations()))
     return nodes.withColumns({c: r6(F.col(c)) for c in ("rank", "bridge_score")})
 
 
 @query("G15_top_bridges", BRIDGE_SQL + """
     SELECT id, round(score, 6) AS bridge_score FROM btop WHERE nc > 0 ORDER BY round(score, 9) DESC, id LIMIT 20""")
-def _(t):
-    nodes, _ = graph.bridges(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
+def top_bridges(t, ranks=ranks_of):
+    nodes, _ = graph.bridges(t.citations(), ranks(t), graph.label_propagation(t.citations()))
     return graph.top_bridges(nodes).withColumn("bridge_score", r6(F.col("bridge_score")))
 
 
+def status_names(t: Tables):
+    return t.orders.select(F.concat(F.lit("st."), "o_orderstatus").alias("category_id"),
+                           F.concat(F.lit("status "), "o_orderstatus").alias("pretty_name")).distinct()
+
+
 @query("G16_report_rows", f"""
     WITH {rank_sql()}, wanted AS (
       (SELECT 'out' AS list, src AS id FROM clean_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 20)
@@ -308,20 +320,44 @@ def _(t):
     FROM wanted w LEFT JOIN dated_papers d ON d.id = w.id LEFT JOIN named n ON n.id = w.id""")
 def _(t):
     edges = graph.clean_edges(t.citations())
-    names = t.orders.select(F.concat(F.lit("st."), "o_orderstatus").alias("category_id"),
-                            F.concat(F.lit("status "), "o_orderstatus").alias("pretty_name")).distinct()
     lists = {"out": graph.top_degrees(edges, "src"), "in": graph.top_degrees(edges, "dst"),
              "rank": graph.top_ranked(ranks_of(t), 10)}
-    return graph.report_rows(lists, t.dated_papers(), names)
+    return graph.report_rows(lists, t.dated_papers(), status_names(t))
 
 
-@query("G13_community_edges", f"WITH {rank_sql()}, {top_sql(20)} SELECT src, dst, 'Directed' AS type FROM inside")
+@query("G16_report_rows_settled")
 def _(t):
-    _, edges = graph.community_map(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+    """Every list of the report, settled ranks, and the authors."""
+    edges = graph.clean_edges(t.citations())
+    lists = {"out": graph.top_degrees(edges, "src"), "in": graph.top_degrees(edges, "dst"),
+             "rank": graph.top_ranked(settled_ranks(t), 10),
+             "triangles": graph.top_triangles(graph.triangle_counts(t.citations())),
+             "community": graph.largest_community_members(graph.label_propagation(t.citations())),
+             "source": graph.most_cited(edges)}
+    return graph.report_rows(lists, t.dated_papers(), status_names(t), t.paper_authors())
+
+
+@query("G13_community_edges", f"WITH {rank_sql()}, {top_sql(20)} SELECT src, dst, 'Directed' AS type FROM inside")
+def community_edges(t, ranks=ranks_of):
+    _, edges = graph.community_map(t.citations(), ranks(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
     return edges.withColumn("type", F.lit("Directed"))
 
 
 @query("G15_bridge_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst, 'Directed' AS type FROM inside")
-def _(t):
-    _, edges = graph.bridges(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+def bridge_edges(t, ranks=ranks_of):
+    _, edges = graph.bridges(t.citations(), ranks(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
     return edges.withColumn("type", F.lit("Directed"))
+
+
+# The same on settled ranks; SQL has no fixed number of rounds to unroll for these.
+SETTLED = {"J10_induced_edges": induced_edges,
+           "G13_community_nodes": community_nodes,
+           "J09_node_attributes": node_attributes,
+           "G14_backbone_nodes": backbone_nodes,
+           "G14_backbone_edges": backbone_edges,
+           "G15_bridge_nodes": bridge_nodes,
+           "G15_top_bridges": top_bridges,
+           "G13_community_edges": community_edges,
+           "G15_bridge_edges": bridge_edges}
+for _name, _of in SETTLED.items():
+    query(f"{_name}_settled")(partial(_of, ranks=settled_ranks))
