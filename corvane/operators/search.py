@@ -26,6 +26,8 @@ from corvane.plans.skew import hot_key_join
 K1 = 1.2
 B = 0.75
 QUERY_BLOCK = 4096  # query vectors that a task multiplies at once
+TERM_BLOCK = 1000  # postings or queries of a term that meet in one join key
+SHORT_LIST = 10_000  # (query, term) rows that are broadcast
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -65,19 +67,35 @@ def write_index(index: DataFrame, path: str, files: int) -> DataFrame:
 def bm25(index: DataFrame, terms: DataFrame, n_docs, mean_length, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of every document sharing a term; a repeated query term counts repeatedly.
 
-    Only postings of query terms are touched; their document frequency is their posting count.
+    Only postings of query terms are touched; their document frequency is their posting count. Up to SHORT_LIST
+    query terms are broadcast to the postings. More meet them in blocks: a term's postings and its queries are
+    hashed into blocks of about TERM_BLOCK, and each pair of blocks is a join key of its own, so a word of all
+    documents and all queries is spread over many tasks and neither side of it is ever one list or broadcast.
     """
     wanted = cut_lineage(index.join(terms.select("term").distinct(), "term", "left_semi"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = F.struct("query_id", (idf * F.col("qtf")).alias("w"))
-    weights = terms.join(df, "term").groupBy("term").agg(F.first("df").alias("df"), F.collect_list(asked).alias("asked"))
-    total = wanted.agg(F.count("*")).scalar()
+    weight = (idf * F.col("qtf")).alias("w")
+    n_asked = terms.agg(F.count("*")).first()[0]
+    if n_asked <= SHORT_LIST:
+        met = wanted.join(F.broadcast(terms.join(df, "term").select("term", "query_id", weight)), "term")
+    else:
+        sizes = cut_lineage(df.join(terms.groupBy("term").agg(F.count("*").alias("asks")), "term").select(
+            "*", F.ceil(F.col("df") / TERM_BLOCK).alias("parts"), F.ceil(F.col("asks") / TERM_BLOCK).alias("lists")))
+
+        def each(blocks: str):
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+
+        postings = hot_key_join(wanted, sizes, "term", "df", wanted.agg(F.count("*")).scalar()).select(
+            "term", "doc_id", "tf", "doc_length", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"),
+            each("lists").alias("list"))
+        asked = hot_key_join(terms, sizes, "term", "asks", n_asked).select(
+            "term", "query_id", weight, F.pmod(F.xxhash64("query_id"), F.col("lists")).alias("list"),
+            each("parts").alias("part"))
+        met = postings.join(asked, ["term", "part", "list"])
     length = 1.0 - b + b * F.col("doc_length") / mean_length
     part = F.col("w") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * length)
-    met = hot_key_join(wanted, weights, "term", "df", total)  # very common terms are scored where their postings lie
-    return (met.select("doc_id", "tf", "doc_length", F.explode("asked").alias("a")).select("*", "a.*")
-            .groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")))
+    return met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "id", text_col: str = "text_clean",
