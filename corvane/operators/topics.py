@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer
@@ -229,7 +230,8 @@ def per_group(docs: DataFrame, group: str, min_docs: int,
               fit: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """``fit`` for every group with enough documents; words and metrics carry the group's name. The documents are
     written once, a folder for each group, and every fit reads its own and runs over the cluster. A group that
-    cannot be fitted keeps its row, with the error as ``status``. The names of the groups are what reaches the driver."""
+    cannot be fitted, such as one without a vocabulary, keeps its row, with the error as ``status``; failed Spark jobs
+    raise. The names of the groups are what reaches the driver."""
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "groups")
     large = docs.groupBy(group).agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) & F.col(group).isNotNull())
     docs.join(large.select(group), group, "left_semi").withColumn("__group", F.col(group)).write.partitionBy("__group").parquet(path)
@@ -240,7 +242,9 @@ def per_group(docs: DataFrame, group: str, min_docs: int,
         named = F.lit(name).alias("group")
         try:
             found, row = fit(stored.where(F.col("__group") == name).drop("__group"))
-        except Exception as error:  # such as an empty vocabulary
+        except (IllegalArgumentException, ValueError, RuntimeError) as error:  # such as an empty vocabulary
+            if isinstance(error, PySparkException) and not isinstance(error, IllegalArgumentException):
+                raise
             log.exception("no topics for %s", name)
             metrics.append(spark.range(1).select(named, F.lit(type(error).__name__).alias("status")))
             continue
@@ -251,6 +255,12 @@ def per_group(docs: DataFrame, group: str, min_docs: int,
     return union_all(words), union_all(sorted(metrics, key=lambda m: -len(m.columns)))
 
 
+def with_status(words: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Topic words with their group's status, and a row without words for every group that has no topics."""
+    failed = metrics.where(F.col("status") != "ok").select("group", "status")
+    return words.withColumn("status", F.lit("ok")).unionByName(failed, allowMissingColumns=True)
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

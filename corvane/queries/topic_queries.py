@@ -133,8 +133,7 @@ def _(t):
 
 @query("C02_lda_per_category")
 def _(t):
-    words, _ = topics.lda_per_category(token_docs(t), "lang")
-    return words
+    return topics.with_status(*topics.lda_per_category(token_docs(t), "lang"))
 
 
 @query("C11_category_metrics")
@@ -154,8 +153,7 @@ PERIODS = ((1995, 1997), (1997, 1999), (2000, 2001))
 
 @query("C03_lda_per_period")
 def _(t):
-    words, _ = topics.lda_per_period(dated_docs(t), PERIODS, min_docs=20, min_df=2.0)
-    return words
+    return topics.with_status(*topics.lda_per_period(dated_docs(t), PERIODS, min_docs=20, min_df=2.0))
 
 
 @query("C04_nmf")
@@ -243,8 +241,7 @@ def _(t):
 
 @query("C19_cluster_topics_per_period")
 def _(t):
-    words, _ = topics.cluster_topics_per_period(embedded_docs(t), PERIODS, min_docs=5, k=3, min_size=2)
-    return words
+    return topics.with_status(*topics.cluster_topics_per_period(embedded_docs(t), PERIODS, min_docs=5, k=3, min_size=2))
 
 
 @query("C20_category_texts", """

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -191,3 +192,19 @@ def test_silhouette_range(spark, docs):
     rows = features.tfidf_stages(1 << 8).fit(docs).transform(docs).select("features", "label_str")
     row = classify.clustering_scores(classify.clustered(rows, 2)).first()
     assert -1 <= row.silhouette <= 1 and 0 < row.purity <= 1
+
+
+def test_group_without_vocabulary_is_told_and_failed_jobs_raise(spark, docs):
+    tokens = docs.select("label_str", F.split("text_clean", " ").alias("tokens"))
+    words, metrics = topics.per_group(tokens, "label_str", 1, lambda part: topics.lda(part, 2, 1, min_df=50.0))
+    rows = topics.with_status(words, metrics).collect()  # b has 40 documents
+    assert [(r.status, r.term) for r in rows if r.group == "b"] == [("IllegalArgumentException", None)]
+    assert {r.status for r in rows if r.group == "a"} == {"ok"} and all(r.term for r in rows if r.group == "a")
+
+    def lost(part):
+        if part.first()["label_str"] == "b":
+            part.select(F.udf(lambda x: 1 // 0, "int")("label_str")).collect()
+        return part.select(F.lit(0).alias("topic")), part.groupBy().count()
+
+    with pytest.raises(PySparkException):
+        topics.per_group(docs, "label_str", 1, lost)
