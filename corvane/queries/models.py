@@ -106,11 +106,9 @@ def _(t):
     return scores(classify.run_classifier(language_docs(t), classify.word2vec_logistic(200, max_iter=60, reg=0.1, partitions=8)))
 
 
-@query("M06_train_and_evaluate")
-def _(t):
-    docs = language_docs(t)
-    stages = features.tfidf_stages(1 << 16).getStages()
-    outcome = classify.run_classifier(docs, Pipeline(stages=[*stages, classify.naive_bayes()]))
+def trained_and_evaluated(t: Tables, stages, classifier):
+    """Train, evaluate, save, and decode the most frequent confusions."""
+    outcome = classify.run_classifier(language_docs(t), Pipeline(stages=[*stages.getStages(), classifier]))
     classify.save_outcome(outcome, new_path(t.spark, "outcome"))
     named = classify.named_confusions(outcome, classify.label_names(outcome.model))
     kept = evaluate.top_confusions(outcome.confusion)
@@ -118,6 +116,26 @@ def _(t):
                      ["label", "prediction"], "left")
 
 
+@query("M06_train_and_evaluate")
+def _(t):
+    return trained_and_evaluated(t, features.tfidf_stages(1 << 16), classify.naive_bayes())
+
+
+@query("M06_train_and_evaluate_logistic_regression")
+def _(t):
+    return trained_and_evaluated(t, features.tfidf_stages(1 << 16), classify.logistic_regression())
+
+
+@query("M06_train_and_evaluate_decision_tree")
+def _(t):
+    return trained_and_evaluated(t, features.vocabulary_stages(10_000, 2.0), classify.decision_tree())
+
+
+@query("M06_train_and_evaluate_random_forest")
+def _(t):
+    return trained_and_evaluated(t, features.vocabulary_stages(10_000, 2.0), classify.random_forest())
+
+
 @query("M07_ablation")
 def _(t):
     first = classify.ABLATION[:1]

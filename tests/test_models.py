@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import classify, encode, evaluate, features, nmf, search, topics
 from corvane.plans.runtime import new_path
+from corvane.queries import QUERIES
 
 WORDS = {"a": "sun moon star sky orbit", "b": "cell gene protein tissue enzyme"}
 
@@ -208,3 +209,9 @@ def test_group_without_vocabulary_is_told_and_failed_jobs_raise(spark, docs):
 
     with pytest.raises(PySparkException):
         topics.per_group(docs, "label_str", 1, lost)
+
+
+@pytest.mark.parametrize("kind", ["logistic_regression", "decision_tree", "random_forest"])
+def test_runner_decodes_confusions(spark, kind):
+    rows = QUERIES[f"M06_train_and_evaluate_{kind}"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.label_name and r.prediction_name for r in rows if r.label != r.prediction)
