@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, lines, mixing, pii, pstable, simhash, spaced, tokens, toxicity, urls
+from corvane.llm import language, lines, mixing, pii, pstable, simhash, spaced, superkmers, tokens, toxicity, urls
 from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs))
     return found.select("doc_id", *[f"personal.n_{k}" for k in pii.KINDS], "personal.base_sha256", "personal.spans",
                         "personal.n_added")
+
+
+@query("op12_substring_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return superkmers.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
