@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, lines, mixing, pii, pstable, simhash, spaced, superkmers, tokens, toxicity, urls
+from corvane.llm import language, lines, mixing, phrases, pii, pstable, simhash, spaced, superkmers, tokens, toxicity, urls
 from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,36 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return superkmers.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+GRAMS_SQL = """
+    WITH piece AS (SELECT lang, p, row_number() OVER () AS id FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+    word AS (SELECT lang, id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT lang, id, list_filter(regexp_split_to_array(p, '[ \\t]+'), lambda x: x <> '') AS ws FROM piece)),
+    place AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM word WINDOW o AS (PARTITION BY id ORDER BY i)),
+    gram AS (SELECT lang, 1 AS length, w AS phrase FROM place
+      UNION ALL SELECT lang, 2, concat(w, ' ', w2) FROM place WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, concat(w, ' ', w2, ' ', w3) FROM place WHERE w3 IS NOT NULL),
+    f AS MATERIALIZED (SELECT lang, length, phrase, count(*) AS f FROM gram GROUP BY ALL),
+    n AS (SELECT lang, sum(f) AS n FROM f WHERE length = 1 GROUP BY lang),
+    cand AS MATERIALIZED (SELECT lang, length, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE length > 1 AND f >= 10),
+    cut AS MATERIALIZED (SELECT *, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, length)) AS k FROM cand)),
+    half AS MATERIALIZED (SELECT c.*, f.f AS l FROM cut c JOIN f ON f.lang = c.lang AND f.phrase = c.first),
+    scored AS (SELECT h.lang, h.phrase, h.length, a, k, l, f.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * f.f) AS BIGINT) AS score
+      FROM half h JOIN f ON f.lang = h.lang AND f.phrase = h.rest),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner2 AS (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM cand WHERE length = 3
+      UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM cand WHERE length = 3),
+    longest AS (SELECT lang, phrase, max(a) AS longest FROM inner2 GROUP BY ALL),
+    kept AS (SELECT b.* FROM best b LEFT JOIN longest USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
+    SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank FROM kept)
+    JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op11_phrase_collocations", GRAMS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.phrase_counts(table(spark, sf_dir, "documents").select("lang", "text")))
