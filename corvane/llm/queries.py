@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, lines, mixing, phrases, pii, pstable, simhash, spaced, superkmers, tokens, toxicity, urls
+from corvane.llm import language, lines, mixing, negatives, phrases, pii, pstable, simhash, spaced, superkmers, tokens, toxicity, urls
 from corvane.llm.common import row_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,27 @@ GRAMS_SQL = """
 @query("op11_phrase_collocations", GRAMS_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(phrases.phrase_counts(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
+NEGATIVES_SQL = """
+    WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+        CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS MATERIALIZED (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+        id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+    SELECT * FROM n WHERE rank <= 3"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding")
+    whole = F.transform(x, lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.floor(256 * c.cast("double"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"), label.alias("label"))
+    return negatives.hard_negatives(rows, "vec_id")
