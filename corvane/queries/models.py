@@ -11,6 +11,7 @@ from corvane.operators import classify, encode, evaluate, features
 from corvane.plans.runtime import cut_lineage, new_path
 from corvane.queries.registry import query
 from corvane.queries.views import Tables
+from corvane.sources import sink
 
 
 def language_docs(t: Tables):
@@ -62,7 +63,7 @@ def _(t):
 @query("T10_word_vectors")
 def _(t):
     docs = language_docs(t)
-    model = features.word2vec_stages(partitions=8, label=False).fit(docs)
+    model = features.word2vec_stages(partitions=t.spark.sparkContext.defaultParallelism, label=False).fit(docs)
     return features.components(model.transform(docs), "features", ["x", "y"]).select("id", r6(F.col("x")).alias("x"),
                                                                                      r6(F.col("y")).alias("y"))
 
@@ -103,7 +104,7 @@ def _(t):
 
 @query("M05_word_vectors_logistic")
 def _(t):
-    return scores(classify.run_classifier(language_docs(t), classify.word2vec_logistic(200, max_iter=60, reg=0.1, partitions=8)))
+    return scores(classify.run_classifier(language_docs(t), classify.word2vec_logistic(200, max_iter=60, reg=0.1, partitions=t.spark.sparkContext.defaultParallelism)))
 
 
 def trained_and_evaluated(t: Tables, stages, classifier):
@@ -139,9 +140,8 @@ def _(t):
 @query("M07_ablation")
 def _(t):
     first = classify.ABLATION[:1]
-    path = classify.ablation(language_docs(t), min_df=2.0, settings=first)
-    path = classify.ablation(language_docs(t), path, min_df=2.0)
-    return t.spark.read.parquet(path)
+    docs = language_docs(t)
+    return sink.read_log(t.spark, classify.ablation(docs, classify.ablation(docs, settings=first)), "config")
 
 
 @query("M08_kmeans")

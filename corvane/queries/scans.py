@@ -189,4 +189,4 @@ def _(t):
     again = (groups.agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean_value"))
              .where(F.col("config").isin("click", "view")))
     path = sink.append_log(t.spark, None, first, "config")
-    return t.spark.read.parquet(sink.append_log(t.spark, path, again, "config"))
+    return sink.read_log(t.spark, sink.append_log(t.spark, path, again, "config"), "config")

@@ -11,10 +11,10 @@ from corvane.queries.registry import query
 from corvane.queries.views import Tables
 
 
-def token_docs(t: Tables):
-    """Documents with tokens, language and main category; stop words out."""
+def token_docs(t: Tables, min_length: int = 2, drop_stop_words: bool = True):
+    """Documents with tokens, language and main category."""
     docs = t.documents.select(F.col("doc_id").alias("id"), "lang", tx.clean(F.col("text")).alias("text_clean"))
-    return features.tokenised(docs, min_length=2, drop_stop_words=True).select("id", "lang", "tokens")
+    return features.tokenised(docs, min_length=min_length, drop_stop_words=drop_stop_words).select("id", "lang", "tokens")
 
 
 def labelled_docs(t: Tables):
@@ -121,24 +121,24 @@ def _(t):
 
 @query("C01_lda")
 def _(t):
-    words, _ = topics.lda(token_docs(t), min_df=5.0)
+    words, _ = topics.lda(token_docs(t, 3), min_df=5.0)
     return words
 
 
 @query("C10_lda_fit_scores")
 def _(t):
-    _, metrics = topics.lda(token_docs(t), min_df=5.0)
+    _, metrics = topics.lda(token_docs(t, 3), min_df=5.0)
     return metrics
 
 
 @query("C02_lda_per_category")
 def _(t):
-    return topics.with_status(*topics.lda_per_category(token_docs(t), "lang"))
+    return topics.with_status(*topics.lda_per_category(token_docs(t, 3, drop_stop_words=False), "lang"))
 
 
 @query("C11_category_metrics")
 def _(t):
-    _, metrics = topics.lda_per_category(token_docs(t), "lang")
+    _, metrics = topics.lda_per_category(token_docs(t, 3, drop_stop_words=False), "lang")
     return metrics
 
 

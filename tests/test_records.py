@@ -95,7 +95,9 @@ def test_append_log_new_row_wins(spark):
     first = spark.createDataFrame([("a", 1), ("b", 2)], "config string, n int")
     second = spark.createDataFrame([("b", 3, 0.5)], "config string, n int, f double")
     path = sink.append_log(spark, sink.append_log(spark, None, first, "config"), second, "config")
-    assert sorted(values(spark.read.parquet(path))) == [("a", 1, None), ("b", 3, 0.5)]
+    assert sorted(values(sink.read_log(spark, path, "config").select("config", "n", "f"))) == [("a", 1, None), ("b", 3, 0.5)]
+    parts = spark.read.option("mergeSchema", True).parquet(path)
+    assert parts.count() == 3  # an append writes its own rows only
 
 
 def test_materialised_builds_once(spark):
@@ -109,6 +111,34 @@ def test_materialised_builds_once(spark):
     assert len(calls) == 1
 
 
+def test_a_write_that_was_killed_is_built_again(spark):
+    """Between the files and the marker, and between the files of one write."""
+    path = new_path(spark, "killed")
+    spark.range(2).write.parquet(path)
+    assert not sink.committed(spark, path)
+    assert sink.materialised(spark, path, lambda: spark.range(3)).count() == 3
+    assert sink.committed(spark, path) and sink.materialised(spark, path, lambda: spark.range(9)).count() == 3
+
+
+def test_kept_once_follows_its_sources(spark):
+    source, built = new_path(spark, "source"), []
+
+    def build(folder):
+        built.append(folder)
+        if len(built) == 1:
+            raise RuntimeError("lost")
+        spark.read.parquet(source).write.parquet(folder)
+
+    spark.range(4).write.parquet(source)
+    with pytest.raises(RuntimeError):
+        sink.kept_once(spark, "derived", [source], build)
+    first = sink.kept_once(spark, "derived", [source], build)
+    assert sink.kept_once(spark, "derived", [source], build) == first and len(built) == 2
+    spark.range(6).write.mode("overwrite").parquet(source)
+    second = sink.kept_once(spark, "derived", [source], build)
+    assert second != first and spark.read.parquet(second).count() == 6
+
+
 def test_partitioned_csv_round_trip(spark):
     path = new_path(spark, "csv")
     df = spark.createDataFrame([("x", 'he said "a, b"'), ("y", "z")], "c string, text string")
