@@ -24,11 +24,11 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from corvane.llm.common import fresh, short_batches, stored
 from corvane.llm.lines import BYTE_BACK, BYTE_BASE, SPACE, WORD_BACK, WORD_BASE, chunks, run_hashes
@@ -46,6 +46,7 @@ FILTER_BYTES = 1 << 26
 BYTE_BASE_2, WORD_BASE_2 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 BYTE_BACK_2, WORD_BACK_2 = pow(BYTE_BASE_2, -1, 1 << 64), pow(WORD_BASE_2, -1, 1 << 64)
 TOP = np.uint64(1 << 63)
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 class Words:
@@ -57,7 +58,7 @@ class Words:
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         space = SPACE[data]
         first = ~space & np.append(True, space[:-1])
-        self.bounds = np.append(0, np.cumsum(first, dtype=np.int64))[offsets]
+        self.bounds = np.searchsorted(np.flatnonzero(first), offsets)
         data = data[~space | np.append(False, ~space[:-1])]
         self.data = np.where(SPACE[data], np.uint8(32), data)
         self.end = np.flatnonzero(self.data == 32)
@@ -274,33 +275,46 @@ def repeated(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans_of(blobs: list[bytes], window: int) -> np.ndarray:
-    """The stretches (key, key_2, start, end) of the windows that a group holds more than once."""
+def opened(blobs: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Strings of a group and their places, about TEXTS_AT_ONCE bytes at a time."""
     unpress = zstandard.ZstdDecompressor()
-    texts, places = [], []
+    texts, places, held = [], [], 0
     for blob in blobs:
         n = int(np.frombuffer(blob, np.int64, 1)[0])
-        size = np.frombuffer(blob, np.int32, n, 8)
         places.append(np.frombuffer(blob, np.int64, 4 * n, 8 + 4 * n).reshape(n, 4))
         data, at = unpress.decompress(blob[8 + 36 * n:]), 0
-        for s in size.tolist():
-            texts.append(data[at:at + s - 1])
-            at += s
-    place = np.concatenate(places)
-    words = Words(texts)
-    if (short := np.diff(words.bounds) < window).any():
-        raise ValueError(f"{int(short.sum())} packed strings hold no window")
-    starts = np.concatenate([np.arange(a, b - window + 1) for a, b in zip(words.bounds[:-1], words.bounds[1:])])
-    text = np.repeat(np.arange(len(texts)), np.diff(words.bounds) - window + 1)
-    total = len(words.start)
-    first = run_hashes(words.hashes(0, total), starts, starts + window, WORD_BASE, WORD_BACK)
-    second = run_hashes(words.hashes(0, total, BYTE_BASE_2, BYTE_BACK_2), starts, starts + window, WORD_BASE_2, WORD_BACK_2)
-    known = place[text, 2] < 0
-    again = np.flatnonzero(known)  # counted twice: once more for each window of a repeated string
-    hit = repeated(np.append(first, first[again]), np.append(second, second[again]))[:len(first)] & ~known
-    text, at = text[hit], starts[hit]
-    offset = place[text, 2] + at - words.bounds[text]
-    return merged(np.column_stack([place[text, 0], place[text, 1], offset, offset + window]))
+        for size in np.frombuffer(blob, np.int32, n, 8).tolist():
+            texts.append(data[at:at + size - 1])
+            at += size
+        held += at
+        if held > TEXTS_AT_ONCE:
+            yield texts, np.concatenate(places)
+            texts, places, held = [], [], 0
+    if texts:
+        yield texts, np.concatenate(places)
+
+
+def spans_of(blobs: list[bytes], window: int) -> np.ndarray:
+    """The stretches (key, key_2, start, end) of the windows that a group holds more than once."""
+    firsts, seconds, strings, offsets, places, held = [], [], [], [], [], 0
+    for texts, place in opened(blobs):
+        words = Words(texts)
+        n = np.diff(words.bounds) - window + 1
+        total = len(words.start)
+        text = np.repeat(np.arange(len(texts)), n)
+        offset = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        start = words.bounds[text] + offset
+        firsts.append(run_hashes(words.hashes(0, total), start, start + window, WORD_BASE, WORD_BACK))
+        seconds.append(run_hashes(words.hashes(0, total, BYTE_BASE_2, BYTE_BACK_2), start, start + window, WORD_BASE_2, WORD_BACK_2))
+        strings.append((text + held).astype(np.int32))
+        offsets.append(offset.astype(np.int32))
+        places.append(place)
+        held += len(texts)
+    first, second, text, offset, place = (np.concatenate(x) for x in (firsts, seconds, strings, offsets, places))
+    known = place[text, 2] < 0  # their windows count twice
+    hit = repeated(np.append(first, first[known]), np.append(second, second[known]))[:len(first)] & ~known
+    place, at = place[text[hit]], offset[hit]
+    return merged(np.column_stack([place[:, :2], place[:, 2] + at, place[:, 2] + at + window]))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -325,35 +339,30 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 # ---- removing ------------------------------------------------------------------------------------------------
 
-def without(docs: DataFrame, text_col: str, stretch_col: str | None, kept: str, n_words: str, n_removed: str) -> DataFrame:
-    """``docs`` with the words outside the stretches (an array of (start, end)), and the numbers of words."""
-    columns = [c for c in docs.columns if c != stretch_col]
-
+def per_text(spans: DataFrame) -> DataFrame:
+    """(key, key_2, stretches, gone): the disjoint stretches of a text in order, and how many words they have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, total, gone = [], [], []
-            stretches = batch.column(stretch_col).to_pylist() if stretch_col else [None] * batch.num_rows
-            for text, mine in zip(batch.column(text_col).to_pylist(), stretches):
-                words = (text or "").encode().split()
-                here, removed, n = [], 0, len(words)
-                if mine:
-                    at = 0
-                    for a, b in sorted((s["start"], s["end"]) for s in mine):
-                        here += words[at:max(a, at)]
-                        removed += max(b, at) - max(a, at)
-                        at = max(b, at)
-                    words = here + words[at:]
-                out.append(None if text is None else b" ".join(words).decode())
-                total.append(n)
-                gone.append(removed)
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            start, end = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            all_of = merged(np.column_stack([row, row, start, end]))
+            first = np.searchsorted(all_of[:, 0], np.arange(batch.num_rows + 1))
+            total = np.append(0, np.cumsum(all_of[:, 3] - all_of[:, 2]))
+            pairs = pa.StructArray.from_arrays([pa.array(all_of[:, k].astype(np.int32)) for k in (2, 3)], ["start", "end"])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(out, pa.string()), pa.array(total, pa.int64()),
-                 pa.array(gone, pa.int64())], [*columns, kept, n_words, n_removed])
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pairs),
+                 pa.array(total[first[1:]] - total[first[:-1]])], ["key", "key_2", "stretches", "gone"])
+
+    lists = spans.groupBy("key", "key_2").agg(F.collect_list(F.struct("start", "end")).alias("list"))
+    return lists.mapInArrow(run, "key long, key_2 long, stretches array<struct<start:int,end:int>>, gone long")
 
-    schema = StructType([docs.schema[c] for c in columns])
-    for name, kind in ((kept, "string"), (n_words, "long"), (n_removed, "long")):
-        schema.add(name, kind)
-    return docs.mapInArrow(run, schema)
+
+def outside(words: Column, stretches: Column) -> Column:
+    """The words before, between and behind the stretches."""
+    behind = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda s: s["end"]))
+    ahead = F.concat(F.transform(stretches, lambda s: s["start"]), F.array(F.size(words)))
+    return F.flatten(F.transform(F.arrays_zip(behind.alias("a"), ahead.alias("b")), lambda z: F.slice(words, z["a"] + 1, z["b"] - z["a"])))
 
 
 def bits_of(n: int) -> int:
@@ -389,29 +398,30 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     kept, n_words, n_removed = fresh(docs, kept_col), fresh(docs, words_col), fresh(docs, removed_col)
     keys = (F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), text_col, id_col))
     texts = docs.select(keys[0].alias("key"), keys[1].alias("key_2"), F.col(text_col).alias("text"))
-    spans = repeats(texts, window)
-    n = spans.select("key", "key_2").distinct().count()
-    own = [fresh(docs, k) for k in ("key", "key_2", "stretches")]
-    with_keys = docs.select("*", keys[0].alias(own[0]), keys[1].alias(own[1]))
-    lists = spans.groupBy("key", "key_2").agg(F.collect_list(F.struct("start", "end")).alias(own[2])).withColumnsRenamed(
-        {"key": own[0], "key_2": own[1]})
-    names = docs.columns
-
-    def cleaned(df: DataFrame, stretches: str | None) -> DataFrame:
-        return without(df, text_col, stretches, kept, n_words, n_removed).select(*names, kept, n_words, n_removed)
-
-    bits = bits_of(max(n, 1))
+    own = [fresh(docs, k) for k in ("key", "key_2", "stretches", "gone")]
+    spans = stored(per_text(repeats(texts, window)), "stretches")
+    per_key = spans.withColumnsRenamed(dict(zip(("key", "key_2", "stretches", "gone"), own)))
+    joined = F.btrim(F.regexp_replace(text_col, SPACES, " "))
+    total = F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
+
+    def shown(df: DataFrame, text: Column, gone: Column) -> DataFrame:
+        return df.select(*docs.columns, text.alias(kept), F.coalesce(total, F.lit(0)).cast("bigint").alias(n_words), gone.alias(n_removed))
+
+    def without(df: DataFrame) -> DataFrame:
+        found = df.join(per_key, own[:2], "left")
+        left = F.array_join(outside(F.split(joined, " "), F.col(own[2])), " ")
+        return shown(found, F.when(F.col(own[2]).isNull(), joined).otherwise(left), F.coalesce(F.col(own[3]), F.lit(0).cast("bigint")))
+
+    keyed = docs.select("*", keys[0].alias(own[0]), keys[1].alias(own[1]))
+    bits = bits_of(max(1, spans.count()))
     if bits > 8 * FILTER_BYTES:
-        return cleaned(with_keys.join(lists, own[:2], "left"), own[2])
-    marks = spark.sparkContext.broadcast(key_filter(spans.select("key", "key_2").distinct(), bits))
+        return without(keyed)
+    marks = spark.sparkContext.broadcast(key_filter(spans, bits))
 
-    def maybe(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
-        table = marks.value
-        for batch in batches:
-            slots = [batch.column(k).to_numpy() & (len(table) * 8 - 1) for k in own[:2]]
-            hit = np.logical_and.reduce([(table[s >> 3] >> (s & 7).astype(np.uint8) & 1) > 0 for s in slots])
-            yield batch.filter(pa.array(hit == wanted))
+    @F.pandas_udf("boolean")
+    def marked(key: pd.Series, key_2: pd.Series) -> pd.Series:
+        slots = [k.to_numpy() & (bits - 1) for k in (key, key_2)]
+        return pd.Series(np.logical_and.reduce([(marks.value[s >> 3] >> (s & 7).astype(np.uint8) & 1) > 0 for s in slots]))
 
-    moved = with_keys.mapInArrow(lambda b: maybe(b, True), with_keys.schema).join(lists, own[:2], "left")
-    still = with_keys.mapInArrow(lambda b: maybe(b, False), with_keys.schema)
-    return cleaned(moved, own[2]).unionByName(cleaned(still, None))
+    touched = marked(F.col(own[0]), F.col(own[1]))
+    return without(keyed.where(touched)).unionByName(shown(keyed.where(~touched), joined, F.lit(0).cast("bigint")))
