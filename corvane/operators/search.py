@@ -1,4 +1,5 @@
-"""Similar documents: TF-IDF cosine, BM25, embedding neighbours, two-stage reranking, method comparison.
+"""Similar documents: inverted index, TF-IDF cosine, embedding neighbours, two-stage reranking, method comparison. BM25 on
+a stored index is in ``textindex``, neighbours by a stored index of vectors in ``neighbours``.
 
 Queries come as a frame and are answered together. Frames of hits are ``(query_id, doc_id, score, rank)``; scores
 are compared at nine decimals and ties go to the smaller id, so equal documents rank the same in every run.
@@ -11,7 +12,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +20,12 @@ from corvane.functions import text as tx
 from corvane.operators import features
 from corvane.plans.ranking import top_k_per_group
 from corvane.plans.runtime import cut_lineage
-from corvane.plans.skew import hot_key_join
 
 # Saturation and length normalisation of BM25.
 K1 = 1.2
 B = 0.75
 QUERY_BLOCK = 4096  # query vectors that a task multiplies at once
-TERM_BLOCK = 1000  # postings or queries of a term that meet in one join key
-SHORT_LIST = 10_000  # (query, term) rows that are broadcast
+ROWS_AT_ONCE = 2048  # rows that they are multiplied with
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -47,7 +45,7 @@ def query_terms(queries: DataFrame, text_col: str = "text", min_length: int = 1,
     return features.term_counts(tokens, "query_id").withColumnRenamed("tf", "qtf")
 
 
-# ---- inverted index and BM25 ---------------------------------------------------------------------------------
+# ---- inverted index ---------------------------------------------------------------------------------
 
 def inverted_index(docs: DataFrame, key: str = "id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf, doc_length), documents without tokens left out."""
@@ -56,61 +54,14 @@ def inverted_index(docs: DataFrame, key: str = "id", text_col: str = "text") ->
     return features.term_counts(sized, "doc_id", keep=["doc_length"]).select("term", "doc_id", "tf", "doc_length")
 
 
-def write_index(index: DataFrame, path: str, files: int) -> DataFrame:
+def write_index(index: DataFrame, path: str) -> DataFrame:
     """Range-partitioned and sorted by term, so that a query's terms touch few row groups. A term in a third of
-    the documents is split over files by document."""
-    (index.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    the documents is split over files by document; adaptive execution sets the number of files by their size."""
+    (index.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").parquet(path))
     return index.sparkSession.read.parquet(path)
 
 
-def bm25(index: DataFrame, terms: DataFrame, n_docs, mean_length, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) of every document sharing a term; a repeated query term counts repeatedly.
-
-    Only postings of query terms are touched; their document frequency is their posting count. Up to SHORT_LIST
-    query terms are broadcast to the postings. More meet them in blocks: a term's postings and its queries are
-    hashed into blocks of about TERM_BLOCK, and each pair of blocks is a join key of its own, so a word of all
-    documents and all queries is spread over many tasks and neither side of it is ever one list or broadcast.
-    """
-    wanted = cut_lineage(index.join(terms.select("term").distinct(), "term", "left_semi"))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = (idf * F.col("qtf")).alias("w")
-    n_asked = terms.agg(F.count("*")).first()[0]
-    if n_asked <= SHORT_LIST:
-        met = wanted.join(F.broadcast(terms.join(df, "term").select("term", "query_id", weight)), "term")
-    else:
-        sizes = cut_lineage(df.join(terms.groupBy("term").agg(F.count("*").alias("asks")), "term").select(
-            "*", F.ceil(F.col("df") / TERM_BLOCK).alias("parts"), F.ceil(F.col("asks") / TERM_BLOCK).alias("lists")))
-
-        def each(blocks: str):
-            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
-
-        postings = hot_key_join(wanted, sizes, "term", "df", wanted.agg(F.count("*")).scalar()).select(
-            "term", "doc_id", "tf", "doc_length", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"),
-            each("lists").alias("list"))
-        asked = hot_key_join(terms, sizes, "term", "asks", n_asked).select(
-            "term", "query_id", weight, F.pmod(F.xxhash64("query_id"), F.col("lists")).alias("list"),
-            each("parts").alias("part"))
-        met = postings.join(asked, ["term", "part", "list"])
-    length = 1.0 - b + b * F.col("doc_length") / mean_length
-    part = F.col("w") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * length)
-    return met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "id", text_col: str = "text_clean",
-                k1: float = K1, b: float = B) -> DataFrame:
-    """Top k documents per query text. The index is built once; all statistics are read from it."""
-    return bm25_on_index(cut_lineage(inverted_index(docs, key, text_col)), queries, k, k1, b)
-
-
-def bm25_on_index(index: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
-    """The same on a stored index, as ``write_index`` returns it."""
-    sizes = index.groupBy("doc_id").agg(F.max("doc_length").alias("n"))
-    n_docs, mean_length = sizes.agg(F.count("*")).scalar(), sizes.agg(F.avg("n")).scalar()
-    return ranked(bm25(index, cut_lineage(query_terms(queries)), n_docs, mean_length, k1, b), k)
-
-
 def stored_texts(docs: DataFrame, ids: Sequence, key: str, text_col: str) -> DataFrame:
     """(query_id, text) of the named documents; an unknown id is an error. The list bounds what reaches the driver."""
     queries = cut_lineage(docs.where(F.col(key).isin(list(ids))).select(F.col(key).alias("query_id"), F.col(text_col).alias("text")))
@@ -120,13 +71,6 @@ def stored_texts(docs: DataFrame, ids: Sequence, key: str, text_col: str) -> Dat
     return queries
 
 
-def bm25_like(docs: DataFrame, ids: Sequence, k: int = 20, key: str = "id", text_col: str = "text_clean") -> DataFrame:
-    """Top k documents for the texts of given documents, themselves left out and ranks closed up."""
-    queries = stored_texts(docs, ids, key, text_col)
-    hits = without_self(bm25_search(docs, queries, k + 1, key, text_col))
-    return ranked(hits, k)
-
-
 # ---- TF-IDF cosine -------------------------------------------------------------------------------------------
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str = "id", text_col: str = "text_clean",
@@ -189,25 +133,32 @@ def nearest(embeddings: DataFrame, queries: pd.DataFrame, k: int = 20, key: str
     id_type = embeddings.schema[key].dataType.simpleString()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = [pd.DataFrame({"doc_id": [], "score": []})] * len(query_ids)
+        kept = (np.empty(0, np.int64), np.empty(0, object), np.empty(0))  # query, id, score
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["doc_id"].to_numpy()
-            rows = np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])
-            sizes = np.linalg.norm(rows, axis=1)
-            scores = (rows @ matrix.T) / np.where(sizes > 0, sizes, np.nan)[:, None]
-            for q, query_id in enumerate(query_ids):
-                allowed = ~np.isnan(scores[:, q])
-                if exclude_self:
-                    allowed &= ids != query_id
-                part = pd.DataFrame({"doc_id": ids[allowed], "score": scores[allowed, q]})
-                merged = pd.concat([kept[q], part]) if len(kept[q]) else part
-                merged = merged.assign(key=-merged["score"].round(9))
-                kept[q] = merged.sort_values(["key", "doc_id"]).head(k).drop(columns="key")
-        for query_id, hits in zip(query_ids, kept):
-            if len(hits):
-                yield hits.assign(query_id=query_id)[["query_id", "doc_id", "score"]]
+            for lo in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[lo:lo + ROWS_AT_ONCE]
+                kept = best_of(kept, part["doc_id"].to_numpy(), np.stack([np.asarray(v, dtype=np.float64) for v in part["vector"]]))
+        yield pd.DataFrame({"query_id": query_ids[kept[0]], "doc_id": kept[1], "score": kept[2]})
+
+    def best_of(kept, ids: np.ndarray, rows: np.ndarray):
+        """The best k of each query among those kept and some more rows."""
+        sizes = np.linalg.norm(rows, axis=1)
+        scores = (rows[sizes > 0] @ matrix.T / sizes[sizes > 0, None]).T
+        ids = ids[sizes > 0]
+        keys = np.round(scores, 9)
+        if exclude_self:
+            keys[query_ids[:, None] == ids[None, :]] = -np.inf
+        keys[np.isnan(keys)] = -np.inf
+        k_here = min(k, keys.shape[1])
+        if k_here:
+            worst = np.partition(keys, -k_here, axis=1)[:, -k_here]
+            query, at = np.nonzero((keys >= worst[:, None]) & (keys > -np.inf))
+            kept = tuple(np.concatenate(x) for x in zip(kept, (query, ids[at], scores[query, at])))
+        _, place = np.unique(kept[1], return_inverse=True)
+        order = np.lexsort((place, -np.round(kept[2], 9), kept[0]))
+        query = kept[0][order]
+        order = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+        return tuple(x[order] for x in kept)
 
     local = embeddings.select(F.col(key).alias("doc_id"), F.col(vector).alias("vector")).mapInPandas(
         best, f"query_id {id_type}, doc_id {id_type}, score double")
@@ -219,24 +170,6 @@ def nearest_to(embeddings: DataFrame, ids: Sequence, k: int = 20, **names) -> Da
     return nearest(embeddings, stored_vectors(embeddings, ids, **names), k, exclude_self=True, **names)
 
 
-def approximate_neighbours(embeddings: DataFrame, queries: DataFrame, max_distance: float, k: int = 10,
-                           key: str = "id", vector: str = "embedding", bucket_length: float = 0.5,
-                           tables: int = 8, seed: int = 42) -> DataFrame:
-    """Neighbours within ``max_distance`` by random-projection hashing: an equi-join on buckets, for query sets
-    too large to send to every task. More tables find more, at more shuffled rows."""
-    def unit(df: DataFrame) -> DataFrame:
-        vectors = features.array_as_vector(df.select(F.col(key), F.col(vector)), vector, "v")
-        return features.unit_length("v", "unit").transform(vectors).select(key, "unit")
-
-    corpus, asked = unit(embeddings), unit(queries)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=seed).fit(corpus)
-    joined = model.approxSimilarityJoin(asked, corpus, max_distance, "distance")
-    scored = joined.select(F.col(f"datasetA.{key}").alias("query_id"), F.col(f"datasetB.{key}").alias("doc_id"),
-                           (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("score"))
-    return ranked(without_self(scored), k)
-
-
 def reranked(candidates: DataFrame, embeddings: DataFrame, query_vectors: DataFrame, k: int = 20,
              key: str = "id", vector: str = "embedding") -> DataFrame:
     """Candidates of a first stage ordered by cosine in a second space; those without a vector there drop out.

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from corvane.functions import text as tx
 from corvane.functions.numeric import r6
 from corvane.functions.stopwords import ENGLISH
-from corvane.operators import features, search
+from corvane.operators import features, neighbours, search, textindex
 from corvane.plans.runtime import new_path
 from corvane.queries.registry import query
 from corvane.queries.views import Tables, clean_sql
+from corvane.sources import sink
 
 QUERY_DOCS = (3, 41, 128, 150, 177)  # in the tables of every size
 IDS = ", ".join(map(str, QUERY_DOCS))
@@ -178,21 +179,33 @@ def _(t):
     return shown(search.tfidf_like(t.clean_docs(), QUERY_DOCS, 20, min_doc_freq=3))
 
 
+def text_index(t: Tables) -> textindex.TextIndex:
+    """The stored index of the clean documents: built when the tables are new, then only read."""
+    files = [f"{t.sf_dir}/{name}.parquet" for name in ("documents", "labels")]
+    return textindex.opened(t.spark, sink.kept_once(t.spark, "text-index", files, lambda path: textindex.build(t.clean_docs(), path)))
+
+
+def bm25_like(t: Tables, k: int):
+    """Top k documents for the texts of the query documents, themselves left out and ranks closed up."""
+    queries = search.stored_texts(t.clean_docs(), QUERY_DOCS, "id", "text_clean")
+    return search.ranked(search.without_self(textindex.search(text_index(t), queries, k + 1)), k)
+
+
 @query("V03_bm25_by_text", f"WITH {bm25_ctes('named')} " + hits_sql("scored", 20))
 def _(t):
-    return shown(search.bm25_search(t.clean_docs(), named_queries(t), 20))
+    return shown(textindex.search(text_index(t), named_queries(t), 20))
 
 
 @query("V04_bm25_by_document", f"WITH {bm25_ctes('docs')} " + hits_sql("scored", 20, "query_id <> doc_id"))
 def _(t):
-    return shown(search.bm25_like(t.clean_docs(), QUERY_DOCS, 20))
+    return shown(bm25_like(t, 20))
 
 
 @query("V05_inverted_index", """
     WITH tf AS (SELECT id, token AS term, count(*) AS tf FROM tokens GROUP BY 1, 2)
     SELECT term, id AS doc_id, CAST(tf AS BIGINT) AS tf, CAST(sum(tf) OVER (PARTITION BY id) AS BIGINT) AS doc_length FROM tf""")
 def _(t):
-    return search.write_index(search.inverted_index(t.clean_docs(), "id", "text_clean"), new_path(t.spark, "index"), 8)
+    return search.write_index(search.inverted_index(t.clean_docs(), "id", "text_clean"), new_path(t.spark, "index"))
 
 
 # ---- embeddings ----------------------------------------------------------------------------------------------
@@ -230,10 +243,43 @@ def _(t):
     return shown(search.nearest_to(t.embeddings, QUERY_DOCS, 20, key="vec_id"))
 
 
+def vector_index(t: Tables) -> neighbours.VectorIndex:
+    """The stored index of the embeddings: built when the table is new, then only read."""
+    return neighbours.opened(t.spark, sink.kept_once(
+        t.spark, "vector-index", [f"{t.sf_dir}/embeddings.parquet"], lambda path: neighbours.build(t.embeddings, path, "vec_id")))
+
+
+def fiftieth(t: Tables):
+    """Every row whose id is divisible by 50, as queries against all rows."""
+    return t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+RECALL = 0.95
+
+ALL_KNN = f"""scored AS MATERIALIZED (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, {cos_sql('q.embedding', 'e.embedding')} AS score
+    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)"""
+
+
 @query("V08_approximate_neighbours")
 def _(t):
-    # 1.41 is the distance of perpendicular unit vectors: no neighbour with a positive cosine is cut off
-    return shown(search.approximate_neighbours(t.embeddings, t.embeddings, 1.41, 10, "vec_id"))
+    index = vector_index(t)
+    return shown(neighbours.search(index, fiftieth(t), 10, index.probes(RECALL), exclude_self=True).hits)
+
+
+@query("V08_exact_neighbours", f"WITH {ALL_KNN} " + hits_sql("scored", 10))
+def _(t):
+    return shown(neighbours.search(vector_index(t), fiftieth(t), 10, exclude_self=True).hits)
+
+
+@query("V08_recall")
+def _(t):
+    index = vector_index(t)
+    probes = index.probes(RECALL)
+    found = neighbours.search(index, fiftieth(t), 10, probes, exclude_self=True)
+    exact = neighbours.search(index, fiftieth(t), 10, exclude_self=True)
+    compared = found.compared.agg(F.avg("candidates")).scalar() / index.shells.agg(F.sum("n")).scalar()
+    return neighbours.recall(found.hits, exact.hits).select(
+        "neighbours", r6(F.col("recall")).alias("recall"), F.lit(probes).alias("probes"), F.lit(len(index.centroids)).alias("cells"), r6(compared).alias("compared"))
 
 
 @query("V09_bm25_reranked", f"""WITH {bm25_ctes('docs')},
@@ -242,7 +288,7 @@ def _(t):
       FROM first f JOIN embeddings e ON e.vec_id = f.doc_id JOIN embeddings q ON q.vec_id = f.query_id)
     """ + hits_sql("second", 20))
 def _(t):
-    candidates = search.bm25_like(t.clean_docs(), QUERY_DOCS, 1000)
+    candidates = bm25_like(t, 1000)
     vectors = t.embeddings.where(F.col("vec_id").isin(*QUERY_DOCS)).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return shown(search.reranked(candidates, t.embeddings, vectors, 20, "vec_id"))
@@ -271,7 +317,7 @@ TURNS = f"""qtok AS MATERIALIZED (SELECT query_id, k.term FROM (
 @query("V11_batch_queries", f"WITH {bm25_ctes('named').replace(QTOKENS['named'], TURNS)} " + hits_sql("scored", 5))
 def _(t):
     turns = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text")
-    return shown(search.bm25_search(t.clean_docs(), turns, 5))
+    return shown(textindex.search(text_index(t), turns, 5))
 
 
 @query("V12_enriched_hits", f"""WITH {bm25_ctes('docs')}, hits AS ({hits_sql('scored', 20, 'query_id <> doc_id')})
@@ -279,11 +325,11 @@ def _(t):
            q.title AS query_title, q.abstract AS query_abstract
     FROM hits h LEFT JOIN papers p ON p.id = h.doc_id LEFT JOIN papers q ON q.id = h.query_id""")
 def _(t):
-    return search.hit_records(shown(search.bm25_like(t.clean_docs(), QUERY_DOCS, 20)), t.papers(), "id")
+    return search.hit_records(shown(bm25_like(t, 20)), t.papers(), "id")
 
 
 def method_hits(t: Tables):
-    methods = {"bm25": search.bm25_like(t.clean_docs(), QUERY_DOCS, 20),
+    methods = {"bm25": bm25_like(t, 20),
                "nearest": search.nearest_to(t.embeddings, QUERY_DOCS, 20, key="vec_id"),
                "tfidf": search.tfidf_like(t.clean_docs(), QUERY_DOCS, 20, min_doc_freq=3)}
     frames = [df.select("query_id", F.lit(m).alias("method"), "doc_id", "rank") for m, df in methods.items()]

@@ -118,17 +118,6 @@ def test_c_v_against_brute_force(spark, docs):
     assert topics.c_v(words, tokens, 3).first()["coherence"] == pytest.approx(want)
 
 
-def test_approximate_neighbours_recall(spark):
-    rng = np.random.default_rng(3)
-    centers = rng.normal(size=(12, 16))
-    rows = [(i, [float(x) for x in centers[i % 12] + 0.1 * rng.normal(size=16)]) for i in range(240)]
-    df = spark.createDataFrame(rows, "id long, embedding array<float>")
-    exact = search.nearest(df, search.stored_vectors(df, range(240)), 10, exclude_self=True)
-    near = search.approximate_neighbours(df, df, 1.2, 10)
-    shared = exact.join(near, ["query_id", "doc_id"]).count()
-    assert shared / exact.count() > 0.9
-
-
 def test_nearest_is_the_same_for_any_partitioning(spark):
     rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(100)] + [(100, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
@@ -138,40 +127,6 @@ def test_nearest_is_the_same_for_any_partitioning(spark):
         search.nearest_to(df, [5, 1234])
 
 
-@pytest.mark.parametrize("short_list", [0, 10_000])
-def test_bm25_of_many_queries_by_all_pairs(spark, monkeypatch, short_list):
-    """A word of all documents and all queries, in blocks and by broadcast, without a list of queries per term."""
-    monkeypatch.setattr(search, "TERM_BLOCK", 7)
-    monkeypatch.setattr(search, "SHORT_LIST", short_list)
-    texts = {i: f"common w{i % 5} w{i % 3} w{i % 3}" for i in range(40)}
-    asked = {i: f"common common w{i % 4}" for i in range(30)}
-    index = search.inverted_index(spark.createDataFrame(list(texts.items()), "id long, text string"))
-    terms = search.query_terms(spark.createDataFrame(list(asked.items()), "query_id long, text string"))
-    scores = search.bm25(index, terms, F.lit(40), F.lit(4.0))
-    assert "collect_list" not in scores._jdf.queryExecution().optimizedPlan().toString()
-    words = {d: t.split() for d, t in texts.items()}
-    df = {w: sum(w in v for v in words.values()) for v in words.values() for w in v}
-    want = {}
-    for q, text in asked.items():
-        for term in text.split():
-            for d, v in words.items():
-                if term in v:
-                    tf, idf = v.count(term), math.log(1 + (40 - df[term] + 0.5) / (df[term] + 0.5))
-                    want[q, d] = want.get((q, d), 0.0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(v) / 4.0))
-    assert {(r.query_id, r.doc_id): r.score for r in scores.collect()} == pytest.approx(want)
-
-
-def test_bm25_repeated_and_missing_terms(spark):
-    docs = spark.createDataFrame([(1, "red apple"), (2, "red red car"), (3, ""), (4, "blue sky")],
-                                 "id long, text_clean string")
-    queries = spark.createDataFrame([("q", "red"), ("qq", "red RED"), ("none", "zebra")], "query_id string, text string")
-    hits = {(r.query_id, r.doc_id): r.score for r in search.bm25_search(docs, queries, 5).collect()}
-    assert set(hits) == {("q", 1), ("q", 2), ("qq", 1), ("qq", 2)}
-    assert hits["qq", 2] == pytest.approx(2 * hits["q", 2])
-    idf, mean = math.log(1 + (3 - 2 + 0.5) / (2 + 0.5)), 7 / 3
-    assert hits["q", 2] == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean)))
-
-
 def test_embedding_is_unit_norm_and_stable(spark, docs):
     one = values(encode.embedded(docs, "hashed-128", text="text_clean"))
     assert one == values(encode.embedded(docs.repartition(5), "hashed-128", text="text_clean"))
