@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from corvane.functions.numeric import r6
@@ -15,7 +13,7 @@ BASE = "https://example.org/abs/"
 ROUNDS = 5
 
 
-def rank_sql(rounds: int = ROUNDS) -> str:
+def rounds_sql(rounds: int = ROUNDS) -> str:
     """CTEs r0..rn and ``ranks``: the iteration unrolled."""
     steps = ["outdeg AS MATERIALIZED (SELECT src, count(*) AS od FROM clean_edges GROUP BY src)",
              "r0 AS MATERIALIZED (SELECT id, CAST(1.0 AS DOUBLE) AS rank FROM vertices)"]
@@ -29,6 +27,20 @@ def rank_sql(rounds: int = ROUNDS) -> str:
     return ", ".join(steps)
 
 
+def rank_sql(tolerance: float = 1e-4) -> str:
+    """CTEs ``rounds`` and ``ranks``: rounds until no rank moves by ``tolerance`` or more."""
+    return f"""outdeg AS MATERIALIZED (SELECT src, count(*) AS od FROM clean_edges GROUP BY src),
+        rounds(i, id, rank, old) AS (
+          SELECT 0, id, CAST(1.0 AS DOUBLE), CAST(1000.0 AS DOUBLE) FROM vertices
+          UNION ALL
+          SELECT v.i + 1, v.id, 0.15 + 0.85 * coalesce(g.s, 0), v.rank FROM rounds v LEFT JOIN (
+            SELECT e.dst, sum(r.rank / o.od) AS s FROM clean_edges e JOIN rounds r ON r.id = e.src
+            JOIN outdeg o ON o.src = e.src GROUP BY e.dst) g ON g.dst = v.id
+          WHERE (SELECT max(abs(rank - old)) FROM rounds) >= {tolerance}),
+        settled AS MATERIALIZED (SELECT id, rank FROM rounds WHERE i = (SELECT max(i) FROM rounds)),
+        ranks AS MATERIALIZED (SELECT id, rank * (SELECT count(*) / sum(rank) FROM settled) AS rank FROM settled)"""
+
+
 def label_sql(rounds: int = 5, edges: str = "sym_edges", ids: str = "vertices") -> str:
     steps = [f"l0 AS MATERIALIZED (SELECT id, id AS label FROM {ids})"]
     for i in range(rounds):
@@ -71,11 +83,6 @@ def attributes_sql(nodes: str, edges: str, extra: str = "", label: str = IN_LABE
 
 
 def ranks_of(t: Tables):
-    """Five rounds, as the SQL unrolls them; the queries named ``_settled`` take ``settled_ranks`` instead."""
-    return graph.page_rank(t.citations(), iterations=ROUNDS)
-
-
-def settled_ranks(t: Tables):
     return graph.page_rank(t.citations())
 
 
@@ -166,20 +173,22 @@ def _(t):
     return graph.connected_components(t.citations())
 
 
-@query("G07_page_rank_rounds", f"WITH {rank_sql()} SELECT id, round(rank, 6) AS rank FROM ranks")
+@query("G07_page_rank_rounds", f"WITH {rounds_sql()} SELECT id, round(rank, 6) AS rank FROM ranks")
 def _(t):
-    return ranks_of(t).select("id", r6(F.col("rank")).alias("rank"))
+    return graph.page_rank(t.citations(), iterations=ROUNDS).select("id", r6(F.col("rank")).alias("rank"))
 
 
-@query("G07_page_rank")
+@query("G07_page_rank", f"WITH {rank_sql()} SELECT id, round(rank, 6) AS rank FROM ranks ORDER BY round(ranks.rank, 9) DESC, id LIMIT 10")
 def _(t):
-    return graph.top_ranked(graph.page_rank(t.citations()), 10).select("id", r6(F.col("rank")).alias("rank"))
+    return graph.top_ranked(ranks_of(t), 10).select("id", r6(F.col("rank")).alias("rank"))
 
 
-@query("G08_triangles", """
-    WITH e AS MATERIALIZED (SELECT src AS a, dst AS b FROM sym_edges WHERE src < dst),
+CORNERS = """e AS MATERIALIZED (SELECT src AS a, dst AS b FROM sym_edges WHERE src < dst),
          tri AS MATERIALIZED (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b),
-         corner AS (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri)
+         corner AS (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri)"""
+
+
+@query("G08_triangles", f"""WITH {CORNERS}
     SELECT v.id, CAST(count(c.id) AS BIGINT) AS triangles FROM vertices v LEFT JOIN corner c ON c.id = v.id GROUP BY v.id""")
 def _(t):
     return graph.triangle_counts(t.citations())
@@ -245,20 +254,20 @@ def _(t):
 
 
 @query("J10_induced_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst FROM inside")
-def induced_edges(t, ranks=ranks_of):
-    return graph.induced(graph.clean_edges(t.citations()), graph.top_ranked(ranks(t), 40))
+def _(t):
+    return graph.induced(graph.clean_edges(t.citations()), graph.top_ranked(ranks_of(t), 40))
 
 
 @query("G13_community_nodes", f"WITH {rank_sql()}, {label_sql()}, {top_sql(20)} " + attributes_sql("top", "clean_edges"))
-def community_nodes(t, ranks=ranks_of):
-    nodes, _ = graph.community_map(t.citations(), ranks(t), graph.label_propagation(t.citations()))
+def _(t):
+    nodes, _ = graph.community_map(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
     return nodes.withColumn("rank", r6(F.col("rank")))
 
 
 @query("J09_node_attributes", f"WITH {rank_sql()}, {label_sql()}, {top_sql(100)} " + attributes_sql("top", "clean_edges"))
-def node_attributes(t, ranks=ranks_of):
+def _(t):
     edges = graph.clean_edges(t.citations())
-    top = graph.top_ranked(ranks(t), 100)
+    top = graph.top_ranked(ranks_of(t), 100)
     nodes = graph.node_attributes(top, edges, graph.label_propagation(t.citations()), BASE)
     return nodes.withColumn("rank", r6(F.col("rank")))
 
@@ -266,16 +275,16 @@ def node_attributes(t, ranks=ranks_of):
 @query("G14_backbone_nodes", f"""WITH {rank_sql()}, {label_sql()}, {top_sql(60)}, {core_sql('inside', 2)},
     cedges AS MATERIALIZED (SELECT src, dst FROM inside WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
     ctop AS (SELECT id, rank FROM top WHERE id IN (SELECT id FROM core)) """ + attributes_sql("ctop", "cedges"))
-def backbone_nodes(t, ranks=ranks_of):
-    nodes, _ = graph.backbone(t.citations(), ranks(t), graph.label_propagation(t.citations()), n=60)
+def _(t):
+    nodes, _ = graph.backbone(t.citations(), ranks_of(t), graph.label_propagation(t.citations()), n=60)
     return nodes.withColumn("rank", r6(F.col("rank")))
 
 
 @query("G14_backbone_edges", f"""WITH {rank_sql()}, {top_sql(60)}, {core_sql('inside', 2)}
     SELECT src, dst FROM inside WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)""")
-def backbone_edges(t, ranks=ranks_of):
+def _(t):
     own = graph.vertices(t.citations()).withColumn("label", F.col("id"))
-    _, edges = graph.backbone(t.citations(), ranks(t), own, n=60)
+    _, edges = graph.backbone(t.citations(), ranks_of(t), own, n=60)
     return edges
 
 
@@ -289,15 +298,15 @@ BRIDGE_SQL = f"""WITH {rank_sql()}, {label_sql()}, {top_sql(40)},
 @query("G15_bridge_nodes", BRIDGE_SQL + attributes_sql(
     "btop", "clean_edges", "CAST(t.nc AS BIGINT) AS neighbour_communities, round(t.score, 6) AS bridge_score,",
     "concat(t.id, ' (nComm=', t.nc, ', bScore=', printf('%.3f', t.score), ')')"))
-def bridge_nodes(t, ranks=ranks_of):
-    nodes, _ = graph.bridges(t.citations(), ranks(t), graph.label_propagation(t.citations()))
+def _(t):
+    nodes, _ = graph.bridges(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
     return nodes.withColumns({c: r6(F.col(c)) for c in ("rank", "bridge_score")})
 
 
 @query("G15_top_bridges", BRIDGE_SQL + """
     SELECT id, round(score, 6) AS bridge_score FROM btop WHERE nc > 0 ORDER BY round(score, 9) DESC, id LIMIT 20""")
-def top_bridges(t, ranks=ranks_of):
-    nodes, _ = graph.bridges(t.citations(), ranks(t), graph.label_propagation(t.citations()))
+def _(t):
+    nodes, _ = graph.bridges(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
     return graph.top_bridges(nodes).withColumn("bridge_score", r6(F.col("bridge_score")))
 
 
@@ -307,30 +316,27 @@ def status_names(t: Tables):
 
 
 @query("G16_report_rows", f"""
-    WITH {rank_sql()}, wanted AS (
+    WITH {rank_sql()}, {label_sql()}, {CORNERS}, wanted AS (
       (SELECT 'out' AS list, src AS id FROM clean_edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 20)
       UNION ALL (SELECT 'in', dst FROM clean_edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 20)
-      UNION ALL (SELECT 'rank', id FROM ranks ORDER BY round(rank, 9) DESC, id LIMIT 10)),
+      UNION ALL (SELECT 'rank', id FROM ranks ORDER BY round(rank, 9) DESC, id LIMIT 10)
+      UNION ALL (SELECT 'triangles', c.id FROM corner c GROUP BY c.id ORDER BY count(*) DESC, c.id LIMIT 5)
+      UNION ALL (SELECT 'community', id FROM comm WHERE label = (
+        SELECT label FROM comm GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) ORDER BY id LIMIT 5)
+      UNION ALL (SELECT 'source', dst FROM clean_edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)),
     named AS (SELECT p.id, string_agg(coalesce(m.pretty_name, p.c), '; ' ORDER BY p.pos) AS pretty FROM (
         SELECT id, unnest(string_split(categories, ' ')) AS c,
                generate_subscripts(string_split(categories, ' '), 1) AS pos FROM dated_papers) p
       LEFT JOIN (SELECT concat('st.', o_orderstatus) AS category_id, min(concat('status ', o_orderstatus)) AS pretty_name
                  FROM orders GROUP BY 1) m ON m.category_id = p.c GROUP BY p.id)
-    SELECT w.list, w.id, d.title, n.pretty AS pretty_categories, substring(d.update_date, 1, 4) AS year
-    FROM wanted w LEFT JOIN dated_papers d ON d.id = w.id LEFT JOIN named n ON n.id = w.id""")
+    SELECT w.list, w.id, d.title, a.names AS authors, n.pretty AS pretty_categories, substring(d.update_date, 1, 4) AS year
+    FROM wanted w LEFT JOIN dated_papers d ON d.id = w.id LEFT JOIN named n ON n.id = w.id
+    LEFT JOIN (SELECT id, string_agg(DISTINCT author, ', ' ORDER BY author) AS names FROM paper_authors GROUP BY id) a ON a.id = w.id""")
 def _(t):
+    """Every list of the report, and the authors."""
     edges = graph.clean_edges(t.citations())
     lists = {"out": graph.top_degrees(edges, "src"), "in": graph.top_degrees(edges, "dst"),
-             "rank": graph.top_ranked(ranks_of(t), 10)}
-    return graph.report_rows(lists, t.dated_papers(), status_names(t))
-
-
-@query("G16_report_rows_settled")
-def _(t):
-    """Every list of the report, settled ranks, and the authors."""
-    edges = graph.clean_edges(t.citations())
-    lists = {"out": graph.top_degrees(edges, "src"), "in": graph.top_degrees(edges, "dst"),
-             "rank": graph.top_ranked(settled_ranks(t), 10),
+             "rank": graph.top_ranked(ranks_of(t), 10),
              "triangles": graph.top_triangles(graph.triangle_counts(t.citations())),
              "community": graph.largest_community_members(graph.label_propagation(t.citations())),
              "source": graph.most_cited(edges)}
@@ -338,26 +344,12 @@ def _(t):
 
 
 @query("G13_community_edges", f"WITH {rank_sql()}, {top_sql(20)} SELECT src, dst, 'Directed' AS type FROM inside")
-def community_edges(t, ranks=ranks_of):
-    _, edges = graph.community_map(t.citations(), ranks(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+def _(t):
+    _, edges = graph.community_map(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
     return edges.withColumn("type", F.lit("Directed"))
 
 
 @query("G15_bridge_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst, 'Directed' AS type FROM inside")
-def bridge_edges(t, ranks=ranks_of):
-    _, edges = graph.bridges(t.citations(), ranks(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+def _(t):
+    _, edges = graph.bridges(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
     return edges.withColumn("type", F.lit("Directed"))
-
-
-# The same on settled ranks; SQL has no fixed number of rounds to unroll for these.
-SETTLED = {"J10_induced_edges": induced_edges,
-           "G13_community_nodes": community_nodes,
-           "J09_node_attributes": node_attributes,
-           "G14_backbone_nodes": backbone_nodes,
-           "G14_backbone_edges": backbone_edges,
-           "G15_bridge_nodes": bridge_nodes,
-           "G15_top_bridges": top_bridges,
-           "G13_community_edges": community_edges,
-           "G15_bridge_edges": bridge_edges}
-for _name, _of in SETTLED.items():
-    query(f"{_name}_settled")(partial(_of, ranks=settled_ranks))

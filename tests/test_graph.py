@@ -127,15 +127,15 @@ def test_settled_queries(spark):
     pairs = [tuple(r) for r in Tables(spark, SF_DIR).citations().collect()]
     ranks = settled(pairs)
     top = sorted(ranks, key=lambda v: (-round(ranks[v], 9), v))
-    rows = {r.id: r.rank for r in QUERIES["J09_node_attributes_settled"](spark, SF_DIR).collect()}
+    rows = {r.id: r.rank for r in QUERIES["J09_node_attributes"](spark, SF_DIR).collect()}
     assert rows == pytest.approx({v: ranks[v] for v in top[:100]}, abs=1e-6)
     inside = {(a, b) for a, b in pairs if a != b and {a, b} <= set(top[:40])}
-    assert set(values(QUERIES["J10_induced_edges_settled"](spark, SF_DIR))) == inside
-    assert {r.id for r in QUERIES["G13_community_nodes_settled"](spark, SF_DIR).collect()} == set(top[:20])
+    assert set(values(QUERIES["J10_induced_edges"](spark, SF_DIR))) == inside
+    assert {r.id for r in QUERIES["G13_community_nodes"](spark, SF_DIR).collect()} == set(top[:20])
 
 
 def test_report_has_every_list(spark):
-    rows = QUERIES["G16_report_rows_settled"](spark, SF_DIR).collect()
+    rows = QUERIES["G16_report_rows"](spark, SF_DIR).collect()
     pairs = [tuple(r) for r in Tables(spark, SF_DIR).citations().collect()]
     near, ranks = adjacency(pairs), settled(pairs)
     corners = {v: sum(1 for a in near[v] for b in near[v] if a < b and b in near[a]) for v in near}
