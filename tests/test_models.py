@@ -72,6 +72,42 @@ def test_nmf_residual_never_rises(spark, docs):
     assert len({found[i] for i in found if i % 3}) == 1 and len(set(found.values())) == 2
 
 
+def dense(rows, width):
+    out = []
+    for r in rows.collect():
+        line = np.zeros(width)
+        line[r["indices"]] = r["values"]
+        out.append(line)
+    return np.array(out)
+
+
+def test_singular_vectors_and_double_svd_start(spark, docs):
+    rows, vocabulary = nmf.tfidf_rows(features.tokenised(docs), max_df=0.95)
+    matrix, k = dense(rows, len(vocabulary)), 2
+    left, values, right = np.linalg.svd(matrix, full_matrices=False)
+    got, vectors = nmf.singular(rows, len(vocabulary), k)
+    assert got == pytest.approx(values[:k], rel=1e-6) and abs(np.sum(vectors.T * right[:k], axis=1)) == pytest.approx(np.ones(k), abs=1e-6)
+    want = np.zeros((k, len(vocabulary)))
+    for j in range(k):
+        u, v = left[:, j], right[j]
+        pairs = [(np.maximum(s * u, 0), np.maximum(s * v, 0)) for s in (1, -1)]
+        u, v = max(pairs, key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
+        want[j] = np.sqrt(values[j] * np.linalg.norm(u) * np.linalg.norm(v)) * v / np.linalg.norm(v)
+    assert nmf.double_svd(rows, len(vocabulary), k) == pytest.approx(np.where(want > 1e-10, want, matrix.mean()), abs=1e-6)
+
+
+def test_double_svd_ends_below_a_random_start(spark):
+    rng = np.random.default_rng(0)
+    pools = [[f"t{j}w{i}" for i in range(12)] for j in range(6)]
+    texts = [" ".join(rng.choice(pools[i % 6] + pools[(i + 1) % 6][:3], 15)) for i in range(180)]
+    tokens = features.tokenised(spark.createDataFrame(list(enumerate(texts)), "id long, text_clean string"))
+    rows, vocabulary = nmf.tfidf_rows(tokens)
+    random = np.random.default_rng(42).uniform(0.1, 1.0, (6, len(vocabulary)))
+    one = nmf.factorise(rows, vocabulary, 6, max_iter=6, tolerance=0.0)
+    other = nmf.factorise(rows, vocabulary, 6, max_iter=6, tolerance=0.0, start=random)
+    assert one.residuals[-1] <= other.residuals[-1] + 1e-9 and one.residuals[0] < other.residuals[0]
+
+
 def brute_counts(texts, words, window):
     own, both, total = {}, {}, 0
     for tokens in texts:
