@@ -277,7 +277,7 @@ def _(t):
     probes = index.probes(RECALL)
     found = neighbours.search(index, fiftieth(t), 10, probes, exclude_self=True)
     exact = neighbours.search(index, fiftieth(t), 10, exclude_self=True)
-    compared = found.compared.agg(F.avg("candidates")).scalar() / index.shells.agg(F.sum("n")).scalar()
+    compared = found.compared.agg(F.avg("candidates")).scalar() / index.groups.agg(F.sum("n")).scalar()
     return neighbours.recall(found.hits, exact.hits).select(
         "neighbours", r6(F.col("recall")).alias("recall"), F.lit(probes).alias("probes"), F.lit(len(index.centroids)).alias("cells"), r6(compared).alias("compared"))
 
