@@ -32,7 +32,7 @@ from corvane.llm.common import stored
 from corvane.llm.lines import BYTE_BACK, BYTE_BASE, chunks, mixed, run_hashes
 from corvane.plans.ranking import top_k_per_group
 
-SHARD = (1 << 21) - 2  # words, so that three of their ids fit into 63 bits
+SHARD = 1 << 20  # words; three of their ids fit into 63 bits
 GROUP_BYTES = 4_000_000  # bytes of text for each group of phrases
 UNKNOWN = "und"
 # What ends a piece and what separates words.
