@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import numeric
 from corvane.functions import text as tx
-from corvane.operators import features, nmf
+from corvane.operators import density, features, neighbours, nmf
 from corvane.operators.records import in_periods
 from corvane.plans.ranking import top_k_per_group
 from corvane.plans.runtime import cut_lineage, new_path
@@ -374,6 +374,19 @@ def embedding_clusters(rows: DataFrame, k: int = 10, dims: int = 5, threshold: f
             .select("id", F.when(F.col("large"), F.col("topic")).otherwise(F.lit(-1).cast("bigint")).alias("topic")))
 
 
+def density_topics(rows: DataFrame, dims: int = 5, samples: int = 30, least: int = 150, recall: float = 0.95, key: str = "id",
+                   vector: str = "embedding", seed: int = 42) -> DataFrame:
+    """(id, topic): stable density clusters on the first principal components, noise -1. Every document's neighbours come
+    from an index of vectors, probed as far as the wanted share of true neighbours takes by its own measure."""
+    vectors = features.array_as_vector(rows.select(F.col(key).alias("id"), F.col(vector).alias("embedding")), "embedding", "full")
+    model = PCA(k=dims, inputCol="full", outputCol="reduced").fit(vectors)
+    reduced = cut_lineage(model.transform(vectors).select("id", vector_to_array("reduced").cast("array<float>").alias("embedding")))
+    index = neighbours.build(reduced, new_path(rows.sparkSession, "density"), seed=seed, k=samples)
+    queries = reduced.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = neighbours.search(index, queries, samples, index.probes(recall), exclude_self=True).hits
+    return density.density_clusters(cut_lineage(hits), reduced, samples, least).select("id", F.col("cluster").cast("bigint").alias("topic"))
+
+
 def topic_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("topic").agg(F.count("*").alias("n"))
 
@@ -396,9 +409,11 @@ def representatives(rows: DataFrame, k: int = 3, topic: str = "topic", key: str
     return top_k_per_group(scored, ["topic"], [F.desc(F.round("score", 9)), F.col("doc_id")], k)
 
 
-def cluster_topic_run(docs: DataFrame, top: int = 10, seed: int = 42, **options) -> tuple[DataFrame, DataFrame]:
-    """Clusters, their words and one row of metrics. ``docs`` has id, tokens and embedding."""
-    found = cut_lineage(embedding_clusters(docs, seed=seed, **options))
+def cluster_topic_run(docs: DataFrame, top: int = 10, seed: int = 42, clusters: Callable[..., DataFrame] = embedding_clusters,
+                      **options) -> tuple[DataFrame, DataFrame]:
+    """Clusters, their words and one row of metrics. ``docs`` has id, tokens and embedding; ``clusters`` is
+    ``embedding_clusters`` or ``density_topics``."""
+    found = cut_lineage(clusters(docs, seed=seed, **options))
     words = cut_lineage(top_terms(class_tfidf(docs.join(found, "id")), top))
     row = topic_overview(found)
     return words, (row.withColumn("coherence", c_v(words, docs).agg(F.avg("coherence")).scalar())

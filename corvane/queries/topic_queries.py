@@ -173,6 +173,11 @@ def _(t):
     return topics.embedding_clusters(t.embeddings, key="vec_id", min_size=10)
 
 
+@query("C12_density_clusters")
+def _(t):
+    return topics.density_topics(encode.embedded(t.documents, "hashed-384", key="doc_id"))
+
+
 def vector_rows(t: Tables):
     noise = F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("label"))
     return t.embeddings.select(F.col("vec_id").alias("id"), noise.cast("bigint").alias("topic"), "embedding")
