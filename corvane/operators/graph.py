@@ -7,9 +7,13 @@ map-side, so a vertex with a third of all edges is neither shuffled to one task
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from corvane.plans.skew import hot_key_join
 # Damping of the rank iteration and the share every vertex starts each round with.
 DAMPING = 0.85
 RESET = 0.15
+TASK_EDGES = 1 << 20  # edges of three colours that a task counts triangles in
+PAIRS = 1 << 20  # pairs of edges that it looks at together
 
 
 # ---- edges and degrees ---------------------------------------------------------------------------------------
@@ -180,39 +186,66 @@ def top_ranked(ranks: DataFrame, k: int) -> DataFrame:
 
 # ---- triangles -----------------------------------------------------------------------------------------------
 
-def triangle_counts(raw_edges: DataFrame) -> DataFrame:
+def triangle_counts(raw_edges: DataFrame, least_colours: int = 3) -> DataFrame:
     """(id, triangles) for every vertex, edge direction ignored.
 
-    Edges point from the endpoint with the smaller degree to the larger one, which leaves at most sqrt(2 * edges)
-    outgoing neighbours at any vertex, and at most 2 * HOT_PARTS at a vertex that is hot as a target. Neighbour
-    lists are intersected along each edge, so only triangles that exist are produced.
+    Vertices get one of c colours by hash, and every three colours a task. An edge goes to the c tasks that have the
+    colours of both its ends, so the three edges of a triangle meet in the task of its colours, which alone counts it.
+    c follows from the number of edges, so that a task has about TASK_EDGES; the edges of a vertex, however many,
+    are dealt over the tasks by the colours of their other ends.
     """
-    sym = cut_lineage(symmetric(raw_edges))
-    total = sym.count()
-    degree = cut_lineage(degrees(sym, "src", "n"))
-    low = degree.select(F.col("id").alias("src"), F.col("n").alias("n_src"))
-    high = degree.select(F.col("id").alias("dst"), F.col("n").alias("n_dst"))
-    ranked = hot_key_join(sym.where(F.col("src") < F.col("dst")), low, "src", "n_src", total)
-    ranked = hot_key_join(ranked, high, "dst", "n_dst", total)
-    forward = F.struct("n_src", "src") < F.struct(F.col("n_dst").alias("n_src"), F.col("dst").alias("src"))
-    oriented = ranked.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"),
-                             F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("w"))
-    lists = cut_lineage(oriented.groupBy("u").agg(F.collect_list("w").alias("out")))
-    ends = lists.select("u", "out", F.explode("out").alias("w"))
-    targets = (lists.withColumnsRenamed({"u": "w", "out": "out_w"})
-               .join(degree.select(F.col("id").alias("w"), "n"), "w"))
-    common = (hot_key_join(ends, targets, "w", "n", total)
-              .select("u", "w", F.array_intersect("out", "out_w").alias("common"))
-              .where(F.size("common") > 0))
-    one, size = F.lit(1).cast("bigint"), F.size("common").cast("bigint")
-    credit = F.concat(
-        F.array(F.struct(F.col("u").alias("id"), size.alias("t")), F.struct(F.col("w").alias("id"), size.alias("t"))),
-        F.transform("common", lambda v: F.struct(v.alias("id"), one.alias("t"))))
-    found = common.select(F.explode(credit).alias("c")).select("c.*")
+    edges = cut_lineage(symmetric(raw_edges).where(F.col("src") < F.col("dst")))
+    colours = max(least_colours, math.ceil(math.sqrt(9 * edges.count() / TASK_EDGES)))
+
+    def colour(end: str) -> Column:
+        return F.pmod(F.xxhash64(end), F.lit(colours)).cast("int")
+
+    three = F.array_sort(F.array("a", "b", "c"))
+    dealt = (edges.select("src", "dst", colour("src").alias("a"), colour("dst").alias("b"))
+             .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(colours - 1))))
+             .select("src", "dst", "a", "b", three[0].alias("first"), three[1].alias("second"), three[2].alias("third")))
+    kind = edges.schema["src"].dataType.simpleString()
+    found = dealt.groupBy("first", "second", "third").applyInArrow(triangles_of, f"id {kind}, t long")
     zero = vertices(raw_edges).select("id", F.lit(0).cast("bigint").alias("t"))
     return found.union(zero).groupBy("id").agg(F.sum("t").alias("triangles"))
 
 
+def triangles_of(edges: pa.Table) -> pa.Table:
+    """(id, t): how many triangles of the task's own three colours each vertex is in. Edges point from the end with fewer
+    edges to the one with more; a pair of edges out of one vertex closes if its ends have an edge."""
+    n = edges.num_rows
+    ends = pc.dictionary_encode(pa.concat_arrays([edges["src"].combine_chunks(), edges["dst"].combine_chunks()]))
+    code = ends.indices.to_numpy().astype(np.int64)
+    size = len(ends.dictionary)
+    colour = np.zeros(size, np.int64)
+    colour[code] = np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()])
+    degree = np.bincount(code, minlength=size)
+    place = np.empty(size, np.int64)  # vertices in order of degree
+    order = np.lexsort((np.arange(size), degree))
+    place[order] = np.arange(size)
+    low, high = np.minimum(place[code[:n]], place[code[n:]]), np.maximum(place[code[:n]], place[code[n:]])
+    key = np.sort(low * size + high)
+    low, high, colour = key // size, key % size, colour[order]
+    behind = np.searchsorted(low, low, side="right") - np.arange(n) - 1  # later edges out of the same vertex
+    count = np.zeros(size, np.int64)
+    own = [edges[c][0].as_py() for c in ("first", "second", "third")]
+    total = np.append(0, np.cumsum(behind))
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+        one = np.repeat(np.arange(at, to), behind[at:to])
+        two = one + 1 + np.arange(len(one)) - np.repeat(total[at:to] - total[at], behind[at:to])
+        wanted = high[one] * size + high[two]
+        where = np.minimum(np.searchsorted(key, wanted), n - 1)
+        closed = key[where] == wanted
+        corners = np.stack([low[one[closed]], high[one[closed]], high[two[closed]]], axis=1)
+        corners = corners[(np.sort(colour[corners], axis=1) == own).all(axis=1)]
+        count += np.bincount(corners.ravel(), minlength=size)
+        at = to
+    hit = np.flatnonzero(count)
+    return pa.table([ends.dictionary.take(pa.array(order[hit])), pa.array(count[hit])], ["id", "t"])
+
+
 def top_triangles(counts: DataFrame, k: int = 5) -> DataFrame:
     return counts.orderBy(F.desc("triangles"), "id").limit(k)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,23 @@ def test_triangles(spark, edges):
     assert got == want and sum(got.values()) % 3 == 0
 
 
+@pytest.mark.parametrize("task_edges", [1 << 20, 40])
+def test_triangles_of_a_hub(spark, monkeypatch, task_edges):
+    """A vertex on a third of the edges, many colours, and names instead of numbers."""
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
+    rng = random.Random(3)
+    pairs = [(0, i) for i in range(1, 90)] + [(rng.randrange(1, 90), rng.randrange(1, 90)) for _ in range(180)]
+    near = adjacency(pairs)
+    want = {v: sum(1 for a in near[v] for b in near[v] if a < b and b in near[a]) for v in near}
+    assert dict(values(graph.triangle_counts(frame(spark, pairs)))) == want and want[0] > 100
+    links = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    table = pa.table({"src": [a for a, _ in links], "dst": [b for _, b in links], **{c: [0] * len(links) for c in ("a", "b", "first", "second", "third")}})
+    monkeypatch.setattr(graph, "PAIRS", 50)  # few pairs at once, in this process
+    assert {r["id"]: r["t"] for r in graph.triangles_of(table).to_pylist()} == {v: n for v, n in want.items() if n}
+    named = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in pairs], "src string, dst string")
+    assert dict(values(graph.triangle_counts(named))) == {f"v{v}": n for v, n in want.items()}
+
+
 def test_distances(spark, edges):
     near, want, frontier = adjacency(edges), {100: 0}, [100]
     while frontier:
