@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as tx
 from corvane.functions.numeric import non_negative_long
 from corvane.operators.records import exploded_categories, frequency, top_values
-from corvane.plans.ranking import global_rank
+from corvane.plans.ranking import first_rows, global_rank
 from corvane.plans.runtime import cut_lineage
 from corvane.plans.skew import hot_key_join
 from corvane.sources.scan import hash_sample
@@ -195,8 +195,8 @@ def length_against_authors(papers: DataFrame, size: Column, sample_rows: int = 2
     """(num_authors, title_len) of a hash sample of at most ``sample_rows`` papers."""
     picked = (papers.select("id", size.alias("num_authors"), F.length("title").alias("title_len"))
               .where(F.col("num_authors").isNotNull() & F.col("title_len").isNotNull()))
-    return (hash_sample(picked, "id", fraction, seed)
-            .orderBy(tx.hash_order(F.col("id"), seed), "id").limit(sample_rows))
+    place = tx.hash_order(F.col("id"), seed)
+    return first_rows(hash_sample(picked, "id", fraction, seed), [place, F.col("id")], F.substring(place, 1, 6), sample_rows)
 
 
 def summary_records(papers: DataFrame, authors: DataFrame, num_authors: Column, citations: str | None) -> DataFrame:

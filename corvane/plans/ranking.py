@@ -65,3 +65,23 @@ def running_total(df: DataFrame, order: Sequence[Column], value: Column,
 def global_rank(df: DataFrame, order: Sequence[Column], out_col: str = "rank") -> DataFrame:
     """1-based position of every row in a total order."""
     return running_total(df, order, F.lit(1).cast("bigint"), out_col)
+
+
+def first_rows(df: DataFrame, order: Sequence[Column], coarse: Column, k: int) -> DataFrame:
+    """The first ``k`` rows of a total order without any task or the driver holding k rows.
+
+    ``coarse`` never falls along the order. Rows are counted per value of it; those before the value at which the k-th row
+    stands are all in, and only the rows of that one value are ranked, over range partitions.
+    """
+    keyed = cut_lineage(df.withColumn("__coarse", coarse))
+    sizes = keyed.groupBy("__coarse").agg(F.count("*").alias("__n"))
+    sums = running_total(sizes, [F.col("__coarse")], F.col("__n"), "__upto")
+    edge = sums.where(F.col("__upto") >= k).orderBy("__coarse").first()
+    if edge is None:
+        return keyed.drop("__coarse")
+    before = keyed.where(F.col("__coarse") < edge["__coarse"]).drop("__coarse")
+    there = keyed.where(F.col("__coarse") == edge["__coarse"]).drop("__coarse")
+    if edge["__upto"] == k:
+        return before.unionByName(there)
+    rest = k - (edge["__upto"] - edge["__n"])
+    return before.unionByName(global_rank(there, order, "__place").where(F.col("__place") <= rest).drop("__place"))

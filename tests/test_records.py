@@ -234,3 +234,13 @@ def test_clipped_histogram_counts_every_kept_value(spark):
     df = spark.range(5000).select("id", (F.col("id") % 40).cast("string").alias("c"))
     bins = stats.clipped_histogram(df, F.col("c"), "id", fraction=1.0)
     assert bins.agg(F.sum("n")).first()[0] == 5000 and bins.agg(F.max("high")).first()[0] == pytest.approx(39.0)
+
+
+@pytest.mark.parametrize("k", [0, 1, 9, 10, 57, 200, 201, 500])
+def test_first_rows_as_a_sort(spark, k):
+    """Ties in the coarse key at the cut, none there, and more asked than there is."""
+    rows = [(i, i * i % 7, f"t{i * 37 % 200:03d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, total long, term string").repartition(5)
+    found = ranking.first_rows(df, [F.desc("total"), F.col("term")], -F.col("total"), k)
+    assert sorted(values(found)) == sorted(sorted(rows, key=lambda r: (-r[1], r[2]))[:k])
+    assert found.columns == df.columns
