@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from corvane.functions import numeric
 from corvane.functions import text as tx
@@ -30,6 +34,7 @@ NPMI_WINDOW = 10
 CV_WINDOW = 110
 EPSILON = 1e-12
 MAX_CENTROIDS = 20_000
+JOBS = 8  # fits that go on at the same time
 
 log = logging.getLogger(__name__)
 
@@ -226,19 +231,44 @@ def lda(docs: DataFrame, k: int = 5, max_iter: int = 20, vocab_size: int = 50_00
     return words, metrics
 
 
+def concurrently(tasks: Sequence[Callable[[], object]], most: int = JOBS) -> list:
+    """The results of ``tasks`` in order, up to ``most`` at a time, each thread's jobs in a scheduler pool of its own (fair
+    where the session schedules fairly). Fits of small groups are mostly waiting for small jobs; the first error raises,
+    and what has not begun by then does not."""
+    if not tasks:
+        return []
+    spark = SparkSession.active()
+
+    def pooled(number: int, task: Callable[[], object]) -> Callable[[], object]:
+        @inheritable_thread_target(spark)
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fits-{number}")
+            return task()
+        return run
+
+    with ThreadPoolExecutor(min(most, len(tasks))) as threads:
+        running = [threads.submit(pooled(number, task)) for number, task in enumerate(tasks)]
+        try:
+            return [r.result() for r in running]
+        finally:
+            for r in running:
+                r.cancel()
+
+
 def per_group(docs: DataFrame, group: str, min_docs: int,
               fit: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """``fit`` for every group with enough documents; words and metrics carry the group's name. The documents are
-    written once, a folder for each group, and every fit reads its own and runs over the cluster. A group that
-    cannot be fitted, such as one without a vocabulary, keeps its row, with the error as ``status``; failed Spark jobs
-    raise. The names of the groups are what reaches the driver."""
+    written once, a folder for each group, and every fit reads its own and runs over the cluster, several fits at a time.
+    A group that cannot be fitted, such as one without a vocabulary, keeps its row, with the error as ``status``; failed
+    Spark jobs raise. The names of the groups are what reaches the driver."""
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "groups")
     large = docs.groupBy(group).agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) & F.col(group).isNotNull())
     docs.join(large.select(group), group, "left_semi").withColumn("__group", F.col(group)).write.partitionBy("__group").parquet(path)
-    stored = spark.read.option("basePath", path).schema(docs.schema.add("__group", docs.schema[group].dataType)).parquet(path)
+    schema = StructType([*docs.schema.fields, StructField("__group", docs.schema[group].dataType)])
+    stored = spark.read.option("basePath", path).schema(schema).parquet(path)
     names = [r[0] for r in large.orderBy(F.desc("n"), group).collect()]
-    words, metrics = [], []
-    for name in names:
+
+    def one(name) -> tuple[DataFrame | None, DataFrame]:
         named = F.lit(name).alias("group")
         try:
             found, row = fit(stored.where(F.col("__group") == name).drop("__group"))
@@ -246,13 +276,14 @@ def per_group(docs: DataFrame, group: str, min_docs: int,
             if isinstance(error, PySparkException) and not isinstance(error, IllegalArgumentException):
                 raise
             log.exception("no topics for %s", name)
-            metrics.append(spark.range(1).select(named, F.lit(type(error).__name__).alias("status")))
-            continue
-        words.append(found.select(named, "*"))
-        metrics.append(row.select(named, F.lit("ok").alias("status"), "*"))
+            return None, spark.range(1).select(named, F.lit(type(error).__name__).alias("status"))
+        return found.select(named, "*"), row.select(named, F.lit("ok").alias("status"), "*")
+
+    done = concurrently([partial(one, name) for name in names])
+    words = [w for w, _ in done if w is not None]
     if not words:
         raise ValueError("no group could be fitted")
-    return union_all(words), union_all(sorted(metrics, key=lambda m: -len(m.columns)))
+    return union_all(words), union_all(sorted((m for _, m in done), key=lambda m: -len(m.columns)))
 
 
 def with_status(words: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -421,13 +452,13 @@ def cluster_topic_run(docs: DataFrame, top: int = 10, seed: int = 42, clusters:
 
 
 def repeated_runs(docs: DataFrame, seeds: Sequence[int], fraction: float = 1.0, **options) -> DataFrame:
-    """Metrics of one run per seed, each on its own hash sample."""
-    rows = []
-    for seed in seeds:
+    """Metrics of one run per seed, each on its own hash sample; the runs go on at the same time."""
+    def one(seed: int) -> DataFrame:
         sample = cut_lineage(hash_sample(docs, "id", fraction, seed))
         _, row = cluster_topic_run(sample, seed=seed, **options)
-        rows.append(row.select(F.lit(seed).alias("seed"), "*"))
-    return union_all(rows)
+        return cut_lineage(row.select(F.lit(seed).alias("seed"), "*"))
+
+    return union_all(concurrently([partial(one, seed) for seed in seeds]))
 
 
 def cluster_topics_per_period(docs: DataFrame, periods: Sequence[tuple[int, int]], min_docs: int = 5000,

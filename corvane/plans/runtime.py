@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app_name: str = "corvane", master: str | None = None,
                   shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC time; the cluster's own settings win elsewhere."""
+    """A session with adaptive execution, fair scheduling of concurrent jobs and UTC time; the cluster's own settings win elsewhere."""
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
@@ -18,6 +18,7 @@ def build_session(app_name: str = "corvane", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.ui.enabled", "false")
     )
     if master:

@@ -180,6 +180,36 @@ def test_failed_group_does_not_stop_the_others(spark, docs):
     assert {r.group: r.status for r in metrics.collect()} == {"a": "ok", "b": "RuntimeError"}
 
 
+def test_fits_go_on_at_the_same_time_and_the_first_error_raises(spark):
+    import threading
+    together = threading.Barrier(4, timeout=60)
+
+    def one(i):
+        together.wait()  # four at a time, or it breaks
+        return spark.range(i).count()
+
+    assert topics.concurrently([lambda i=i: one(i) for i in range(8)], 4) == list(range(8))
+    begun = []
+
+    def bad(i):
+        begun.append(i)
+        if i == 0:
+            raise ValueError("no")
+        return spark.range(5).count()
+
+    with pytest.raises(ValueError):
+        topics.concurrently([lambda i=i: bad(i) for i in range(50)], 1)
+    assert len(begun) < 50
+
+
+def test_density_topics_of_two_pools(spark, docs):
+    rows = encode.embedded(docs, "hashed-128", text="text_clean")
+    found = {r.id: r.topic for r in topics.density_topics(rows, samples=3, least=8).collect()}
+    assert len(found) == 120
+    clusters = {found[i] for i in range(120) if found[i] >= 0}
+    assert clusters and all(len({i % 3 > 0 for i in range(120) if found[i] == c}) == 1 for c in clusters)
+
+
 def test_silhouette_range(spark, docs):
     rows = features.tfidf_stages(1 << 8).fit(docs).transform(docs).select("features", "label_str")
     row = classify.clustering_scores(classify.clustered(rows, 2)).first()
