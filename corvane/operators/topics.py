@@ -9,6 +9,8 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline
@@ -34,6 +36,7 @@ NPMI_WINDOW = 10
 CV_WINDOW = 110
 EPSILON = 1e-12
 MAX_CENTROIDS = 20_000
+CELLS = 8_000_000  # of the matrix of segments and words that a task works on at once
 JOBS = 8  # fits that go on at the same time
 
 log = logging.getLogger(__name__)
@@ -82,38 +85,82 @@ def class_tfidf(docs: DataFrame, topic: str = "topic", tokens_col: str = "tokens
 
 # ---- coherence -----------------------------------------------------------------------------------------------
 
-def presence_counts(docs: DataFrame, pairs: DataFrame, window: int | None, tokens_col: str = "tokens") -> DataFrame:
-    """(w1, w2, n) for the wanted ``pairs`` (low, high) and for each of their words with itself: in how many windows
-    both occur. The row with both null has the number of windows. ``window`` None means whole documents.
-
-    A word's places in a document become disjoint runs of windows, so that counting is interval arithmetic; only the
-    wanted pairs of words meet, within their document.
-    """
-    width = F.lit(window).cast("int")
-    last = F.lit(0) if window is None else F.greatest(F.lit(0), F.col("length") - width)  # the last window's start
-    sized = docs.select(F.col(tokens_col).alias("tokens"), F.size(tokens_col).alias("length")).where("length > 0")
-    total = sized.agg(F.sum(last + 1).cast("bigint").alias("n"))
-    words = pairs.select(F.explode(F.array("low", "high")).alias("w")).distinct()
-    placed = (sized.withColumn("doc", F.monotonically_increasing_id())
-              .select("doc", "length", F.posexplode("tokens").alias("p", "w")).join(words, "w", "left_semi"))
-    low = F.lit(0) if window is None else F.greatest(F.lit(0), F.col("p") - width + 1)
-    high = F.lit(0) if window is None else F.least(F.col("p"), last)
-    spans = cut_lineage(placed.select("doc", "w", low.alias("low"), high.alias("high")).distinct())
-    in_order = Window.partitionBy("doc", "w").orderBy("low", "high")
-    before = F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (spans.withColumn("new", (F.coalesce(before, F.lit(-2)) + 1 < F.col("low")).cast("int"))
-            .withColumn("run", F.sum("new").over(in_order))
-            .groupBy("doc", "w", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")))
-    runs = cut_lineage(runs.select("doc", "w", "low", "high"))
-    own = runs.groupBy("w").agg(F.sum(F.col("high") - F.col("low") + 1).cast("bigint").alias("n"))
-    first = pairs.select(F.col("low").alias("w"), F.col("high").alias("other")).distinct()
-    left = runs.join(first, "w").select("doc", "w", "other", F.col("low").alias("a"), F.col("high").alias("b"))
-    right = runs.select("doc", F.col("w").alias("other"), F.col("low").alias("c"), F.col("high").alias("d"))
-    shared = F.least("b", "d") - F.greatest("a", "c") + 1
-    both = left.join(right, ["doc", "other"]).where(shared > 0).groupBy("w", "other").agg(F.sum(shared).cast("bigint").alias("n"))
-    none = F.lit(None).cast("string")
-    return (own.select(F.col("w").alias("w1"), F.col("w").alias("w2"), "n")
-            .union(both.select("w", "other", "n")).union(total.select(none, none, "n")))
+class WindowCounts:
+    """In how many windows of a width each wanted word, and each pair of a topic's words, occurs: sums over batches.
+
+    The windows of all documents lie on one line. A word's places become stretches of windows that hold it; between the
+    ends of stretches nothing changes, so counting is over segments, by a small matrix product for each topic."""
+
+    def __init__(self, width: int | None, topics: list[np.ndarray], n_words: int):
+        self.width, self.topics = width, topics
+        self.total = 0
+        self.own = np.zeros(n_words, np.int64)
+        self.joint = [np.zeros((len(t), len(t)), np.int64) for t in topics]
+
+    def add(self, length: np.ndarray, doc: np.ndarray, place: np.ndarray, word: np.ndarray) -> None:
+        """Documents of ``length``, and the wanted words in them: document, place, word."""
+        last = np.zeros(len(length), np.int64) if self.width is None else np.maximum(0, length - self.width)
+        windows = np.where(length > 0, last + 1, 0)
+        start = np.cumsum(windows) - windows
+        self.total += int(windows.sum())
+        if not len(doc):
+            return
+        low = np.zeros(len(doc), np.int64) if self.width is None else np.maximum(0, place - self.width + 1)
+        high = np.zeros(len(doc), np.int64) if self.width is None else np.minimum(place, last[doc])
+        low, high = low + start[doc], high + start[doc] + 1
+        ends = np.unique(np.concatenate([low, high]))
+        held = np.zeros((len(ends), len(self.own)), np.int32)
+        np.add.at(held, (np.searchsorted(ends, low), word), 1)
+        np.add.at(held, (np.searchsorted(ends, high), word), -1)
+        held = (np.cumsum(held, axis=0)[:-1] > 0).astype(np.float64)
+        size = np.diff(ends).astype(np.float64)
+        self.own += np.rint(size @ held).astype(np.int64)
+        for t, codes in enumerate(self.topics):
+            mine = held[:, codes]
+            self.joint[t] += np.rint((mine * size[:, None]).T @ mine).astype(np.int64)
+
+
+def window_counts(words: DataFrame, docs: DataFrame, windows: Sequence[int | None], tokens_col: str = "tokens") -> DataFrame:
+    """(width, topic, word_1, word_2, n): in how many windows of each width (null: whole documents) the words of a topic
+    occur together, in order of rank, a word with itself included; the row without a topic has the number of windows.
+    All widths come from one pass over the texts. The wanted words, a few for each topic, are with every task."""
+    listed = words.select("topic", "rank", "term").toPandas().sort_values(["topic", "rank"])
+    names = sorted(set(listed["term"]))
+    code = {w: i for i, w in enumerate(names)}
+    topics = [(int(t), part["term"].tolist()) for t, part in listed.groupby("topic")]
+    codes = [np.array([code[w] for w in terms]) for _, terms in topics]
+    wanted = pa.array(names, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [WindowCounts(w, codes, len(names)) for w in windows]
+        for batch in batches:
+            tokens = batch.column(0)
+            length = np.diff(tokens.offsets.to_numpy())
+            at = pc.index_in(tokens.flatten(), value_set=wanted)
+            hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            offsets = np.append(0, np.cumsum(length))
+            doc = np.searchsorted(offsets, hit, side="right") - 1
+            word = at.take(pa.array(hit)).to_numpy()
+            most = max(1, CELLS // max(1, len(names)))
+            lo = 0
+            while lo < len(length):  # so many documents that their matrix stays small
+                first = np.searchsorted(doc, lo)
+                hi = len(length) if first + most >= len(doc) else max(lo + 1, int(doc[first + most]))
+                part = slice(first, np.searchsorted(doc, hi))
+                for c in counts:
+                    c.add(length[lo:hi], doc[part] - lo, hit[part] - offsets[doc[part]], word[part])
+                lo = hi
+        rows = []
+        for width, c in zip(windows, counts):
+            rows.append((width, None, None, None, c.total))
+            for (topic, terms), joint in zip(topics, c.joint):
+                rows += [(width, topic, terms[i], terms[j], int(joint[i, j])) for i in range(len(terms)) for j in range(i, len(terms)) if joint[i, j]]
+        cols = list(zip(*rows))
+        kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], ["width", "topic", "word_1", "word_2", "n"])
+
+    parts = docs.select(tokens_col).where(F.col(tokens_col).isNotNull()).mapInArrow(run, "width int, topic long, word_1 string, word_2 string, n long")
+    return cut_lineage(parts.groupBy("width", "topic", "word_1", "word_2").agg(F.sum("n").alias("n")))
 
 
 def word_pairs(words: DataFrame) -> DataFrame:
@@ -123,20 +170,16 @@ def word_pairs(words: DataFrame) -> DataFrame:
     return one.join(two, "topic").where(F.col("rank_1") < F.col("rank_2"))
 
 
-def counted_pairs(words: DataFrame, docs: DataFrame, window: int | None, tokens_col: str) -> tuple[DataFrame, Column]:
-    """Pairs with the counts n_1, n_2 and n_12, and the number of windows."""
-    words = cut_lineage(words)
-    wanted = word_pairs(words).select(F.least("word_1", "word_2").alias("low"), F.greatest("word_1", "word_2").alias("high"))
-    counts = cut_lineage(presence_counts(docs, wanted.distinct(), window, tokens_col))
-    own = counts.where(F.col("w1") == F.col("w2"))
-    first = own.select(F.col("w1").alias("word_1"), F.col("n").alias("n_1"))
-    second = own.select(F.col("w1").alias("word_2"), F.col("n").alias("n_2"))
-    both = counts.where(F.col("w1") < F.col("w2")).select(
-        F.col("w1").alias("low"), F.col("w2").alias("high"), F.col("n").alias("n_12"))
-    pairs = (word_pairs(words).join(first, "word_1", "left").join(second, "word_2", "left")
-             .withColumn("low", F.least("word_1", "word_2")).withColumn("high", F.greatest("word_1", "word_2"))
-             .join(both, ["low", "high"], "left").fillna(0, ["n_1", "n_2", "n_12"]))
-    return pairs, counts.where(F.col("w1").isNull()).agg(F.sum("n")).scalar()
+def counted_pairs(words: DataFrame, counts: DataFrame, window: int | None) -> tuple[DataFrame, Column]:
+    """Pairs with the counts n_1, n_2 and n_12 of ``window_counts``, and the number of windows."""
+    counts = counts.where(F.col("width").eqNullSafe(F.lit(window).cast("int"))).drop("width")
+    own = counts.where(F.col("word_1") == F.col("word_2"))
+    first = own.select("topic", "word_1", F.col("n").alias("n_1"))
+    second = own.select("topic", "word_2", F.col("n").alias("n_2"))
+    both = counts.where(F.col("word_1") != F.col("word_2")).withColumnRenamed("n", "n_12")
+    pairs = (word_pairs(words).join(first, ["topic", "word_1"], "left").join(second, ["topic", "word_2"], "left")
+             .join(both, ["topic", "word_1", "word_2"], "left").fillna(0, ["n_1", "n_2", "n_12"]))
+    return pairs, counts.where(F.col("topic").isNull()).agg(F.sum("n")).scalar()
 
 
 def npmi(n_1: Column, n_2: Column, n_12: Column, total: Column) -> Column:
@@ -146,24 +189,27 @@ def npmi(n_1: Column, n_2: Column, n_12: Column, total: Column) -> Column:
     return F.when((n_1 > 0) & (n_2 > 0), value).otherwise(F.lit(0.0))
 
 
-def u_mass(words: DataFrame, docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+def u_mass(words: DataFrame, docs: DataFrame, tokens_col: str = "tokens", counts: DataFrame | None = None) -> DataFrame:
     """(topic, coherence): mean of ln((D(earlier, later) + 1) / D(earlier)) over the pairs of a topic's words, the
-    earlier word being the heavier one."""
-    pairs, _ = counted_pairs(words, docs, None, tokens_col)
+    earlier word being the heavier one. This and the others count for themselves unless given ``counts``."""
+    words = cut_lineage(words)
+    pairs, _ = counted_pairs(words, counts or window_counts(words, docs, [None], tokens_col), None)
     score = F.log((F.col("n_12") + 1.0) / F.col("n_1"))
     return pairs.where(F.col("n_1") > 0).groupBy("topic").agg(F.avg(score).alias("coherence"))
 
 
-def c_npmi(words: DataFrame, docs: DataFrame, window: int = NPMI_WINDOW, tokens_col: str = "tokens") -> DataFrame:
-    pairs, total = counted_pairs(words, docs, window, tokens_col)
+def c_npmi(words: DataFrame, docs: DataFrame, window: int = NPMI_WINDOW, tokens_col: str = "tokens", counts: DataFrame | None = None) -> DataFrame:
+    words = cut_lineage(words)
+    pairs, total = counted_pairs(words, counts or window_counts(words, docs, [window], tokens_col), window)
     score = npmi(F.col("n_1"), F.col("n_2"), F.col("n_12"), total)
     return pairs.groupBy("topic").agg(F.avg(score).alias("coherence"))
 
 
-def c_v(words: DataFrame, docs: DataFrame, window: int = CV_WINDOW, tokens_col: str = "tokens") -> DataFrame:
+def c_v(words: DataFrame, docs: DataFrame, window: int = CV_WINDOW, tokens_col: str = "tokens", counts: DataFrame | None = None) -> DataFrame:
     """Mean cosine between each word's vector of NPMI with all the topic's words and the sum of those vectors
     (Roeder et al. 2015)."""
-    pairs, total = counted_pairs(words, docs, window, tokens_col)
+    words = cut_lineage(words)
+    pairs, total = counted_pairs(words, counts or window_counts(words, docs, [window], tokens_col), window)
     value = npmi(F.col("n_1"), F.col("n_2"), F.col("n_12"), total)
     half = pairs.select("topic", "word_1", "word_2", value.alias("m"), "n_1", "n_2")
     own = npmi(F.col("n"), F.col("n"), F.col("n"), total)
@@ -191,13 +237,14 @@ def with_quality(row: DataFrame, words: DataFrame, docs: DataFrame, **parameters
 
 
 def quality(words: DataFrame, docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """One row: mean c_v, c_npmi and u_mass over the topics, and diversity with a fixed denominator."""
+    """One row: mean c_v, c_npmi and u_mass over the topics, all from one pass over the texts, and diversity with a fixed
+    denominator."""
+    words = cut_lineage(words)
     top = words.agg(F.max("rank")).first()[0] or 1
+    counts = window_counts(words, docs, [CV_WINDOW, NPMI_WINDOW, None], tokens_col)
     row = diversity(words, int(top))
-    for name, scores in (("c_v", c_v(words, docs, tokens_col=tokens_col)),
-                         ("c_npmi", c_npmi(words, docs, tokens_col=tokens_col)),
-                         ("u_mass", u_mass(words, docs, tokens_col=tokens_col))):
-        row = row.withColumn(name, scores.agg(F.avg("coherence")).scalar())
+    for name, measure in (("c_v", c_v), ("c_npmi", c_npmi), ("u_mass", u_mass)):
+        row = row.withColumn(name, measure(words, docs, tokens_col=tokens_col, counts=counts).agg(F.avg("coherence")).scalar())
     return row
 
 

@@ -94,16 +94,20 @@ def _(t):
     return topics.u_mass(words_of(t), docs).withColumn("coherence", r6(F.col("coherence")))
 
 
-@query("C09_npmi", f"""WITH {CTFIDF}, {words_sql(10)}, {PAIRS},
-    listed AS (SELECT id, list_filter(string_split(text_clean, ' '), lambda x: x <> '') AS ws FROM clean_docs),
-    total AS (SELECT sum(greatest(1, len(ws) - 9)) AS n FROM listed WHERE len(ws) > 0),
-    placed AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p, greatest(0, len(ws) - 10) AS last FROM listed),
-    seen AS MATERIALIZED (SELECT DISTINCT id, w, unnest(range(greatest(0, p - 9), least(p, last) + 1)) AS s FROM placed
+def windows_sql(width: int) -> str:
+    """CTEs of the windows of ``width`` tokens: ``total``, ``own`` and ``joint`` counts of the wanted words."""
+    return f"""listed AS (SELECT id, list_filter(string_split(text_clean, ' '), lambda x: x <> '') AS ws FROM clean_docs),
+    total AS (SELECT sum(greatest(1, len(ws) - {width - 1})) AS n FROM listed WHERE len(ws) > 0),
+    placed AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p, greatest(0, len(ws) - {width}) AS last FROM listed),
+    seen AS MATERIALIZED (SELECT DISTINCT id, w, unnest(range(greatest(0, p - {width - 1}), least(p, last) + 1)) AS s FROM placed
                           WHERE w IN (SELECT term FROM words)),
     own AS MATERIALIZED (SELECT w, count(*) AS n FROM seen GROUP BY w),
     need AS (SELECT DISTINCT w1, w2 FROM pr),
     joint AS MATERIALIZED (SELECT a.w AS w1, b.w AS w2, count(*) AS n FROM seen a JOIN seen b ON a.id = b.id AND a.s = b.s
-                          JOIN need ON need.w1 = a.w AND need.w2 = b.w GROUP BY 1, 2),
+                          JOIN need ON need.w1 = a.w AND need.w2 = b.w GROUP BY 1, 2)"""
+
+
+@query("C09_npmi", f"""WITH {CTFIDF}, {words_sql(10)}, {PAIRS}, {windows_sql(10)},
     sc AS (SELECT pr.topic, coalesce(joint.n, 0) / total.n + 1e-12 AS p, x.n AS n1, y.n AS n2, total.n AS t
            FROM pr JOIN own x ON x.w = pr.w1 JOIN own y ON y.w = pr.w2
            LEFT JOIN joint ON joint.w1 = pr.w1 AND joint.w2 = pr.w2, total)
@@ -113,7 +117,18 @@ def _(t):
     return topics.c_npmi(words_of(t), docs).withColumn("coherence", r6(F.col("coherence")))
 
 
-@query("C09_c_v")
+@query("C09_c_v", f"""WITH {CTFIDF}, {words_sql(10)}, {PAIRS}, {windows_sql(110)},
+    sc AS (SELECT pr.topic, pr.w1, pr.w2, coalesce(joint.n, 0) / total.n + 1e-12 AS p, x.n AS n1, y.n AS n2, total.n AS t
+           FROM pr JOIN own x ON x.w = pr.w1 JOIN own y ON y.w = pr.w2
+           LEFT JOIN joint ON joint.w1 = pr.w1 AND joint.w2 = pr.w2, total),
+    half AS (SELECT topic, w1, w2, ln(p * t * t / (CAST(n1 AS DOUBLE) * n2)) / -ln(p) AS m FROM sc),
+    self AS (SELECT topic, w, ln(p * t * t / (CAST(n AS DOUBLE) * n)) / -ln(p) AS m FROM (
+      SELECT words.topic, own.w, own.n, total.n AS t, own.n / total.n + 1e-12 AS p FROM words JOIN own ON own.w = words.term, total)),
+    cell AS MATERIALIZED (SELECT topic, w1 AS w, w2 AS v, m FROM half UNION ALL SELECT topic, w2, w1, m FROM half
+                          UNION ALL SELECT topic, w, w, m FROM self),
+    sums AS (SELECT topic, v, sum(m) AS s FROM cell GROUP BY 1, 2),
+    per_word AS (SELECT topic, w, sum(m * s) / sqrt(sum(m * m) * sum(s * s)) AS c FROM cell JOIN sums USING (topic, v) GROUP BY 1, 2)
+    SELECT topic, round(avg(c), 6) AS coherence FROM per_word GROUP BY topic""")
 def _(t):
     docs = features.tokenised(t.clean_docs())
     return topics.c_v(words_of(t), docs).withColumn("coherence", r6(F.col("coherence")))

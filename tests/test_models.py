@@ -128,13 +128,16 @@ def brute_counts(texts, words, window):
 def test_presence_counts(spark, window):
     texts = ["a b c a d e f a", "b", "", "c c c a", "x y z"]
     docs = features.tokenised(spark.createDataFrame([(t,) for t in texts], "text_clean string").repartition(3))
-    words = ["a", "b", "c", "q"]
-    pairs = spark.createDataFrame(list(itertools.combinations(words, 2)), "low string, high string")
-    own, both, total = brute_counts([t.split() for t in texts], words, window)
-    got = {(r.w1, r.w2): r.n for r in topics.presence_counts(docs, pairs, window).collect()}
-    assert got.pop((None, None)) == total
-    assert {k[0]: n for k, n in got.items() if k[0] == k[1]} == own
-    assert {k: n for k, n in got.items() if k[0] != k[1]} == both
+    topic_words = {0: ["b", "a", "q"], 1: ["c", "a"], 2: ["q"]}
+    words = spark.createDataFrame([(t, i + 1, w) for t, ws in topic_words.items() for i, w in enumerate(ws)], "topic long, rank long, term string")
+    own, both, total = brute_counts([t.split() for t in texts], ["a", "b", "c", "q"], window)
+    for widths in ([window], [2, window, 7]):
+        rows = [r for r in topics.window_counts(words, docs, widths).collect() if r.width == window]
+        got = {(r.topic, r.word_1, r.word_2): r.n for r in rows}
+        assert got.pop((None, None, None)) == total
+        want = {(t, x, y): own.get(x, 0) if x == y else both.get((min(x, y), max(x, y)), 0)
+                for t, ws in topic_words.items() for i, x in enumerate(ws) for y in ws[i:]}
+        assert got == {k: n for k, n in want.items() if n}
 
 
 def test_c_v_against_brute_force(spark, docs):
