@@ -203,28 +203,39 @@ def summary_records(papers: DataFrame, authors: DataFrame, num_authors: Column,
     """(key, entity, value) rows of record holders. ``papers`` has id, year, categories; ties go to the smaller
     entity. Without a citation column one row says so."""
 
-    def holder(key: str, df: DataFrame, entity: Column, value: Column) -> DataFrame:
-        return (df.select(entity.cast("string").alias("entity"), value.cast("bigint").alias("value"))
-                .where(F.col("value").isNotNull()).orderBy(F.desc("value"), "entity").limit(1)
-                .select(F.lit(key).alias("key"), "entity", "value"))
+    def first(entity: Column, value: Column) -> Column:
+        """The record holder as an aggregate: greatest value, then smallest entity."""
+        entity, value = entity.cast("string"), value.cast("bigint")
+        return F.min(F.when(value.isNotNull(), F.struct((-value).alias("below"), entity.alias("entity"))))
+
+    def holders(df: DataFrame, **records: Column) -> DataFrame:
+        """All record holders of a table from one pass over it."""
+        row = df.agg(*[c.alias(key) for key, c in records.items()])
+        listed = F.array(*[F.struct(F.lit(key).alias("key"), F.col(f"{key}.entity").alias("entity"), (-F.col(f"{key}.below")).alias("value"))
+                           for key in records])
+        return row.select(F.explode(listed).alias("r")).select("r.*").where(F.col("value").isNotNull())
 
     n = F.col("n")
-    by_year = frequency(papers.where(F.col("year").isNotNull()), "year")
+    given = citations and F.col(citations).cast("string").try_cast("bigint")
+    slim = cut_lineage(papers.select("id", "year", "categories", num_authors.alias("n"), *([given.alias("cited")] if citations else [])))
+    own = {"paper_with_most_authors": first(F.col("id"), n),
+           "paper_with_most_categories": first(F.col("id"), F.size(tx.category_list(F.col("categories"))))}
+    if citations:
+        own["most_cited_paper"] = first(F.col("id"), F.col("cited"))
+    by_year = frequency(slim.where(F.col("year").isNotNull()), "year")
+    by_author = authors.join(slim.groupBy("id").agg(F.sum("cited").alias("cited")), "id", "left") if citations else authors
+    per_author = by_author.groupBy("author").agg(F.count("*").alias("n"), *([F.sum("cited").alias("cit_sum")] if citations else []))
+    of_authors = {"most_prolific_author": first(F.col("author"), n)}
+    if citations:
+        of_authors["most_cited_author"] = first(F.col("author"), F.col("cit_sum"))
     parts = [
-        papers.agg(F.count("*").alias("value")).select(F.lit("rows_total").alias("key"),
-                                                       F.lit(None).cast("string").alias("entity"), "value"),
-        holder("year_with_most_papers", by_year, F.col("year"), n),
-        holder("paper_with_most_authors", papers, F.col("id"), num_authors),
-        holder("paper_with_most_categories", papers, F.col("id"), F.size(tx.category_list(F.col("categories")))),
-        holder("most_common_category", frequency(exploded_categories(papers), "category"), F.col("category"), n),
-        holder("most_prolific_author", frequency(authors, "author"), F.col("author"), n),
+        slim.agg(F.count("*").alias("value")).select(F.lit("rows_total").alias("key"), F.lit(None).cast("string").alias("entity"), "value"),
+        holders(slim, **own),
+        holders(by_year, year_with_most_papers=first(F.col("year"), n)),
+        holders(frequency(exploded_categories(slim), "category"), most_common_category=first(F.col("category"), n)),
+        holders(per_author, **of_authors),
     ]
-    if citations:
-        cit = F.col(citations).cast("string").try_cast("bigint")
-        totals = citation_totals(authors, papers, citations)
-        parts += [holder("most_cited_paper", papers, F.col("id"), cit),
-                  holder("most_cited_author", totals, F.col("author"), F.col("cit_sum"))]
-    else:
+    if not citations:
         parts.append(papers.sparkSession.createDataFrame(
             [("citations_available", None, 0)], "key STRING, entity STRING, value BIGINT"))
     out = parts[0]
