@@ -25,7 +25,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.plans.runtime import cut_lineage
+from corvane.plans.runtime import cut_lineage, stored
 
 TERMS = 512  # terms in a block
 OVERSAMPLING, POWERS = 10, 4  # of the subspace iteration
@@ -212,7 +212,7 @@ def factorise(rows: DataFrame, vocabulary: list[str], k: int = 5, max_iter: int
               seed: int = 42, start: np.ndarray | None = None) -> Factorisation:
     """Topics H >= 0 of X ~ W H by alternating exact steps from ``start`` (the double SVD by default); the residual never
     rises. Stops when it falls by less than ``tolerance`` of the first one."""
-    rows = cut_lineage(rows)
+    rows = stored(rows.select("indices", "values"), "term-weights")
     topics = double_svd(rows, len(vocabulary), k, seed) if start is None else start
     residuals: list[float] = []
     for _ in range(max_iter):

@@ -27,7 +27,7 @@ from corvane.functions import text as tx
 from corvane.operators import density, features, neighbours, nmf
 from corvane.operators.records import in_periods
 from corvane.plans.ranking import top_k_per_group
-from corvane.plans.runtime import cut_lineage, new_path
+from corvane.plans.runtime import cut_lineage, new_path, stored
 from corvane.plans.skew import hot_key_join
 from corvane.sources.scan import hash_sample
 
@@ -312,13 +312,13 @@ def per_group(docs: DataFrame, group: str, min_docs: int,
     large = docs.groupBy(group).agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) & F.col(group).isNotNull())
     docs.join(large.select(group), group, "left_semi").withColumn("__group", F.col(group)).write.partitionBy("__group").parquet(path)
     schema = StructType([*docs.schema.fields, StructField("__group", docs.schema[group].dataType)])
-    stored = spark.read.option("basePath", path).schema(schema).parquet(path)
+    parts = spark.read.option("basePath", path).schema(schema).parquet(path)
     names = [r[0] for r in large.orderBy(F.desc("n"), group).collect()]
 
     def one(name) -> tuple[DataFrame | None, DataFrame]:
         named = F.lit(name).alias("group")
         try:
-            found, row = fit(stored.where(F.col("__group") == name).drop("__group"))
+            found, row = fit(parts.where(F.col("__group") == name).drop("__group"))
         except (IllegalArgumentException, ValueError, RuntimeError) as error:  # such as an empty vocabulary
             if isinstance(error, PySparkException) and not isinstance(error, IllegalArgumentException):
                 raise
@@ -372,7 +372,7 @@ def lda_per_period(docs: DataFrame, periods: Sequence[tuple[int, int]], min_docs
 def nmf_topics(docs: DataFrame, key: str = "id", k: int = 5, max_iter: int = 400, max_df: float = 0.9,
                min_df: float = 0.001, max_features: int = 30_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Topic weights and one row with the number of rounds and the first and last residual."""
-    tokens = cut_lineage(docs.select(key, "tokens"))
+    tokens = stored(docs.select(key, "tokens"), "tokens")
     rows, vocabulary = nmf.tfidf_rows(tokens, key, "tokens", max_df, min_df, max_features)
     result = nmf.factorise(rows, vocabulary, k, max_iter, seed=seed)
     spark = docs.sparkSession

@@ -182,7 +182,7 @@ def _(t):
 def text_index(t: Tables) -> textindex.TextIndex:
     """The stored index of the clean documents: built when the tables are new, then only read."""
     files = [f"{t.sf_dir}/{name}.parquet" for name in ("documents", "labels")]
-    return textindex.opened(t.spark, sink.kept_once(t.spark, "text-index", files, lambda path: textindex.build(t.clean_docs(), path)))
+    return textindex.opened(t.spark, sink.kept_once(t.spark, "text-index-2", files, lambda path: textindex.build(t.clean_docs(), path)))
 
 
 def bm25_like(t: Tables, k: int):
@@ -246,7 +246,7 @@ def _(t):
 def vector_index(t: Tables) -> neighbours.VectorIndex:
     """The stored index of the embeddings: built when the table is new, then only read."""
     return neighbours.opened(t.spark, sink.kept_once(
-        t.spark, "vector-index", [f"{t.sf_dir}/embeddings.parquet"], lambda path: neighbours.build(t.embeddings, path, "vec_id")))
+        t.spark, "vector-index-2", [f"{t.sf_dir}/embeddings.parquet"], lambda path: neighbours.build(t.embeddings, path, "vec_id")))
 
 
 def fiftieth(t: Tables):
