@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,16 +60,19 @@ def test_bm25_as_scoring_everything(spark, monkeypatch, ids):
         assert searched(index, queries, k) == bm25(docs, asked, k)
 
 
+def posting_table(rows):
+    """Blocks of (term, tf, documents); every document has 10 tokens."""
+    return pa.table({"term": [t for t, *_ in rows], "n": pa.array([len(d) for *_, d in rows], pa.int32()),
+                     "most_tf": pa.array([f for _, f, _ in rows], pa.int32()), "least_length": pa.array([10] * len(rows), pa.int32()),
+                     "docs": [np.sort(d).tolist() for *_, d in rows], "tfs": pa.array([[f] * len(d) for _, f, d in rows], pa.list_(pa.int32())),
+                     "lengths": pa.array([[10] * len(d) for *_, d in rows], pa.list_(pa.int32()))})
+
+
 def test_terms_that_cannot_help_are_not_added_up():
     rng = np.random.default_rng(4)
-    import pyarrow as pa
     n = 4000
     rows = [("rare", 5, rng.choice(n, 60, replace=False)), ("rarer", 9, rng.choice(n, 40, replace=False)), ("the", 1, np.arange(n)), ("of", 1, np.arange(n))]
-    table = pa.table({"term": [t for t, *_ in rows], "n": pa.array([len(d) for *_, d in rows], pa.int32()),
-                      "most_tf": pa.array([f for _, f, _ in rows], pa.int32()), "least_length": pa.array([10] * 4, pa.int32()),
-                      "docs": [np.sort(d).tolist() for *_, d in rows], "tfs": pa.array([[f] * len(d) for _, f, d in rows], pa.list_(pa.int32())),
-                      "lengths": pa.array([[10] * len(d) for *_, d in rows], pa.list_(pa.int32()))})
-    shard = textindex.Shard(table, 10.0, 1.2, 0.75)
+    shard = textindex.Shard(posting_table(rows), 10.0, 1.2, 0.75)
     weights = np.array([5.0, 6.0, 0.1, 0.1])
     doc, score, added = shard.top(np.arange(4), weights, 10)
     assert len(doc) == 10 and added < 400
@@ -76,6 +80,26 @@ def test_terms_that_cannot_help_are_not_added_up():
     assert everything == 2 * n + 100 and full[:10].tolist() == doc.tolist()
 
 
+@pytest.mark.parametrize("rare", [0, 6, 40])
+def test_best_of_a_shard_as_adding_everything(monkeypatch, rare):
+    """Common terms only, some rare ones, and only rare ones; ties; fewer documents than asked."""
+    monkeypatch.setattr(textindex, "RARE", rare)
+    rng = np.random.default_rng(rare)
+    for _ in range(60):
+        n = int(rng.integers(5, 60))
+        rows = [(f"t{i}", int(rng.integers(1, 6)), rng.choice(n, int(rng.integers(1, n + 1)), replace=False)) for i in range(int(rng.integers(1, 12)))]
+        shard = textindex.Shard(posting_table(rows), 10.0, 1.2, 0.75)
+        codes = np.sort(rng.choice(len(rows), int(rng.integers(1, len(rows) + 1)), replace=False))
+        weights = np.round(rng.exponential(2.0, len(codes)), 1) + 0.1
+        score = np.zeros(n)
+        for c, w in zip(codes, weights):
+            score[rows[c][2]] += w * textindex.impact(rows[c][1], 10, 10.0, 1.2, 0.75)
+        k = int(rng.integers(1, 9))
+        wanted = [int(d) for d in np.lexsort((np.arange(n), -np.round(score, 9))) if score[d] > 0][:k]
+        doc, found, _ = shard.top(codes, weights, k)
+        assert shard.ids[doc].tolist() == wanted and found == pytest.approx(score[wanted])
+
+
 def test_empty_index_and_no_queries(spark):
     empty = textindex.build(spark.createDataFrame([], "id long, text_clean string"), new_path(spark, "texts"))
     queries = spark.createDataFrame([("q", "word")], "query_id string, text string")
