@@ -6,6 +6,7 @@ import logging
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import LDA, KMeans, LDAModel
 from pyspark.ml.feature import PCA, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -257,6 +258,65 @@ def lda_stages(k: int, vocab_size: int, min_df: float, max_df: float, max_iter:
     ])
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """By recurrence up to 10, and the asymptotic series beyond."""
+    x = np.array(x, np.float64)
+    shift = np.zeros_like(x)
+    while (low := x < 10.0).any():
+        shift[low] += 1.0 / x[low]
+        x[low] += 1.0
+    f = 1.0 / (x * x)
+    return np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132)))) - shift
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(lgamma, np.ravel(x)), np.float64, np.size(x))
+
+
+def lda_bound(model: LDAModel, counted: DataFrame) -> tuple[float, float]:
+    """(bound, words): the lower bound of the log likelihood of the corpus as Spark's ``logLikelihood`` defines it, and the
+    number of words counted. Spark's own call takes the exponential of all topics anew for every document, and its
+    ``logPerplexity`` does so again. Here ``transform`` infers each document's topics once (their parameters add up to those
+    of the prior and the document's words), and the bound is summed over batches with the topics at every task."""
+    alpha = np.asarray(model.estimatedDocConcentration().toArray())
+    topics = np.asarray(model.topicsMatrix().toArray())
+    size, k = topics.shape
+    eta = 1.0 / k  # the estimator's default
+    expected = digamma(topics) - digamma(topics.sum(axis=0))
+    own = (float(((eta - topics) * expected).sum()) + float(log_gamma(topics).sum()) - size * k * lgamma(eta)
+           + k * lgamma(eta * size) - float(log_gamma(topics.sum(axis=0)).sum()))
+    held = counted.sparkSession.sparkContext.broadcast(expected)
+    prior = lgamma(float(alpha.sum())) - float(log_gamma(alpha).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = words = 0.0
+        for batch in batches:
+            indices, values, shares = (batch.column(name) for name in ("indices", "values", "shares"))
+            lengths = pc.list_value_length(indices).to_numpy(zero_copy_only=False)
+            if not len(lengths):
+                continue
+            column, count = indices.flatten().to_numpy(), values.flatten().to_numpy()
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            total = np.bincount(row, weights=count, minlength=len(lengths))
+            gamma = shares.flatten().to_numpy().reshape(-1, k) * (total + alpha.sum())[:, None]
+            theta = digamma(gamma) - digamma(gamma.sum(axis=1))[:, None]
+            bound += float(((alpha - gamma) * theta).sum() + log_gamma(gamma).sum() - log_gamma(gamma.sum(axis=1)).sum()) + len(gamma) * prior
+            words += float(total.sum())
+            for at in range(0, len(row), CELLS // k):
+                part = slice(at, at + CELLS // k)
+                cells = theta[row[part]] + held.value[column[part]]
+                most = cells.max(axis=1)
+                bound += float(count[part] @ (most + np.log(np.exp(cells - most[:, None]).sum(axis=1))))
+        yield pa.RecordBatch.from_pydict({"bound": [bound], "words": [words]})
+
+    stored = F.unwrap_udt("counts")
+    rows = (model.transform(counted).select(stored["indices"].alias("indices"), stored["values"].alias("values"),
+                                            vector_to_array(model.getTopicDistributionCol()).alias("shares"))
+            .where(F.size("indices") > 0))
+    sums = rows.mapInArrow(run, "bound double, words double").agg(F.sum("bound"), F.sum("words")).first()
+    return own + (sums[0] or 0.0), sums[1] or 0.0
+
+
 def lda(docs: DataFrame, k: int = 5, max_iter: int = 20, vocab_size: int = 50_000, min_df: float = 5000.0,
         max_df: float = 2 ** 63 - 1.0, min_tokens: int = 5, top: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Topic words and one row of metrics over documents with more than ``min_tokens`` tokens."""
@@ -271,9 +331,9 @@ def lda(docs: DataFrame, k: int = 5, max_iter: int = 20, vocab_size: int = 50_00
              .select("topic", (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("t.termIndices").alias("code"),
                      F.col("t.termWeights").alias("weight"))
              .join(names, "code").select("topic", "rank", "term", "weight"))
+    bound, counted_words = lda_bound(model, counted)
     metrics = spark.createDataFrame(
-        [(usable.count(), k, len(vocabulary), float(model.logLikelihood(counted)),
-          float(model.logPerplexity(counted)))],
+        [(usable.count(), k, len(vocabulary), bound, -bound / counted_words)],
         "docs long, topics int, vocabulary int, log_likelihood double, log_perplexity double")
     return words, metrics
 

@@ -239,3 +239,12 @@ def test_group_without_vocabulary_is_told_and_failed_jobs_raise(spark, docs):
 def test_runner_decodes_confusions(spark, kind):
     rows = QUERIES[f"M06_train_and_evaluate_{kind}"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.label_name and r.prediction_name for r in rows if r.label != r.prediction)
+
+
+def test_lda_bound_is_the_library_s(spark, docs):
+    tokens = features.tokenised(docs).select("tokens").union(spark.createDataFrame([(["elsewhere"],), ([],)], "tokens array<string>"))
+    vectoriser, model = topics.lda_stages(3, 100, 2.0, 2 ** 63 - 1.0, 5, 42).fit(tokens).stages
+    counted = vectoriser.transform(tokens)
+    bound, words = topics.lda_bound(model, counted)
+    assert bound == pytest.approx(model.logLikelihood(counted), rel=1e-5)
+    assert -bound / words == pytest.approx(model.logPerplexity(counted), rel=1e-5)
