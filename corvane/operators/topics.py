@@ -281,6 +281,8 @@ def lda_bound(model: LDAModel, counted: DataFrame) -> tuple[float, float]:
     alpha = np.asarray(model.estimatedDocConcentration().toArray())
     topics = np.asarray(model.topicsMatrix().toArray())
     size, k = topics.shape
+    if not size:  # no vocabulary: the library's own error
+        return model.logLikelihood(counted), float("nan")
     eta = 1.0 / k  # the estimator's default
     expected = digamma(topics) - digamma(topics.sum(axis=0))
     own = (float(((eta - topics) * expected).sum()) + float(log_gamma(topics).sum()) - size * k * lgamma(eta)
