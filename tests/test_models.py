@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from corvane.operators import classify, encode, evaluate, features, nmf, search, topics
+from corvane.plans import runtime
 from corvane.plans.runtime import new_path
 from corvane.queries import QUERIES
 
@@ -258,5 +259,20 @@ def test_shares_of_documents_become_numbers(spark):
     assert (model.getMinDF(), model.getMaxDF()) == (2.0, 3.6)  # bounds that need no kept tokens
     one = rows.limit(1)
     assert features.fit_vocabulary(counter.copy({counter.maxDF: 1.0}), one).vocabulary
-    with pytest.raises(PySparkException):
-        features.fit_vocabulary(counter, one)
+    assert features.fit_vocabulary(counter, one).vocabulary == counter.fit(one).vocabulary == []
+
+
+def test_rows_that_trees_keep_are_dealt_over_partitions(spark, docs, monkeypatch):
+    rows = features.feature_rows(features.vocabulary_stages(100).fit(docs).transform(docs)).coalesce(1)
+    monkeypatch.setattr(classify, "ROW_NUMBERS", 2000)
+    fitted = []
+
+    class Tree(classify.DecisionTreeClassifier):
+        def fit(self, training):
+            fitted.append(training.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+            return super().fit(training)
+
+    outcome = classify.run_classifier(rows, Tree(maxDepth=3), width=100)
+    assert fitted[0] <= 1.2 * 2000 / 100 and outcome.metrics.first()["accuracy"] > 0.9
+    same = runtime.spread(rows, F.lit(1), 1000)
+    assert same is rows
