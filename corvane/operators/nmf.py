@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import features
 from corvane.plans.runtime import cut_lineage, stored
 
 TERMS = 512  # terms in a block
@@ -42,7 +43,7 @@ def tfidf_rows(docs: DataFrame, key: str = "id", tokens_col: str = "tokens", max
                min_df: float = 0.001, max_features: int = 30_000) -> tuple[DataFrame, list[str]]:
     """(id, indices, values) rows of length 1 over the most used terms, weight tf * (idf + 1)."""
     counter = CountVectorizer(inputCol=tokens_col, outputCol="tf", vocabSize=max_features, minDF=min_df, maxDF=max_df)
-    counts: CountVectorizerModel = counter.fit(docs)
+    counts = features.fit_vocabulary(counter, docs)
     counted = counts.transform(docs)
     idf = IDF(inputCol="tf", outputCol="unused").fit(counted).idf.toArray() + 1.0
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="scaled").transform(counted)
