@@ -68,14 +68,15 @@ def with_created_year(df: DataFrame) -> DataFrame:
 def in_periods(df: DataFrame, periods: Sequence[tuple[int, int]], min_docs: int = 5000,
                year: str | Column = "year") -> DataFrame:
     """Rows repeated once per year window that holds them; windows with fewer than ``min_docs`` rows are left
-    out. The windows are a literal array, so no join is needed."""
+    out. The windows are a literal array, so no join is needed, and those kept go to every task: a shuffle would bring each
+    window's rows to one."""
     windows = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in periods])
     column = F.col(year) if isinstance(year, str) else year
     sliced = (df.withColumn("__period", F.explode(
                   F.filter(windows, lambda p: (column >= p["start"]) & (column <= p["end"]))))
               .withColumn("period", F.concat_ws("_", "__period.start", "__period.end")).drop("__period"))
     big_enough = sliced.groupBy("period").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
-    return sliced.join(big_enough.select("period"), "period", "left_semi")
+    return sliced.join(F.broadcast(big_enough.select("period")), "period", "left_semi")
 
 
 def with_pretty_categories(df: DataFrame, category_map: DataFrame, out_col: str = "pretty_categories") -> DataFrame:

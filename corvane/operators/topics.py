@@ -323,8 +323,10 @@ def lda(docs: DataFrame, k: int = 5, max_iter: int = 20, vocab_size: int = 50_00
         max_df: float = 2 ** 63 - 1.0, min_tokens: int = 5, top: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Topic words and one row of metrics over documents with more than ``min_tokens`` tokens."""
     usable = cut_lineage(docs.where(F.size("tokens") > min_tokens).select("tokens"))
-    vectoriser, model = lda_stages(k, vocab_size, min_df, max_df, max_iter, seed).fit(usable).stages
+    counter, estimator = lda_stages(k, vocab_size, min_df, max_df, max_iter, seed).getStages()
+    vectoriser = features.fit_vocabulary(counter, usable)
     counted = vectoriser.transform(usable)
+    model = estimator.fit(counted)
     spark, vocabulary = docs.sparkSession, vectoriser.vocabulary
     described = model.describeTopics(top)
     names = spark.createDataFrame([(i, w) for i, w in enumerate(vocabulary)], "code int, term string")
@@ -372,7 +374,8 @@ def per_group(docs: DataFrame, group: str, min_docs: int,
     Spark jobs raise. The names of the groups are what reaches the driver."""
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "groups")
     large = docs.groupBy(group).agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) & F.col(group).isNotNull())
-    docs.join(large.select(group), group, "left_semi").withColumn("__group", F.col(group)).write.partitionBy("__group").parquet(path)
+    named = F.broadcast(large.select(group))  # a shuffle would bring each group to one task
+    docs.join(named, group, "left_semi").withColumn("__group", F.col(group)).write.partitionBy("__group").parquet(path)
     schema = StructType([*docs.schema.fields, StructField("__group", docs.schema[group].dataType)])
     parts = spark.read.option("basePath", path).schema(schema).parquet(path)
     names = [r[0] for r in large.orderBy(F.desc("n"), group).collect()]
@@ -505,12 +508,12 @@ def embedding_clusters(rows: DataFrame, k: int = 10, dims: int = 5, threshold: f
     stages = [PCA(k=dims, inputCol="full", outputCol="reduced"),
               KMeans(k=k, featuresCol="reduced", predictionCol="topic", seed=seed)]
     found = cut_lineage(Pipeline(stages=stages).fit(vectors).transform(vectors).select("id", "embedding", "topic"))
-    near = (found.join(centroids(found), "topic")
+    near = (found.join(F.broadcast(centroids(found)), "topic")  # k rows
             .select("id", F.when(numeric.cosine(F.col("embedding"), F.col("centroid")) > threshold, F.col("topic"))
                     .otherwise(-1).cast("bigint").alias("topic")))
     near = cut_lineage(near)
     large = near.groupBy("topic").agg(F.count("*").alias("n")).where((F.col("n") >= min_size) & (F.col("topic") >= 0))
-    return (near.join(large.select("topic", F.lit(True).alias("large")), "topic", "left")
+    return (near.join(F.broadcast(large.select("topic", F.lit(True).alias("large"))), "topic", "left")
             .select("id", F.when(F.col("large"), F.col("topic")).otherwise(F.lit(-1).cast("bigint")).alias("topic")))
 
 

@@ -244,3 +244,10 @@ def test_first_rows_as_a_sort(spark, k):
     found = ranking.first_rows(df, [F.desc("total"), F.col("term")], -F.col("total"), k)
     assert sorted(values(found)) == sorted(sorted(rows, key=lambda r: (-r[1], r[2]))[:k])
     assert found.columns == df.columns
+
+
+def test_rows_of_a_period_are_not_brought_to_one_task(spark):
+    docs = spark.range(100).withColumn("year", F.lit(2000)).repartition(4)
+    kept = records.in_periods(docs, [(1999, 2001), (2005, 2006)], 5)
+    assert kept.count() == 100
+    assert kept.select(F.spark_partition_id()).distinct().count() == 4
