@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from corvane.plans.skew import hot_key_join
 from corvane.sources.scan import hash_sample
 
 PAIR_BLOCK = 256
+TASK_PAIRS = 1 << 19  # pairs that a task makes and counts
 
 
 def size_distribution(df: DataFrame, size: Column, name: str = "size", cap: int | None = None) -> DataFrame:
@@ -87,18 +89,23 @@ def member_pairs(df: DataFrame, group: str, member: str, min_size: int = 2,
     """(a1, a2) with a1 < a2 for every two distinct members that share a group, once per group.
 
     Members of a large group are hashed into blocks of about PAIR_BLOCK, and each pair of blocks is a join key of
-    its own, so the pairs of one huge group are spread over many tasks and no list is built.
+    its own, so the pairs of one huge group are spread over many tasks and no list is built. The number of tasks follows
+    from the number of pairs, as it is these that a task holds, not the rows it reads.
     """
     rows = cut_lineage(df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct())
     sizes = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min_size))
     if max_size is not None:
         sizes = sizes.where(F.col("n") <= max_size)
+    sizes = cut_lineage(sizes)
+    pairs = sizes.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    tasks = max(1, math.ceil(pairs / TASK_PAIRS))
     blocks = F.ceil(F.col("n") / PAIR_BLOCK)
     blocked = (hot_key_join(rows, sizes, "g", "n", rows.agg(F.count("*")).scalar())
                .withColumn("blocks", blocks)
                .withColumn("b", F.pmod(F.xxhash64("m"), F.col("blocks")))
                .withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-               .select("g", "m", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")))
+               .select("g", "m", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+               .repartition(tasks, "g", "lo", "hi"))
     left = blocked.select("g", "lo", "hi", F.col("m").alias("a1"), F.col("b").alias("b1"))
     right = blocked.select("g", "lo", "hi", F.col("m").alias("a2"), F.col("b").alias("b2"))
     crossing = (F.col("lo") == F.col("hi")) | (F.col("b1") != F.col("b2"))

@@ -251,3 +251,12 @@ def test_rows_of_a_period_are_not_brought_to_one_task(spark):
     kept = records.in_periods(docs, [(1999, 2001), (2005, 2006)], 5)
     assert kept.count() == 100
     assert kept.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_pairs_decide_the_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "TASK_PAIRS", 100)
+    rows = spark.createDataFrame([(g, m) for g in range(10) for m in range(20)], "g long, m long").coalesce(1)
+    found = stats.member_pairs(rows, "g", "m")  # 1900 pairs
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1900 and max(sizes) < 1900 / 2
+    assert {r["n"] for r in stats.pair_counts(rows, "g", "m").collect()} == {10}
