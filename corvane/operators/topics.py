@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 from math import lgamma
+from threading import Lock
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, KMeans, LDAModel
-from pyspark.ml.feature import PCA, CountVectorizer
+from pyspark.ml.feature import PCA, CountVectorizer, PCAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +40,7 @@ EPSILON = 1e-12
 MAX_CENTROIDS = 20_000
 CELLS = 8_000_000  # of the matrix of segments and words that a task works on at once
 JOBS = 8  # fits that go on at the same time
+DECOMPOSING = Lock()  # the driver's singular value decomposition fails at times when two fits are in it
 
 log = logging.getLogger(__name__)
 
@@ -499,15 +501,20 @@ def assign_nearest(rows: DataFrame, centers: DataFrame, threshold: float = 0.3,
         assign, f"id {id_type}, topic long, similarity double")
 
 
+def fitted_pca(vectors: DataFrame, dims: int) -> PCAModel:
+    with DECOMPOSING:
+        return PCA(k=dims, inputCol="full", outputCol="reduced").fit(vectors)
+
+
 def embedding_clusters(rows: DataFrame, k: int = 10, dims: int = 5, threshold: float = 0.3, min_size: int = 150,
                        key: str = "id", vector: str = "embedding", seed: int = 42) -> DataFrame:
     """(id, topic): k-means on the first principal components. Documents not above ``threshold`` cosine to their
     cluster's mean embedding, and clusters left with fewer than ``min_size`` documents, are noise (-1)."""
     vectors = features.array_as_vector(rows.select(F.col(key).alias("id"), F.col(vector).alias("embedding")),
                                        "embedding", "full")
-    stages = [PCA(k=dims, inputCol="full", outputCol="reduced"),
-              KMeans(k=k, featuresCol="reduced", predictionCol="topic", seed=seed)]
-    found = cut_lineage(Pipeline(stages=stages).fit(vectors).transform(vectors).select("id", "embedding", "topic"))
+    reduced = fitted_pca(vectors, dims).transform(vectors)
+    means = KMeans(k=k, featuresCol="reduced", predictionCol="topic", seed=seed)
+    found = cut_lineage(means.fit(reduced).transform(reduced).select("id", "embedding", "topic"))
     near = (found.join(F.broadcast(centroids(found)), "topic")  # k rows
             .select("id", F.when(numeric.cosine(F.col("embedding"), F.col("centroid")) > threshold, F.col("topic"))
                     .otherwise(-1).cast("bigint").alias("topic")))
@@ -522,7 +529,7 @@ def density_topics(rows: DataFrame, dims: int = 5, samples: int = 30, least: int
     """(id, topic): stable density clusters on the first principal components, noise -1. Every document's neighbours come
     from an index of vectors, probed as far as the wanted share of true neighbours takes by its own measure."""
     vectors = features.array_as_vector(rows.select(F.col(key).alias("id"), F.col(vector).alias("embedding")), "embedding", "full")
-    model = PCA(k=dims, inputCol="full", outputCol="reduced").fit(vectors)
+    model = fitted_pca(vectors, dims)
     reduced = cut_lineage(model.transform(vectors).select("id", vector_to_array("reduced").cast("array<float>").alias("embedding")))
     index = neighbours.build(reduced, new_path(rows.sparkSession, "density"), seed=seed, k=samples)
     queries = reduced.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))

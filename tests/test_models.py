@@ -276,3 +276,17 @@ def test_rows_that_trees_keep_are_dealt_over_partitions(spark, docs, monkeypatch
     assert fitted[0] <= 1.2 * 2000 / 100 and outcome.metrics.first()["accuracy"] > 0.9
     same = runtime.spread(rows, F.lit(1), 1000)
     assert same is rows
+
+
+def test_one_decomposition_at_a_time(spark, monkeypatch):
+    seen = []
+
+    class Watched(topics.PCA):
+        def fit(self, vectors):
+            seen.append(topics.DECOMPOSING.locked())
+            return super().fit(vectors)
+
+    monkeypatch.setattr(topics, "PCA", Watched)
+    rows = spark.createDataFrame([(i, [float(i % 2), float(i % 3), 1.0]) for i in range(40)], "id long, embedding array<float>")
+    found = topics.repeated_runs(rows.withColumn("tokens", F.array(F.lit("w"))), (1, 2), k=2, dims=2, min_size=1)
+    assert found.count() == 2 and seen == [True, True]
