@@ -21,14 +21,15 @@ from corvane.functions import text as tx
 from corvane.functions.people import year_prefix
 from corvane.operators.records import with_pretty_categories
 from corvane.plans.ranking import global_rank
-from corvane.plans.runtime import cut_lineage
+from corvane.plans.runtime import cut_lineage, stored
 from corvane.plans.skew import hot_key_join
 
 # Damping of the rank iteration and the share every vertex starts each round with.
 DAMPING = 0.85
 RESET = 0.15
-TASK_EDGES = 1 << 20  # edges of three colours that a task counts triangles in
+TASK_EDGES = 1 << 22  # edges that a task counts triangles in
 PAIRS = 1 << 20  # pairs of edges that it looks at together
+OPENS, CLOSES = 1, 2  # parts of an edge in a task, if not both
 
 
 # ---- edges and degrees ---------------------------------------------------------------------------------------
@@ -186,64 +187,114 @@ def top_ranked(ranks: DataFrame, k: int) -> DataFrame:
 
 # ---- triangles -----------------------------------------------------------------------------------------------
 
-def triangle_counts(raw_edges: DataFrame, least_colours: int = 3) -> DataFrame:
+def triangle_counts(raw_edges: DataFrame) -> DataFrame:
     """(id, triangles) for every vertex, edge direction ignored.
 
-    Vertices get one of c colours by hash, and every three colours a task. An edge goes to the c tasks that have the
-    colours of both its ends, so the three edges of a triangle meet in the task of its colours, which alone counts it.
-    c follows from the number of edges, so that a task has about TASK_EDGES; the edges of a vertex, however many,
-    are dealt over the tasks by the colours of their other ends.
+    Edges point from the end with fewer edges to the one with more, so that no vertex has more of them than the root of
+    twice their number, whatever its degree. Vertices get one of c colours by hash, every two colours a few tasks. A
+    triangle is counted from its least vertex: the edges out of it go, as lists by colour, to the tasks of their
+    colour, and the edge that closes it to those of its own two colours. Only edges out of a vertex that others
+    point to can close one; c and the number of tasks for two colours follow from both numbers of edges.
     """
-    edges = cut_lineage(symmetric(raw_edges).where(F.col("src") < F.col("dst")))
-    colours = max(least_colours, math.ceil(math.sqrt(9 * edges.count() / TASK_EDGES)))
+    ends = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    edges = stored(raw_edges.where(F.col("src") != F.col("dst")).select(*ends).distinct(), "edges")
+    total = edges.count()
+    degree = stored(edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "degrees")
+    one, two = (degree.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")) for end in ("src", "dst"))
+    sized = hot_key_join(hot_key_join(edges, one, "src", "n_src", total), two, "dst", "n_dst", total)
+    first = F.struct("n_src", "src") < F.struct("n_dst", "dst")
+    pointed = stored(sized.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("src"),
+                                  F.when(first, F.col("dst")).otherwise(F.col("src")).alias("dst")), "pointed")
+    heads = stored(pointed.select(F.col("dst").alias("src")).distinct(), "heads").withColumn("head", F.lit(True))
+    closing = degrees(pointed, "src").withColumnRenamed("id", "src").join(heads, "src").agg(F.sum("degree")).first()[0] or 0
+    colours, slices = shares(total, closing)
 
     def colour(end: str) -> Column:
         return F.pmod(F.xxhash64(end), F.lit(colours)).cast("int")
 
-    three = F.array_sort(F.array("a", "b", "c"))
-    dealt = (edges.select("src", "dst", colour("src").alias("a"), colour("dst").alias("b"))
-             .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(colours - 1))))
-             .select("src", "dst", "a", "b", three[0].alias("first"), three[1].alias("second"), three[2].alias("third")))
+    lists = stored(pointed.groupBy("src", colour("dst").alias("b")).agg(F.collect_list("dst").alias("dst"))
+                   .join(heads, "src", "left"), "lists")
+    slice_of = F.pmod(F.xxhash64("src", F.lit(1)), F.lit(slices)).cast("int")
+    out = lists.select("src", "dst", F.lit(OPENS).alias("a"), "b", slice_of.alias("third"),
+                       F.explode(F.sequence(F.lit(0), F.lit(colours - 1))).alias("c"))
+    closes = lists.where("head").select("src", "dst", F.lit(CLOSES).alias("a"), "b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("third"),
+                                        colour("src").alias("c"))
+    dealt = out.unionByName(closes).select("src", "dst", "a", "b", F.least("b", "c").alias("first"), F.greatest("b", "c").alias("second"), "third")
     kind = edges.schema["src"].dataType.simpleString()
-    found = dealt.groupBy("first", "second", "third").applyInArrow(triangles_of, f"id {kind}, t long")
+    found = dealt.groupBy("first", "second", "third").applyInArrow(lambda t: triangles_of(listed_edges(t)), f"id {kind}, t long")
     zero = vertices(raw_edges).select("id", F.lit(0).cast("bigint").alias("t"))
     return found.union(zero).groupBy("id").agg(F.sum("t").alias("triangles"))
 
 
+def shares(total: int, closing: int) -> tuple[int, int]:
+    """Numbers of colours and of tasks for two colours: those that move least, with up to half of TASK_EDGES of either kind
+    in a task."""
+    best = None
+    for colours in range(1, 1 + max(2, math.ceil(math.sqrt(8 * max(total, 1) / TASK_EDGES)))):
+        if closing / (colours * (colours + 1) / 2) <= TASK_EDGES / 2:
+            slices = max(1, math.ceil(4 * total / ((colours + 1) * TASK_EDGES)))
+            moved = colours * total + slices * closing
+            best = min(best or (moved, colours, slices), (moved, colours, slices))
+    return best[1], best[2]
+
+
+def listed_edges(lists: pa.Table) -> pa.Table:
+    """One row per edge from lists of the edges out of a vertex."""
+    dst = lists["dst"].combine_chunks()
+    row = pc.list_parent_indices(dst)
+    flat = {c: lists[c].combine_chunks().take(row) for c in ("src", "a", "b")}
+    own = {c: pa.repeat(lists[c][0], len(row)) for c in ("first", "second")}
+    return pa.table({**flat, "dst": dst.flatten(), **own})
+
+
 def triangles_of(edges: pa.Table) -> pa.Table:
-    """(id, t): how many triangles of the task's own three colours each vertex is in. Edges point from the end with fewer
-    edges to the one with more; a pair of edges out of one vertex closes if its ends have an edge."""
+    """(id, t): how many triangles each vertex is in, of those with a first vertex whose edges ``src`` to ``dst`` are here (``a``
+    is not CLOSES), and a third edge that is here (``a`` is not OPENS) between ends of the task's two colours."""
     n = edges.num_rows
     ends = pc.dictionary_encode(pa.concat_arrays([edges["src"].combine_chunks(), edges["dst"].combine_chunks()]))
     code = ends.indices.to_numpy().astype(np.int64)
     size = len(ends.dictionary)
-    colour = np.zeros(size, np.int64)
-    colour[code] = np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()])
-    degree = np.bincount(code, minlength=size)
-    place = np.empty(size, np.int64)  # vertices in order of degree
-    order = np.lexsort((np.arange(size), degree))
-    place[order] = np.arange(size)
-    low, high = np.minimum(place[code[:n]], place[code[n:]]), np.maximum(place[code[:n]], place[code[n:]])
-    key = np.sort(low * size + high)
-    low, high, colour = key // size, key % size, colour[order]
-    behind = np.searchsorted(low, low, side="right") - np.arange(n) - 1  # later edges out of the same vertex
+    src, dst = code[:n], code[n:]
+    role, colour = edges["a"].to_numpy(), edges["b"].to_numpy()
+    own = [edges[c][0].as_py() for c in ("first", "second")]
     count = np.zeros(size, np.int64)
-    own = [edges[c][0].as_py() for c in ("first", "second", "third")]
+    closes = role != OPENS
+    key = np.sort(np.minimum(src, dst)[closes] * size + np.maximum(src, dst)[closes])
+    mask = (1 << max(10, int(8 * len(key)).bit_length())) - 1
+    marks = np.zeros(mask + 1, bool)  # of the keys by their hash: most pairs that don't close are told by it
+    marks[spot(key, mask)] = True
+    opens = np.flatnonzero(role != CLOSES)
+    order = opens[np.lexsort((colour[opens], src[opens]))]
+    src, dst, colour = src[order], dst[order], colour[order]
+    n = len(src)
+    last = np.searchsorted(src, src, side="right")
+    if own[0] == own[1]:
+        start = np.arange(n) + 1  # with the later edges out of the same vertex
+    else:  # an end of the first colour with all of the second
+        later = np.append(0, np.cumsum(colour == own[0]))
+        start = np.where(colour == own[0], np.searchsorted(src, src) + later[last] - later[np.searchsorted(src, src)], last)
+    behind = last - start
     total = np.append(0, np.cumsum(behind))
     at = 0
-    while at < n:
+    while at < n and len(key):
         to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
         one = np.repeat(np.arange(at, to), behind[at:to])
-        two = one + 1 + np.arange(len(one)) - np.repeat(total[at:to] - total[at], behind[at:to])
-        wanted = high[one] * size + high[two]
-        where = np.minimum(np.searchsorted(key, wanted), n - 1)
-        closed = key[where] == wanted
-        corners = np.stack([low[one[closed]], high[one[closed]], high[two[closed]]], axis=1)
-        corners = corners[(np.sort(colour[corners], axis=1) == own).all(axis=1)]
-        count += np.bincount(corners.ravel(), minlength=size)
+        two = np.arange(len(one)) + np.repeat(start[at:to] - total[at:to] + total[at], behind[at:to])
+        left, right = dst[one], dst[two]
+        wanted = np.minimum(left, right) * size + np.maximum(left, right)
+        likely = np.flatnonzero(marks[spot(wanted, mask)])
+        wanted = wanted[likely]
+        closed = likely[key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted]
+        count += np.bincount(np.concatenate([src[one[closed]], left[closed], right[closed]]), minlength=size)
         at = to
     hit = np.flatnonzero(count)
-    return pa.table([ends.dictionary.take(pa.array(order[hit])), pa.array(count[hit])], ["id", "t"])
+    return pa.table([ends.dictionary.take(pa.array(hit)), pa.array(count[hit])], ["id", "t"])
+
+
+def spot(key: np.ndarray, mask: int) -> np.ndarray:
+    """A place for a number, by its hash."""
+    mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - mask.bit_length())).astype(np.int64)
 
 
 def top_triangles(counts: DataFrame, k: int = 5) -> DataFrame:

@@ -79,6 +79,28 @@ def test_triangles_of_a_hub(spark, monkeypatch, task_edges):
     assert dict(values(graph.triangle_counts(named))) == {f"v{v}": n for v, n in want.items()}
 
 
+def test_triangle_shares_grow_with_the_edges():
+    """Edges moved for each edge: with colours of all three corners it was the root of nine times the edges over 2^20."""
+    for total in (10 ** 6, 10 ** 7, 10 ** 8, 10 ** 9):
+        for closing in (0, total // 15, total):
+            colours, slices = graph.shares(total, closing)
+            tasks = colours * (colours + 1) / 2
+            assert closing / tasks <= graph.TASK_EDGES / 2 and colours * total / tasks / slices <= graph.TASK_EDGES / 2
+            assert colours * total + slices * closing < 0.75 * total * max(4, (9 * total / (1 << 20)) ** 0.5)
+
+
+@pytest.mark.parametrize("task_edges", [8, 64, 1 << 22])
+def test_triangles_by_colours_and_slices(spark, monkeypatch, task_edges):
+    """Members that point to leaders, and leaders that point to each other, with a vertex that only has a loop."""
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
+    rng = random.Random(5)
+    pairs = [(100 + i, rng.randrange(12)) for i in range(60) for _ in range(4)]
+    pairs += [(rng.randrange(12), rng.randrange(12)) for _ in range(30)] + [(999, 999)]
+    near = adjacency(pairs)
+    want = {v: sum(1 for a in near[v] for b in near[v] if a < b and b in near[a]) for v in near}
+    assert dict(values(graph.triangle_counts(frame(spark, pairs)))) == want and want[999] == 0
+
+
 def test_distances(spark, edges):
     near, want, frontier = adjacency(edges), {100: 0}, [100]
     while frontier:
