@@ -1,14 +1,16 @@
 """Graph analytics on edge frames ``(src, dst)``.
 
 Iterations write their state to shared storage every round (``cut_lineage``): plans stay small and a lost executor
-costs at most one round. Joins of edges with per-vertex state go through ``hot_key_join``, aggregates combine
-map-side, so a vertex with a third of all edges is neither shuffled to one task nor collected.
+costs at most one round. Joins of edges with per-vertex state go through ``hot_key_join``, or through lists of edges that
+are dealt once (``outgoing``), aggregates combine map-side, so a vertex with a third of all edges is neither shuffled to
+one task nor collected.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -21,8 +23,8 @@ from corvane.functions import text as tx
 from corvane.functions.people import year_prefix
 from corvane.operators.records import with_pretty_categories
 from corvane.plans.ranking import global_rank
-from corvane.plans.runtime import cut_lineage, stored
-from corvane.plans.skew import hot_key_join
+from corvane.plans.runtime import cut_lineage, cut_lineage_dealt, stored
+from corvane.plans.skew import HOT_PARTS, hot_key_join
 
 # Damping of the rank iteration and the share every vertex starts each round with.
 DAMPING = 0.85
@@ -56,10 +58,19 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).distinct()
 
 
+def distinct_links(raw_edges: DataFrame) -> DataFrame:
+    """Every link once, loops too, written for the analyses that read them."""
+    return stored(raw_edges.distinct(), "links")
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, once each."""
+    return both_ways(edges).distinct()
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
     both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return edges.where(F.col("src") != F.col("dst")).select(F.explode(both).alias("e")).select("e.*").distinct()
+    return edges.where(F.col("src") != F.col("dst")).select(F.explode(both).alias("e")).select("e.*")
 
 
 def graph_size(raw_edges: DataFrame) -> DataFrame:
@@ -92,6 +103,42 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
             .select("src", "dst"))
 
 
+@dataclass(frozen=True)
+class Outgoing:
+    """Edges dealt by ``src`` once for all rounds: lists (src, dsts) that stay where they are, and the edges of hot vertices."""
+    lists: DataFrame
+    hot: DataFrame | None
+
+    def passed(self, state: DataFrame) -> DataFrame:
+        """``dst`` of every edge with the columns of ``state`` (one row per id) of its ``src``. Only ``state`` is shuffled."""
+        rest = [c for c in state.columns if c != "id"]
+        named = state.withColumnRenamed("id", "src")
+        out = self.lists.join(named, "src").select(F.explode("dsts").alias("dst"), *rest)
+        if self.hot is None:
+            return out
+        few = named.join(F.broadcast(self.hot.select("src").distinct()), "src", "left_semi")
+        return out.unionByName(self.hot.join(F.broadcast(few), "src").select("dst", *rest))
+
+    def per_vertex(self, of_list: Column, of_rows: Column) -> DataFrame:
+        """(id, value) of the vertices with edges, from ``dsts`` or as an aggregate of ``dst``."""
+        own = self.lists.select(F.col("src").alias("id"), of_list.alias("value"))
+        return own if self.hot is None else own.unionByName(self.hot.groupBy(F.col("src").alias("id")).agg(of_rows.alias("value")))
+
+
+def outgoing(edges: DataFrame) -> Outgoing:
+    """``edges`` for rounds of ``passed``, repeats left out; stored ones, as they are read more than once. The checkpoint keeps
+    the partitioning of the lists. The edges of a vertex that has more than a thousandth of all stay rows."""
+    degree = cut_lineage(degrees(edges, "src", "n"))
+    total = degree.agg(F.sum("n")).first()[0] or 0
+    hot = degree.where(F.col("n") * HOT_PARTS > total).select(F.col("id").alias("src"))
+    some = not hot.isEmpty()
+    cold = edges.join(F.broadcast(hot), "src", "left_anti") if some else edges
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    lists = cut_lineage_dealt(cold.repartition(parts, "src").groupBy("src").agg(F.collect_set("dst").alias("dsts"))
+                              .sortWithinPartitions("src"))
+    return Outgoing(lists, stored(edges.join(F.broadcast(hot), "src", "left_semi").distinct(), "hot") if some else None)
+
+
 # ---- components ----------------------------------------------------------------------------------------------
 
 def connected_components(raw_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -155,15 +202,13 @@ def page_rank(raw_edges: DataFrame, tolerance: float = 1e-4, iterations: int | N
     ``iterations`` runs that many rounds; without it rounds go on until no rank moves by ``tolerance`` or more.
     Vertices without outgoing edges pass nothing on; the final scaling makes up for it.
     """
-    edges = cut_lineage(clean_edges(raw_edges))
-    total = edges.count()
-    out = degrees(edges, "src", "n")
+    lists = outgoing(raw_edges.where(F.col("src") != F.col("dst")))
+    out = lists.per_vertex(F.size("dsts").cast("bigint"), F.count("dst")).withColumnRenamed("value", "n")
     ranks = cut_lineage(vertices(raw_edges).join(out, "id", "left")
                         .select("id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1.0).alias("rank")))
     for _ in range(iterations if iterations is not None else max_rounds):
-        giving = ranks.where(F.col("n") > 0).select(F.col("id").alias("src"), "n",
-                                                    (F.col("rank") / F.col("n")).alias("share"))
-        given = hot_key_join(edges, giving, "src", "n", total).select(
+        giving = ranks.where(F.col("n") > 0).select("id", (F.col("rank") / F.col("n")).alias("share"))
+        given = lists.passed(giving).select(
             F.col("dst").alias("id"), "share", F.lit(None).cast("bigint").alias("n"),
             F.lit(None).cast("double").alias("old"))
         kept = ranks.select("id", F.lit(0.0).alias("share"), "n", F.col("rank").alias("old"))
@@ -306,19 +351,17 @@ def top_triangles(counts: DataFrame, k: int = 5) -> DataFrame:
 def label_propagation(raw_edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label) after synchronous rounds in which every vertex takes the most frequent label among its
     neighbours, ties to the smallest label. Vertices without neighbours keep their own."""
-    sym = cut_lineage(symmetric(raw_edges))
-    total = sym.count()
-    degree = degrees(sym, "src", "n")
-    labels = cut_lineage(vertices(raw_edges).join(degree, "id", "left")
-                         .select("id", F.coalesce("n", F.lit(0)).alias("n"), F.col("id").alias("label")))
-    for _ in range(rounds):
-        state = labels.where(F.col("n") > 0).withColumnRenamed("id", "src")
-        heard = (hot_key_join(sym, state, "src", "n", total)
-                 .groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("votes")))
-        chosen = heard.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("label").alias("l"))
-                                               ).alias("best")).select("id", F.col("best.l").alias("new"))
-        labels = cut_lineage(labels.join(chosen, "id", "left")
-                             .select("id", "n", F.coalesce("new", "label").alias("label")))
+    lists = outgoing(both_ways(raw_edges))
+    labels = cut_lineage(vertices(raw_edges).withColumn("label", F.col("id")))
+    for i in range(rounds):
+        if i:
+            heard = (lists.passed(labels)
+                     .groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("votes")))
+            chosen = heard.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col("label").alias("l"))
+                                                   ).alias("best")).select("id", F.col("best.l").alias("new"))
+        else:  # all labels differ, so each has one vote
+            chosen = lists.per_vertex(F.array_min("dsts"), F.min("dst")).withColumnRenamed("value", "new")
+        labels = cut_lineage(labels.join(chosen, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
     return labels.select("id", "label")
 
 

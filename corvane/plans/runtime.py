@@ -71,6 +71,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_lineage_dealt(df: DataFrame) -> DataFrame:
+    """The same for rows dealt and sorted by a key: later joins on it find them so. Adaptive plans don't hand on how rows are
+    dealt, so this one write goes without."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def spread(df: DataFrame, size: Column, most: int) -> DataFrame:
     """``df`` over so many partitions that, dealt about evenly, each has up to ``most`` of ``size``; as it is if it has as
     many already. ``df`` should be stored, as its size is added up first."""

@@ -82,8 +82,9 @@ def attributes_sql(nodes: str, edges: str, extra: str = "", label: str = IN_LABE
       LEFT JOIN comm c ON c.id = t.id"""
 
 
-def ranks_of(t: Tables):
-    return graph.page_rank(t.citations())
+def links_of(t: Tables):
+    """Distinct citations, written once for queries that analyse them in several ways."""
+    return graph.distinct_links(t.citations())
 
 
 @query("G01_vertices", "SELECT id FROM vertices")
@@ -175,12 +176,12 @@ def _(t):
 
 @query("G07_page_rank_rounds", f"WITH {rounds_sql()} SELECT id, round(rank, 6) AS rank FROM ranks")
 def _(t):
-    return graph.page_rank(t.citations(), iterations=ROUNDS).select("id", r6(F.col("rank")).alias("rank"))
+    return graph.page_rank(links_of(t), iterations=ROUNDS).select("id", r6(F.col("rank")).alias("rank"))
 
 
 @query("G07_page_rank", f"WITH {rank_sql()} SELECT id, round(rank, 6) AS rank FROM ranks ORDER BY round(ranks.rank, 9) DESC, id LIMIT 10")
 def _(t):
-    return graph.top_ranked(ranks_of(t), 10).select("id", r6(F.col("rank")).alias("rank"))
+    return graph.top_ranked(graph.page_rank(links_of(t)), 10).select("id", r6(F.col("rank")).alias("rank"))
 
 
 CORNERS = """e AS MATERIALIZED (SELECT src AS a, dst AS b FROM sym_edges WHERE src < dst),
@@ -196,20 +197,20 @@ def _(t):
 
 @query("G09_label_propagation", f"WITH {label_sql()} SELECT id, label FROM comm")
 def _(t):
-    return graph.label_propagation(t.citations())
+    return graph.label_propagation(links_of(t))
 
 
 @query("G09_communities", f"""WITH {label_sql(edges='order_sym', ids='(SELECT DISTINCT src AS id FROM order_sym)')}
     SELECT label, CAST(count(*) AS BIGINT) AS size FROM comm GROUP BY label ORDER BY size DESC, label LIMIT 10""")
 def _(t):
-    return graph.group_sizes(graph.label_propagation(t.order_links()), "label")
+    return graph.group_sizes(graph.label_propagation(graph.distinct_links(t.order_links())), "label")
 
 
 @query("G09_community_members", f"""WITH {label_sql()}
     SELECT id, label FROM comm WHERE label = (SELECT label FROM comm GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
     ORDER BY id LIMIT 5""")
 def _(t):
-    return graph.largest_community_members(graph.label_propagation(t.citations())).select("id", "label")
+    return graph.largest_community_members(graph.label_propagation(links_of(t))).select("id", "label")
 
 
 def distance_sql(sym: str, edges: str, hops: int) -> str:
@@ -255,20 +256,22 @@ def _(t):
 
 @query("J10_induced_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst FROM inside")
 def _(t):
-    return graph.induced(graph.clean_edges(t.citations()), graph.top_ranked(ranks_of(t), 40))
+    links = links_of(t)
+    return graph.induced(graph.clean_edges(links), graph.top_ranked(graph.page_rank(links), 40))
 
 
 @query("G13_community_nodes", f"WITH {rank_sql()}, {label_sql()}, {top_sql(20)} " + attributes_sql("top", "clean_edges"))
 def _(t):
-    nodes, _ = graph.community_map(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
+    links = links_of(t)
+    nodes, _ = graph.community_map(links, graph.page_rank(links), graph.label_propagation(links))
     return nodes.withColumn("rank", r6(F.col("rank")))
 
 
 @query("J09_node_attributes", f"WITH {rank_sql()}, {label_sql()}, {top_sql(100)} " + attributes_sql("top", "clean_edges"))
 def _(t):
-    edges = graph.clean_edges(t.citations())
-    top = graph.top_ranked(ranks_of(t), 100)
-    nodes = graph.node_attributes(top, edges, graph.label_propagation(t.citations()), BASE)
+    links = links_of(t)
+    top = graph.top_ranked(graph.page_rank(links), 100)
+    nodes = graph.node_attributes(top, graph.clean_edges(links), graph.label_propagation(links), BASE)
     return nodes.withColumn("rank", r6(F.col("rank")))
 
 
@@ -276,15 +279,17 @@ def _(t):
     cedges AS MATERIALIZED (SELECT src, dst FROM inside WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
     ctop AS (SELECT id, rank FROM top WHERE id IN (SELECT id FROM core)) """ + attributes_sql("ctop", "cedges"))
 def _(t):
-    nodes, _ = graph.backbone(t.citations(), ranks_of(t), graph.label_propagation(t.citations()), n=60)
+    links = links_of(t)
+    nodes, _ = graph.backbone(links, graph.page_rank(links), graph.label_propagation(links), n=60)
     return nodes.withColumn("rank", r6(F.col("rank")))
 
 
 @query("G14_backbone_edges", f"""WITH {rank_sql()}, {top_sql(60)}, {core_sql('inside', 2)}
     SELECT src, dst FROM inside WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)""")
 def _(t):
-    own = graph.vertices(t.citations()).withColumn("label", F.col("id"))
-    _, edges = graph.backbone(t.citations(), ranks_of(t), own, n=60)
+    links = links_of(t)
+    own = graph.vertices(links).withColumn("label", F.col("id"))
+    _, edges = graph.backbone(links, graph.page_rank(links), own, n=60)
     return edges
 
 
@@ -299,14 +304,16 @@ BRIDGE_SQL = f"""WITH {rank_sql()}, {label_sql()}, {top_sql(40)},
     "btop", "clean_edges", "CAST(t.nc AS BIGINT) AS neighbour_communities, round(t.score, 6) AS bridge_score,",
     "concat(t.id, ' (nComm=', t.nc, ', bScore=', printf('%.3f', t.score), ')')"))
 def _(t):
-    nodes, _ = graph.bridges(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
+    links = links_of(t)
+    nodes, _ = graph.bridges(links, graph.page_rank(links), graph.label_propagation(links))
     return nodes.withColumns({c: r6(F.col(c)) for c in ("rank", "bridge_score")})
 
 
 @query("G15_top_bridges", BRIDGE_SQL + """
     SELECT id, round(score, 6) AS bridge_score FROM btop WHERE nc > 0 ORDER BY round(score, 9) DESC, id LIMIT 20""")
 def _(t):
-    nodes, _ = graph.bridges(t.citations(), ranks_of(t), graph.label_propagation(t.citations()))
+    links = links_of(t)
+    nodes, _ = graph.bridges(links, graph.page_rank(links), graph.label_propagation(links))
     return graph.top_bridges(nodes).withColumn("bridge_score", r6(F.col("bridge_score")))
 
 
@@ -334,22 +341,25 @@ def status_names(t: Tables):
     LEFT JOIN (SELECT id, string_agg(DISTINCT author, ', ' ORDER BY author) AS names FROM paper_authors GROUP BY id) a ON a.id = w.id""")
 def _(t):
     """Every list of the report, and the authors."""
-    edges = graph.clean_edges(t.citations())
+    links = links_of(t)
+    edges = graph.clean_edges(links)
     lists = {"out": graph.top_degrees(edges, "src"), "in": graph.top_degrees(edges, "dst"),
-             "rank": graph.top_ranked(ranks_of(t), 10),
-             "triangles": graph.top_triangles(graph.triangle_counts(t.citations())),
-             "community": graph.largest_community_members(graph.label_propagation(t.citations())),
+             "rank": graph.top_ranked(graph.page_rank(links), 10),
+             "triangles": graph.top_triangles(graph.triangle_counts(links)),
+             "community": graph.largest_community_members(graph.label_propagation(links)),
              "source": graph.most_cited(edges)}
     return graph.report_rows(lists, t.dated_papers(), status_names(t), t.paper_authors())
 
 
 @query("G13_community_edges", f"WITH {rank_sql()}, {top_sql(20)} SELECT src, dst, 'Directed' AS type FROM inside")
 def _(t):
-    _, edges = graph.community_map(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+    links = links_of(t)
+    _, edges = graph.community_map(links, graph.page_rank(links), graph.vertices(links).withColumn("label", F.col("id")))
     return edges.withColumn("type", F.lit("Directed"))
 
 
 @query("G15_bridge_edges", f"WITH {rank_sql()}, {top_sql(40)} SELECT src, dst, 'Directed' AS type FROM inside")
 def _(t):
-    _, edges = graph.bridges(t.citations(), ranks_of(t), graph.vertices(t.citations()).withColumn("label", F.col("id")))
+    links = links_of(t)
+    _, edges = graph.bridges(links, graph.page_rank(links), graph.vertices(links).withColumn("label", F.col("id")))
     return edges.withColumn("type", F.lit("Directed"))

@@ -119,6 +119,20 @@ def test_rank_sums_to_vertices_and_settles(spark, edges):
     assert all(other[v] == pytest.approx(r, abs=1e-4) for v, r in values(ranks))
 
 
+def test_rounds_leave_edges_where_they_are(spark):
+    """Lists of edges are dealt once, the edges of a hub stay rows, and repeats count once."""
+    pairs = [(i % 4000, i % 7919) for i in range(20_000)] + [(5000, i) for i in range(3000)] + [(5000, 1), (8, 8)]
+    raw = frame(spark, pairs)
+    lists = graph.outgoing(raw)
+    state = graph.vertices(raw).withColumn("v", F.col("id") * 2)
+    passed = lists.passed(state)
+    plan = spark._jvm.PythonSQLUtils.explainString(passed._jdf.queryExecution(), "simple")
+    edges_side = [line for line in plan.split("\n") if "ExistingRDD" in line or "hashpartitioning(src" in line]
+    assert not any("hashpartitioning(src" in line and "id#" not in line for line in edges_side[:1]) and "ExistingRDD" in edges_side[0]
+    assert [r.src for r in lists.hot.select("src").distinct().collect()] == [5000]
+    assert values(passed) == sorted((b, 2 * a) for a, b in set(pairs))
+
+
 def test_label_propagation_without_neighbours(spark):
     labels = dict(values(graph.label_propagation(frame(spark, [(1, 2), (2, 3), (1, 3), (9, 9)]), 5)))
     assert labels[9] == 9 and len({labels[1], labels[2], labels[3]}) == 1
