@@ -84,7 +84,8 @@ def cut_lineage_dealt(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, size: Column, most: int) -> DataFrame:
-    """``df`` over so many partitions that, dealt about evenly, each has up to ``most`` of ``size``; as it is if it has as
-    many already. ``df`` should be stored, as its size is added up first."""
-    parts = math.ceil((df.agg(F.sum(size)).first()[0] or 0) / most)
-    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+    """``df`` dealt evenly over so many partitions that each has up to ``most`` of ``size``; as it is if none has more, however
+    many there are (those of a scan can be empty but for a few). ``df`` should be stored, as its sizes are added up first."""
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(size).alias("size"))
+    total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
+    return df if (largest or 0) <= most else df.repartition(math.ceil(total / most))

@@ -278,6 +278,15 @@ def test_rows_that_trees_keep_are_dealt_over_partitions(spark, docs, monkeypatch
     assert same is rows
 
 
+def test_rows_in_one_of_many_partitions_are_dealt(spark):
+    """A scan has as many partitions as its bytes ask for, and all rows in those where row groups begin."""
+    rows = spark.range(0, 8000, 1, 20).where(F.col("id") < 400)
+    dealt = runtime.spread(rows, F.lit(10), 1000)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 110 and sizes[1] == 400
+    assert runtime.spread(rows, F.lit(10), 4000) is rows and runtime.spread(rows.limit(0), F.lit(10), 5).count() == 0
+
+
 def test_one_decomposition_at_a_time(spark, monkeypatch):
     seen = []
 
