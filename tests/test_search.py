@@ -46,6 +46,19 @@ def searched(index, queries, k):
     return sorted((q, d, round(s, 9), r) for q, d, s, r in textindex.search(index, queries, k).collect())
 
 
+def test_shards_are_bounded_by_words(spark, monkeypatch):
+    for name, value in (("TOKENS", 500), ("GROUP", 2000), ("BATCH", 4)):
+        monkeypatch.setattr(textindex, name, value)
+    docs = [(i, f"w{i % 7} " * (100 if i % 2 else 3)) for i in range(200)]
+    path = new_path(spark, "texts")
+    index = textindex.build(spark.createDataFrame(docs, "id long, text_clean string").repartition(2), path)
+    shards = spark.read.parquet(f"{path}/shards")
+    assert shards.agg(F.max("tokens")).first()[0] < 500 + 400 and shards.agg(F.sum("documents")).first()[0] == 200
+    assert shards.groupBy("group").agg(F.sum("tokens").alias("n")).agg(F.max("n")).first()[0] < 2000 + 900
+    asked = [("q", "w1 w2")]
+    assert searched(index, spark.createDataFrame(asked, "query_id string, text string"), 9) == bm25(docs, asked, 9)
+
+
 @pytest.mark.parametrize("ids", ["long", "string"])
 def test_bm25_as_scoring_everything(spark, monkeypatch, ids):
     """Several shards, blocks of queries and blocks of a term; words of half of all places; equal texts."""
