@@ -28,6 +28,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +48,12 @@ PER_SLICE = COUNTERS // SLICES
 SAME, OF = 4, 5
 TEXTS_AT_ONCE = 1_000_000  # bytes
 BYTES_AT_ONCE = 1 << 16
+PACKED = 1 << 20  # prefix shingles that a task packs at once
+AT_ONCE = 1 << 21  # prefix shingles that wait before those that meet are given
+WORDS_IN_A_BUCKET = 1 << 21
+LONG = 48  # shingles of a set up to which 32 bits of ``odd`` do
+LOW = (1 << 32) - 1
+MEETING = ["shingle", "class", "n", "at", "odd"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +185,9 @@ def first_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = counts[s * PER_SLICE:(s + 1) * PER_SLICE]
         slot = np.flatnonzero(mine)
         if len(slot):
-            blob = zlib.compress(slot.astype(np.uint32).tobytes() + mine[slot].tobytes(), 1)
+            # Gaps and counts byte by byte, low bytes first: the high ones are nearly all zero.
+            pair = np.stack([np.diff(slot, prepend=0).astype("<u4"), mine[slot].astype("<u4")])
+            blob = zlib.compress(pair.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
                 + [pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names)
@@ -192,23 +201,24 @@ def add_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for part in parts:
         for s, blob in zip(part["slice"], part["counts"]):
-            pair = np.frombuffer(zlib.decompress(blob), np.uint32).reshape(2, -1)
-            sums.setdefault(int(s), np.zeros(PER_SLICE, np.int64))[pair[0]] += pair[1]
+            pair = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").reshape(2, -1)
+            sums.setdefault(int(s), np.zeros(PER_SLICE, np.int64))[np.cumsum(pair[0])] += pair[1]
     for s, total in sums.items():
+        n = int(total[:max(0, WORD_COUNTERS - s * PER_SLICE)].sum())
         rank = np.minimum(255, np.rint(8 * np.log2(np.maximum(total, 1))))
         rank[total == 1] = 0
         rank[total > 1] = np.maximum(rank[total > 1], 1)
-        yield pd.DataFrame({"slice": [s], "ranks": [rank.astype(np.uint8).tobytes()]})
+        yield pd.DataFrame({"slice": [s], "ranks": [rank.astype(np.uint8).tobytes()], "words": [n]})
 
 
-def rarities(slices: DataFrame) -> np.ndarray:
-    """For each counter 8 * log2(count), 0 where the count is 1: COUNTERS bytes."""
+def rarities(slices: DataFrame) -> tuple[np.ndarray, int]:
+    """For each counter 8 * log2(count), 0 where the count is 1: COUNTERS bytes; and the number of words."""
     found = (slices.select("slice", "counts").repartition("slice")
-             .mapInPandas(add_counts, "slice int, ranks binary").collect())
+             .mapInPandas(add_counts, "slice int, ranks binary, words long").collect())
     ranks = np.zeros(COUNTERS, np.uint8)
     for r in found:
         ranks[r["slice"] * PER_SLICE:(r["slice"] + 1) * PER_SLICE] = np.frombuffer(r["ranks"], np.uint8)
-    return ranks
+    return ranks, sum(r["words"] for r in found)
 
 
 # ---- shingles ------------------------------------------------------------------------------------------------
@@ -235,12 +245,14 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (n * SAME + OF - 1) // OF + 1
 
 
-def prefix_task(ranks: np.ndarray):
-    """(shingle, class, n, at, odd) for the prefix of every class in the task, its certain singles left out. Bit b of
-    ``odd`` is set where the set has an odd number of shingles whose hash ends in b (of 64): two sets differ in at
-    least as many shingles as their ``odd`` in bits."""
+def prefix_task(ranks: np.ndarray, buckets: int):
+    """(bucket, shingle, class, n, at, odd) for the prefix of every class in the task, its certain singles left out: packed
+    by ``bucket`` of the shingle, a row for each bucket and ``PACKED`` or so of them. Bit b of ``odd`` is set where the set
+    has an odd number of shingles whose hash ends in b (of 64, or of 32 for up to ``LONG`` shingles): two sets differ in at
+    least as many shingles as their ``odd`` in bits, of the fewer bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
         for batch in batches:
             for _, words in in_parts(batch.column(0)):
                 own, where = np.unique(words.classes(), return_index=True)
@@ -251,12 +263,57 @@ def prefix_task(ranks: np.ndarray):
                        if len(line) else np.empty(0, np.int64))
                 keep = (pos < prefix_length(n)[line]) & (rarity > 0)
                 line, value, pos = line[keep], value[keep], pos[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(own[line]), pa.array(n[line].astype(np.int32)),
-                     pa.array(pos.astype(np.int32)), pa.array(odd[line])], ["shingle", "class", "n", "at", "odd"])
+                held.append((value.view(np.int64), own[line], n[line], pos, odd[line]))
+                n_held += len(line)
+                if n_held >= PACKED:
+                    yield packed(held, buckets)
+                    held, n_held = [], 0
+        if n_held:
+            yield packed(held, buckets)
     return run
 
 
+def packed(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """Rows of longs, as arrays by column (``MEETING``), as one row of packed columns for each bucket of their shingles.
+
+    Of a shingle's hash its bucket and 32 bits are kept. Two shingles that become one make classes meet in vain, but lose
+    no pair: before the first shingle that both classes have, or where it stands, they meet at a place whose filters hold.
+    """
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    bucket = columns[0] >> 32 & (buckets - 1)
+    order = np.argsort(bucket, kind="stable")  # a class's shingles stay in order
+    found, start = np.unique(bucket[order], return_index=True)
+    shingle, own, n, at, odd = (c[order] for c in columns)
+    bounds, long_before = np.append(start, len(order)), np.append(0, np.cumsum(n > LONG))
+    blobs = []
+    for c, ends in ((shingle.astype(np.int32), bounds), (own, bounds), (n.astype(narrow(n)), bounds), (at.astype(narrow(at)), bounds),
+                    (folded(odd, n).astype(np.int32), bounds), ((odd >> 32)[n > LONG].astype(np.int32), long_before[bounds])):
+        blobs.append(pa.Array.from_buffers(pa.binary(), len(found), [
+            None, pa.py_buffer((ends * c.itemsize).astype(np.int32).tobytes()), pa.py_buffer(c.tobytes())]))
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *blobs], ["bucket", *MEETING, "odd_high"])
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows that ``packed`` packed, as arrays of longs by column."""
+    for i in range(batch.num_rows):
+        blobs = [batch.column(c)[i].as_buffer() for c in range(1, batch.num_columns)]
+        rows = blobs[1].size // 8
+        shingle, own, n, at, odd = (np.frombuffer(b, f"i{b.size // rows}").astype(np.int64) for b in blobs[:-1])
+        odd &= LOW
+        odd[n > LONG] |= np.frombuffer(blobs[-1], np.int32).astype(np.int64) << 32
+        yield batch.column(0)[i].as_py() << 32 | shingle & LOW, own, n, at, odd
+
+
+def folded(odd: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``odd`` of 64 bits for more than ``LONG`` shingles, of 32 for fewer."""
+    return np.where(n > LONG, odd, (odd ^ odd >> 32) & LOW)
+
+
+def narrow(c: np.ndarray) -> type:
+    """The least signed type that all values, not negative, fit in."""
+    return next(t for t in (np.int8, np.int16, np.int32, np.int64) if int(c.max(initial=0)) <= np.iinfo(t).max)
+
+
 def set_task(sieve: np.ndarray):
     """(class, set) of the lines whose classes pass the sieve, each once for a part."""
 
@@ -307,6 +364,7 @@ def may_match(x: str, y: str) -> Column:
     """
     nx, ny, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
     odd = F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd"))
+    odd = F.when(F.least(nx, ny) > LONG, odd).otherwise(odd.bitwiseXOR(F.shiftrightunsigned(odd, 32)).bitwiseAND(F.lit(LOW)))
     so_far = F.when(first_shared(x, y), 0).otherwise(F.least(i, j))
     bound = so_far + F.least(nx - i, ny - j)
     return ((F.least(nx, ny) * OF >= F.greatest(nx, ny) * SAME)
@@ -350,19 +408,70 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield waiting
 
 
-def meeting_classes(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(shingle, class, n, at, odd): the classes that share a prefix shingle with another."""
+def shared_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows in any order, those whose shingle has several classes. Whenever many rows wait, those found go, and
+    one row for each shingle stays, so that memory follows the shingles, not their rows; a class that comes again later
+    can then be given again. Where all rows wait together, those go as well that can't be where a pair first meets."""
+    waiting, n_waiting, most, whole = [], 0, AT_ONCE, True
+    for batch in batches:
+        for columns in unpacked(batch):
+            waiting.append((*columns, np.zeros(len(columns[0]), bool)))
+            n_waiting += len(columns[0])
+            if n_waiting >= most:
+                given, kept = sifted(waiting)
+                yield given
+                waiting, n_waiting = [kept], len(kept[0])
+                most, whole = max(AT_ONCE, 2 * n_waiting), False
+    if n_waiting:
+        given, _ = sifted(waiting)
+        yield where_pairs_meet(given) if whole else given
+
+
+def sifted(waiting: list[tuple[np.ndarray, ...]]) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+    """(rows of shingles with several classes that were not given yet, the first row of each shingle). The last column
+    tells of a kept row whether its shingle's rows so far, itself included, were given."""
+    columns = [np.concatenate(c) for c in zip(*waiting)]
+    order = np.lexsort((~columns[-1], columns[1], columns[0])) if columns[-1].any() else np.lexsort((columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*MEETING, "given"])
+    shared = pa.concat_batches([rows.slice(0, 0), *shared_rows(iter([rows]))])
+    shingle, own, given = columns[0], columns[1], columns[-1]
+    start = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+    end = np.append(start[1:], len(shingle)) - 1
+    given = np.logical_or.reduceat(given, start) | (own[end] != own[start])
+    return shared.filter(pc.invert(shared.column("given"))).select(MEETING), (*(c[start] for c in columns[:-1]), given)
+
+
+def where_pairs_meet(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Of all rows of some shingles, sorted by shingle, those where a match can have its first common shingle. The smaller
+    of two sets that match has eight ninths of its shingles in common with the other, so the first is among its first
+    ninth and one more; behind that a row only serves as the greater set of a pair."""
+    shingle, n, at = (rows.column(c).to_numpy() for c in (0, 2, 3))
+    if not len(shingle):
+        return rows
+    as_smaller = at <= n - (n * 2 * SAME + SAME + OF - 1) // (SAME + OF)
+    start = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+    rows_each = np.diff(np.append(start, len(shingle)))
+    smallest = np.minimum.reduceat(np.where(as_smaller, n, np.iinfo(np.int64).max), start)
+    stays = as_smaller | (n > np.repeat(smallest, rows_each))
+    return rows.filter(pa.array(stays & np.repeat(np.add.reduceat(stays.astype(int), start) > 1, rows_each)))
+
+
+def meeting_classes(texts: DataFrame, ranks: np.ndarray, n_words: int) -> DataFrame:
+    """(shingle, class, n, at, odd): the classes that share a prefix shingle with another. Packed rows take less room to
+    shuffle than rows of longs, and are sorted as arrays; the number of buckets grows with the number of words."""
     ranks = texts.sparkSession.sparkContext.broadcast(ranks)
-    rows = texts.select("text").mapInArrow(lambda batches: prefix_task(ranks.value)(batches),
-                                           "shingle long, class long, n int, at int, odd long")
-    in_order = rows.repartition("shingle").sortWithinPartitions("shingle", "class")
-    return stored(in_order.mapInArrow(shared_rows, in_order.schema), "meeting")
+    buckets = max(64, 1 << (n_words // WORDS_IN_A_BUCKET).bit_length())
+    blobs = texts.select("text").mapInArrow(lambda batches: prefix_task(ranks.value, buckets)(batches),
+                                            ", ".join(["bucket int", *(f"{c} binary" for c in (*MEETING, "odd_high"))]))
+    return stored(blobs.repartition(buckets // 2, "bucket").mapInArrow(
+        shared_packed, "shingle long, class long, n long, at long, odd long"), "meeting")
 
 
 def later_classes(texts: DataFrame, met: DataFrame, classes: DataFrame) -> DataFrame:
     """(class,) of the classes that an earlier one matches. ``classes``: class, first (its first place), lines."""
     there = Window.partitionBy("shingle")
-    places = F.sort_array(F.collect_list(F.struct("at", "shingle")))  # a class's meeting shingles, part of its prefix
+    places = F.sort_array(F.collect_set(F.struct("at", "shingle")))  # a class's meeting shingles, part of its prefix
     by_class = met.groupBy("class", "n", "odd").agg(places.alias("places")).join(classes, "class")
     placed = by_class.select("*", F.posexplode("places").alias("nth", "place"))
     before = F.when(F.col("nth") <= BEFORE, F.transform(F.slice("places", F.lit(1), F.col("nth")), lambda p: p["shingle"]))
@@ -411,7 +520,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         F.col(text_col).alias("text"))
     scanned = stored(texts.mapInArrow(first_task, FIRST), "lines")
     lines = scanned.where("slice is null").select("id", "key", "class", "line_no")
-    met = meeting_classes(texts, rarities(scanned.where("slice is not null")))
+    met = meeting_classes(texts, *rarities(scanned.where("slice is not null")))
     place = F.struct("id", "key", "line_no")
     classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("lines"))
     classes = stored(classes.join(met.select("class", F.lit(True).alias("meets")).distinct(), "class", "left")
@@ -435,10 +544,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = keyed.join(slots, slot, "left_semi").join(found.hint("shuffle_hash"), key, "left")  # texts aren't sorted
     untouched = keyed.join(slots, slot, "left_anti").withColumn(removed, F.lit(None).cast("array<int>"))
     joined = joined.unionByName(untouched)
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(removed))
+    # Split once, in a column of its own: in a lambda it would be split anew for each line.
+    split = fresh(joined, "split_lines")
+    joined = joined.withColumn(split, F.when(F.col(removed).isNotNull(), F.split(F.col(text_col), "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(removed))
     text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+        F.array_join(F.transform(kept, lambda i: F.get(F.col(split), i)), "\n"))
     count = [] if count_col is None else [F.coalesce(F.size(removed), F.lit(0)).alias(count_col)]
     done = joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in [*docs.columns, removed]], *count)
     if drop_emptied:
