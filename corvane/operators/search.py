@@ -19,11 +19,12 @@ from corvane.functions import numeric
 from corvane.functions import text as tx
 from corvane.operators import features
 from corvane.plans.ranking import top_k_per_group
-from corvane.plans.runtime import cut_lineage
+from corvane.plans.runtime import cut_lineage, cut_lineage_dealt, stored
 
 # Saturation and length normalisation of BM25.
 K1 = 1.2
 B = 0.75
+COMMON = 1 << 16  # terms whose weights go to every task
 QUERY_BLOCK = 4096  # query vectors that a task multiplies at once
 ROWS_AT_ONCE = 2048  # rows that they are multiplied with
 
@@ -76,23 +77,35 @@ def stored_texts(docs: DataFrame, ids: Sequence, key: str, text_col: str) -> Dat
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, key: str = "id", text_col: str = "text_clean",
                  min_doc_freq: int = 0) -> DataFrame:
     """(query_id, doc_id, score) of every document sharing a weighted term with the query."""
-    tokens = features.tokenised(docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text_clean")))
-    postings = cut_lineage(features.term_counts(tokens, "doc_id"))
+    # Dealt by document once: its terms are counted there, its scores added up there, and its length but for rare terms.
+    dealt = docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text_clean")).repartition("doc_id")
+    postings = cut_lineage_dealt(features.term_counts(features.tokenised(dealt), "doc_id"))
     n_docs = docs.agg(F.count("*")).scalar()
-    idf = cut_lineage(features.document_frequency(postings).where(F.col("df") >= min_doc_freq)
-                      .select("term", features.smoothed_idf(n_docs, F.col("df")).alias("idf")))
-    weights = postings.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    asked = cut_lineage(query_terms(queries).join(idf, "term")
-                        .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw")))
+    idf = stored(features.document_frequency(postings).where(F.col("df") >= min_doc_freq)
+                 .select("term", "df", features.smoothed_idf(n_docs, F.col("df")).alias("idf")), "idf")
+    asked = stored(query_terms(queries).join(idf, "term")
+                   .select("query_id", "term", "idf", (F.col("qtf") * F.col("idf")).alias("qw")), "asked")
     asked_size = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_size"))
-    size = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = (weights.join(asked, "term").groupBy("query_id", "doc_id")
-            .agg(F.sum(F.col("w") * F.col("qw")).alias("dot")))
+    size = squared_lengths(postings, idf).select("doc_id", F.sqrt("squares").alias("size"))
+    dots = (postings.join(asked, "term").groupBy("query_id", "doc_id")
+            .agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot")))
     lengths = F.col("size") * F.col("q_size")
     return (dots.join(size, "doc_id").join(asked_size, "query_id").where(lengths > 0)
             .select("query_id", "doc_id", (F.col("dot") / lengths).alias("score")))
 
 
+def squared_lengths(postings: DataFrame, idf: DataFrame) -> DataFrame:
+    """(doc_id, squares) with the sum of squared weights. Postings of the ``COMMON`` most frequent terms meet their idf in
+    place and leave as one sum for each document and task; only the others are shuffled by term."""
+    common = stored(idf.orderBy(F.desc("df"), "term").limit(COMMON), "common").select("term", "idf")
+    rare = idf.join(F.broadcast(common.select("term")), "term", "left_anti").select("term", "idf")
+    left = postings.join(F.broadcast(common.select("term")), "term", "left_anti")
+    square = (F.col("tf") * F.col("idf")) * (F.col("tf") * F.col("idf"))
+    sums = [p.groupBy("doc_id").agg(F.sum(square).alias("squares"))
+            for p in (postings.join(F.broadcast(common), "term"), left.join(rare, "term"))]
+    return sums[0].union(sums[1]).groupBy("doc_id").agg(F.sum("squares").alias("squares"))
+
+
 def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataFrame:
     return ranked(tfidf_cosine(docs, queries, **options), k)
 

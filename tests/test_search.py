@@ -187,3 +187,45 @@ def test_odd_vectors(spark):
     assert [(r.query_id, r.doc_id) for r in found.hits.orderBy("rank").collect()] == [(0, 1), (0, 2), (0, 8)]
     with pytest.raises(ValueError):
         neighbours.build(frame(spark, [(1, None)]), new_path(spark, "vectors"))
+
+
+# ---- TF-IDF cosine -------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("common", [1, 3, 1 << 16])
+def test_tfidf_cosine_as_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(search, "COMMON", common)  # the others meet their weights by a shuffle
+    rng = random.Random(common)
+    docs = [(i % 35, " ".join(f"t{int(rng.paretovariate(0.7)) % 25}" for _ in range(rng.randrange(0, 12)))) for i in range(40)]
+    docs += [(50, None), (51, "")]
+    queries = [(1, "t1 t2 t2"), (2, "t4 t9 unknown"), (3, ""), (4, docs[0][1] + " t3")]
+    words = {}
+    for d, text in docs:  # rows of one key are one document
+        for w in (text or "").split():
+            words.setdefault(d, []).append(w)
+    df = {w: sum(w in v for v in words.values()) for v in words.values() for w in v}
+    idf = {w: math.log((len(docs) + 1) / (n + 1)) for w, n in df.items() if n >= 2}
+
+    def weights(tokens):
+        return {w: tokens.count(w) * idf[w] for w in tokens if w in idf}
+
+    def size(x):
+        return math.sqrt(sum(v * v for v in x.values()))
+
+    wanted = {}
+    for q, text in queries:
+        asked = weights(text.split())
+        for d, tokens in words.items():
+            here = weights(tokens)
+            if (lengths := size(asked) * size(here)) > 0 and asked.keys() & here.keys():
+                wanted[q, d] = sum(v * here.get(w, 0) for w, v in asked.items()) / lengths
+    frames = spark.createDataFrame(docs, "id long, text_clean string"), spark.createDataFrame(queries, "query_id long, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in search.tfidf_cosine(*frames, min_doc_freq=2).collect()}
+    assert got == pytest.approx(wanted, abs=1e-9)
+
+
+def test_tfidf_scores_are_added_up_where_documents_are(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5}") for i in range(60)], "id long, text_clean string")
+    queries = spark.createDataFrame([(1, "a b1"), (2, "c2")], "query_id long, text string")
+    plan = search.tfidf_cosine(docs, queries)._jdf.queryExecution().sparkPlan().toString()
+    prepared = search.tfidf_cosine(docs, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "dot" in plan and not any("hashpartitioning(query_id" in x and "doc_id" in x for x in prepared.splitlines())
