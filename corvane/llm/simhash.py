@@ -7,8 +7,8 @@ such pair a link, and the bit distance is checked all the same.
 The variants are shuffled on their first ``PREFIX`` bits. All variants of a fingerprint that share those bits travel as
 one row, (bits, fingerprint), and the receiving task writes them out again: 79 rows instead of 2081 for r = 2, nothing
 lost. A prefix holding more than ``HOT`` rows is dealt on by the next ``MORE`` bits in the same way; the list of such
-prefixes has at most 2 ** PREFIX rows. A task sorts variants in slices of bounded size and sends one row per linked
-fingerprint (a spanning forest of what it saw), never the pairs of a group.
+prefixes has at most 2 ** PREFIX rows. A task sorts variants in slices of bounded size, those of a prefix that has more by
+their next bits, and sends one row per linked fingerprint (a spanning forest of what it saw), never the pairs of a group.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; rows with equal ids or texts are rows of their own; a null id is never a component's name unless the
@@ -18,6 +18,7 @@ component has no other; the empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -38,7 +39,7 @@ MORE = 8
 HOT = 200_000
 SEED = 42  # fixed value of the fingerprint's definition
 HASHES_AT_ONCE = 1 << 15
-VARIANTS_AT_ONCE = 4_000_000
+VARIANTS_AT_ONCE = 500_000
 
 
 # ---- fingerprints --------------------------------------------------------------------------------------------
@@ -80,6 +81,7 @@ def as_hex(fp: Column) -> Column:
 
 # ---- ball hashing --------------------------------------------------------------------------------------------
 
+@cache
 def flips(bits: int, most: int) -> list[int]:
     """All masks over ``bits`` bits with up to ``most`` set, by number of set bits."""
     return [sum(1 << i for i in chosen) for w in range(most + 1) for chosen in combinations(range(bits), w)]
@@ -110,28 +112,57 @@ def spread_balls(distinct: DataFrame, radius: int, hot: int) -> DataFrame:
             .select((F.col("prefix") * (1 << (MORE + 1)) + F.col("part")).alias("key"), "fp"))
 
 
-def variants(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(variant, fingerprint) for every variant that the rows (key, fp) stand for."""
+def ball(want: np.ndarray, fixed: int, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variant, fingerprint) for every variant that starts with the ``fixed`` bits ``want``, one for all or one a row."""
+    moved = (fps >> np.uint64(BITS - fixed)) ^ want
+    left = radius - np.bitwise_count(moved).astype(np.int64)
+    base = fps ^ (moved << np.uint64(BITS - fixed))
+    for budget in range(radius + 1):
+        mine = left == budget
+        if mine.any():
+            masks = np.array(flips(BITS - fixed, budget), np.uint64)
+            yield ((base[mine][:, None] ^ masks[None, :]).ravel(), np.repeat(fps[mine], len(masks)))
+
+
+def first_bits(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, first bits, their number) for the keys without next bits, and for those with them."""
     prefix, part = keys >> np.uint64(MORE + 1), keys & np.uint64((1 << (MORE + 1)) - 1)
     for refined in (False, True):
         rows = np.flatnonzero((part > 0) == refined)
-        if not len(rows):
-            continue
-        fixed = PREFIX + (MORE if refined else 0)
-        want = (prefix[rows] << np.uint64(MORE)) | (part[rows] - np.uint64(1)) if refined else prefix[rows]
-        moved = (fps[rows] >> np.uint64(BITS - fixed)) ^ want
-        left = radius - np.bitwise_count(moved).astype(np.int64)
-        base = fps[rows] ^ (moved << np.uint64(BITS - fixed))
-        for budget in range(radius + 1):
-            mine = left == budget
-            if mine.any():
-                masks = np.array(flips(BITS - fixed, budget), np.uint64)
-                yield ((base[mine][:, None] ^ masks[None, :]).ravel(), np.repeat(fps[rows][mine], len(masks)))
+        if len(rows):
+            yield (rows, (prefix[rows] << np.uint64(MORE)) | (part[rows] - np.uint64(1)) if refined else prefix[rows],
+                   PREFIX + (MORE if refined else 0))
+
+
+def counted(want: np.ndarray, fixed: int, fps: np.ndarray, radius: int) -> np.ndarray:
+    """The number of variants in ``ball`` of each row."""
+    left = radius - np.bitwise_count((fps >> np.uint64(BITS - fixed)) ^ want).astype(np.int64)
+    sizes = np.array([len(flips(BITS - fixed, budget)) for budget in range(radius + 1)] + [0])
+    return sizes[np.maximum(left, -1)]
 
 
 def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(child, root) of the fingerprints that share a variant."""
-    made = list(variants(keys, fps, radius))
+    return met([made for rows, want, fixed in first_bits(keys) for made in ball(want, fixed, fps[rows], radius)], radius)
+
+
+def linked_within(want: np.uint64, fixed: int, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the variants that start with the ``fixed`` bits ``want``, too many of them by the bits that follow."""
+    if counted(want, fixed, fps, radius).sum() <= VARIANTS_AT_ONCE or fixed + MORE > BITS:
+        return met(list(ball(want, fixed, fps, radius)), radius)
+    found = []
+    for bits in range(1 << MORE):
+        longer = (want << np.uint64(MORE)) | np.uint64(bits)
+        mine = fps[np.bitwise_count((fps >> np.uint64(BITS - fixed - MORE)) ^ longer) <= radius]
+        if len(mine) > 1:
+            found.append(linked_within(longer, fixed + MORE, mine, radius))
+    if not found:
+        return fps[:0], fps[:0]
+    return forest(np.concatenate([root for _, root in found]), np.concatenate([child for child, _ in found]))
+
+
+def met(made: list[tuple[np.ndarray, np.ndarray]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(child, root) of the fingerprints that share one of these variants."""
     value, owner = np.concatenate([v for v, _ in made]), np.concatenate([o for _, o in made])
     ordered = np.sort(value)
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
@@ -155,22 +186,35 @@ def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 def collide(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links within a task whose rows come sorted by key."""
-    keys, fps = np.empty(0, np.uint64), np.empty(0, np.uint64)
-    at_once = VARIANTS_AT_ONCE // 26  # a row stands for 26 variants on average
-
-    def out(upto: int) -> pa.RecordBatch:
-        child, root = linked(keys[:upto], fps[:upto], radius)
-        return pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(root.view(np.int64))], ["src", "dst"])
+    keys, fps, sizes = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def out(upto: int) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.r_[True, keys[1:upto] != keys[:upto - 1], True])  # of each key, and the end
+        before = np.r_[0, np.cumsum(sizes[:upto])][first]
+        at = 0
+        while at < len(first) - 1:
+            end = int(np.searchsorted(before, before[at] + VARIANTS_AT_ONCE, "right")) - 1
+            if end > at:
+                child, root = linked(keys[first[at]:first[end]], fps[first[at]:first[end]], radius)
+            else:  # one key has more variants than that
+                end = at + 1
+                (_, want, fixed), = first_bits(keys[first[at]:first[at] + 1])
+                child, root = linked_within(want[0], fixed, fps[first[at]:first[end]], radius)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(root.view(np.int64))], ["src", "dst"])
+            at = end
 
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy().view(np.uint64)])
-        fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
+        more, owners = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        count = np.zeros(len(more), np.int64)
+        for rows, want, fixed in first_bits(more):
+            count[rows] = counted(want, fixed, owners[rows], radius)
+        keys, fps, sizes = np.concatenate([keys, more]), np.concatenate([fps, owners]), np.concatenate([sizes, count])
         whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
-        if whole >= at_once:
-            yield out(whole)
-            keys, fps = keys[whole:], fps[whole:]
+        if sizes[:whole].sum() >= VARIANTS_AT_ONCE:
+            yield from out(whole)
+            keys, fps, sizes = keys[whole:], fps[whole:], sizes[whole:]
     if len(keys):
-        yield out(len(keys))
+        yield from out(len(keys))
 
 
 def fingerprint_links(distinct: DataFrame, max_distance: int = 4, hot: int = HOT) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import simhash
@@ -51,6 +53,27 @@ def test_links_are_those_of_all_pairs(spark, hot):
     assert got == cases.components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
 
 
+@pytest.mark.parametrize("one_key", [False, True])
+def test_variants_are_made_in_bounded_slices(one_key):
+    """However many rows a task or one of its keys has; the links stay those of all pairs."""
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << (52 if one_key else 63), 4_000, np.uint64))
+    near = fps[:500] ^ (np.uint64(1) << rng.integers(0, 52, 500).astype(np.uint64))
+    fps = np.concatenate([fps, np.setdiff1d(near, fps)])
+    keys = (fps >> np.uint64(52)) << np.uint64(simhash.MORE + 1)
+    order = np.argsort(keys, kind="stable")
+    batch = pa.RecordBatch.from_arrays([pa.array(x[order].view(np.int64)) for x in (keys, fps)], ["key", "fp"])
+    whole = simhash.linked(keys[order], fps[order], 2)
+    tracemalloc.start()
+    made = list(simhash.collide((batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)), 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    child, root = (np.concatenate([b.column(i).to_numpy().view(np.uint64) for b in made]) for i in (0, 1))
+    assert len(whole[0]) >= 400
+    assert all((a == b).all() for a, b in zip(simhash.forest(root, child), whole))
+    assert peak < 60e6
+
+
 def test_one_of_each_group_stays(spark):
     docs = cases.documents(spark, extra=True)
     kept = simhash.near_dedup(docs)
