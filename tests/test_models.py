@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import functions as F
 
 from corvane.operators import classify, encode, evaluate, features, nmf, search, topics
@@ -48,6 +49,34 @@ def test_ablation_resumes(spark, docs):
     assert [r.config for r in spark.read.parquet(path).orderBy("config").collect()] == ["one", "two"]
 
 
+def test_ablation_makes_tokens_once_and_counts_words_once_for_all_sizes(spark, monkeypatch):
+    """The scores are those of a fit of its own for each setting."""
+    rows = [(i, "ab"[i % 2], " ".join(f"w{j:02}" for j in range(12) if i >= 5 * j) + " odd" * (i % 2) * (i % 3))
+            for i in range(70)]
+    docs = spark.createDataFrame(rows, "id long, label_str string, text_clean string")
+    settings = (("five", 5, False), ("eight", 8, False), ("all", 100, False), ("grams", 100, True))
+    wanted = {}
+    for name, size, bigrams in settings:
+        stages = features.vocabulary_stages(size, 2.0, bigrams=bigrams, min_length=2).getStages()
+        outcome = classify.run_classifier(docs, Pipeline(stages=[*stages, classify.naive_bayes()]))
+        wanted[name] = tuple(outcome.metrics.first())
+    calls = {"tokens": 0, "fits": 0}
+
+    def told(what, given):
+        def call(*args, **kwargs):
+            calls[what] += 1
+            return given(*args, **kwargs)
+        return call
+
+    monkeypatch.setattr(features, "token_stages", told("tokens", features.token_stages))
+    monkeypatch.setattr(CountVectorizer, "fit", told("fits", CountVectorizer.fit))
+    log = spark.read.parquet(classify.ablation(docs, settings=settings, estimator=classify.naive_bayes))
+    assert calls == {"tokens": 1, "fits": 2}
+    got = {r["config"]: tuple(v for c, v in r.asDict().items() if c not in ("config", "vocab_size", "bigrams"))
+           for r in log.select("config", "vocab_size", "bigrams", *outcome.metrics.columns).collect()}
+    assert got == {name: pytest.approx(row) for name, row in wanted.items()}
+
+
 def test_report_keeps_labels_never_predicted(spark):
     counts = spark.createDataFrame([("x", "y", 3), ("y", "y", 2)], "label string, prediction string, n long")
     report = {r.label: (r.precision, r.recall, r.f1, r.support) for r in evaluate.class_report(counts).collect()}
