@@ -229,3 +229,16 @@ def test_tfidf_scores_are_added_up_where_documents_are(spark):
     plan = search.tfidf_cosine(docs, queries)._jdf.queryExecution().sparkPlan().toString()
     prepared = search.tfidf_cosine(docs, queries)._jdf.queryExecution().executedPlan().toString()
     assert "dot" in plan and not any("hashpartitioning(query_id" in x and "doc_id" in x for x in prepared.splitlines())
+
+
+def test_queries_and_postings_are_not_repeated(spark, monkeypatch):
+    """Ten blocks of queries on many groups: what is shuffled before they meet doesn't grow with either number."""
+    for name, value in (("SHARD", 30), ("TERMS", 30), ("GROUP", 200)):
+        monkeypatch.setattr(textindex, name, value)
+    docs, asked = list(enumerate(texts(5, 200))), [(f"q{i}", t) for i, t in enumerate(texts(6, 40))]
+    index = textindex.build(spark.createDataFrame(docs, "id long, text_clean string").repartition(4), new_path(spark, "texts"))
+    assert index.shards.agg(F.count_distinct("group")).first()[0] > 5
+    hits = textindex.search(index, spark.createDataFrame(asked, "query_id string, text string"), 5)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") > 5 and "FlatMapCoGroups" not in plan and "Generate" not in plan
+    assert sorted((q, d, round(s, 9), r) for q, d, s, r in hits.collect()) == bm25(docs, asked, 5)
