@@ -328,3 +328,30 @@ def test_one_decomposition_at_a_time(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 2), float(i % 3), 1.0]) for i in range(40)], "id long, embedding array<float>")
     found = topics.repeated_runs(rows.withColumn("tokens", F.array(F.lit("w"))), (1, 2), k=2, dims=2, min_size=1)
     assert found.count() == 2 and seen == [True, True]
+
+
+@pytest.fixture(scope="module")
+def embedded(spark):
+    rows = [(i, f"w{i % 3} w{i % 5} common".split(), [float(i % 3 == 0) + 0.01 * (i % 7), float(i % 3 == 1) + 0.02 * (i % 5), 0.3]) for i in range(90)]
+    return spark.createDataFrame(rows, "id long, tokens array<string>, embedding array<float>")
+
+
+@pytest.mark.parametrize("again", [0, 1])
+def test_run_has_the_words_of_a_join_by_id(spark, embedded, again):
+    """Documents get their topics in place; those that come twice, and those without an id, as the join has them."""
+    docs = embedded.unionByName(embedded.where("id % 4 = 0")) if again else embedded
+    docs = runtime.cut_lineage(docs.unionByName(embedded.where("id < 5").withColumn("id", F.lit(None).cast("long"))).coalesce(1))
+    options = dict(k=3, dims=2, min_size=2, seed=3)
+    words, row = topics.cluster_topic_run(docs, **options)
+    found = topics.embedding_clusters(docs, **options)
+    assert values(words) == values(topics.top_terms(topics.class_tfidf(docs.join(found, "id")), 10))
+    assert row.first()["n_topics"] == found.where("topic <> -1").select("topic").distinct().count()
+
+
+def test_runs_keep_no_copies_of_texts_and_vectors(spark, embedded, monkeypatch):
+    kept = []
+    monkeypatch.setattr(topics, "cut_lineage", lambda df: kept.append(df.dtypes) or runtime.cut_lineage(df))
+    monkeypatch.setattr(topics, "stored", lambda df, name: kept.append(df.dtypes) or runtime.stored(df, name))
+    assert topics.repeated_runs(embedded, range(3), 0.8, k=3, dims=2, min_size=2).count() == 3
+    assert sum(("tokens", "array<string>") in columns for columns in kept) == 1
+    assert sum(("embedding", "array<float>") in columns for columns in kept) == 1
