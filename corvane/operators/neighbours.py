@@ -34,7 +34,8 @@ MOST_CELLS = 16_384
 FIT_PER_CELL = 256  # rows that the fit sees for each cell
 GROUP_CELLS = 16  # cells in a group, on average
 PART = 32_768  # rows of a group that meet queries at once
-QUERIES = 4096  # queries that meet a part at once
+QUERIES = 4096  # queries that are compared with a part at once
+VISITORS = 1 << 14  # queries that a copy of a part is made for
 STRETCH = 512  # rows of a cell that are compared at once
 MEASURED = 512  # rows whose true neighbours set the number of cells to probe
 SLACK = 1e-6  # of distances, for rounding
@@ -190,11 +191,11 @@ def located(queries: DataFrame, index: VectorIndex, probes: int) -> DataFrame:
 
 
 class Pool:
-    """The best rows of each query so far."""
+    """The best rows of each query so far. Rows farther than ``reach`` are beaten by k others of another part."""
 
     def __init__(self, n: int, k: int, reach: np.ndarray):
         self.k, self.reach = k, reach
-        self.worst = np.full(n, -np.inf)
+        self.worst = 1.0 - reach * reach / 2 - 1e-8
         self.query, self.at, self.score = [], [], []
 
     def add(self, queries: np.ndarray, score: np.ndarray, start: int, own: np.ndarray) -> None:
@@ -223,7 +224,7 @@ def met(visits: DataFrame, index: VectorIndex, k: int, exclude_self: bool) -> Da
     """(query_id, doc_id, score): the best ``k`` rows of every part that a query visits, and a row without ``doc_id`` with
     the number of rows it was compared with. ``visits`` is (query_id, vector, group, cells, reach). Queries and rows meet by
     part and block of queries, so both sides of a meeting are bounded."""
-    asked = visits.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    asked = visits.groupBy("group").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("blocks"))
     sizes = cut_lineage(asked.join(index.groups.select("group", "parts"), "group"))
     dealt = visits.join(F.broadcast(sizes), "group").select(
         "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
@@ -233,16 +234,24 @@ def met(visits: DataFrame, index: VectorIndex, k: int, exclude_self: bool) -> Da
     asks, holds = visits.schema["query_id"].dataType.simpleString(), index.rows.schema["id"].dataType.simpleString()
     held = visits.sparkSession.sparkContext.broadcast(index.centroids)
 
+    at_once = QUERIES
+
     def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        q, ids = mine["query_id"].combine_chunks(), theirs["id"].combine_chunks()
-        if not len(q) or not len(ids):
-            return pa.table([q.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], ["query_id", "doc_id", "score"])
-        cell, away = theirs["cell"].to_numpy(), theirs["distance"].to_numpy()
+        cell, away, ids = theirs["cell"].to_numpy(), theirs["distance"].to_numpy(), theirs["id"].combine_chunks()
         order = np.lexsort((away, cell))
         cell, away, ids = cell[order], away[order], ids.take(pa.array(order))
-        rows = unit_rows(theirs["vector"].combine_chunks())[order]
+        rows = unit_rows(theirs["vector"].combine_chunks())[order] if len(ids) else None
+        names = np.array(ids.to_pylist())
+        _, rank = np.unique(names, return_inverse=True)
+        found = [pa.table([mine["query_id"].combine_chunks().slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], ["query_id", "doc_id", "score"])]
+        for first in range(0, len(mine) if len(ids) else 0, at_once):
+            found.append(compared_with(mine.slice(first, at_once), cell, away, ids, names, rank, rows))
+        return pa.concat_tables(found)
+
+    def compared_with(mine: pa.Table, cell, away, ids, names, rank, rows) -> pa.Table:
+        q = mine["query_id"].combine_chunks()
         asking = unit_rows(mine["vector"].combine_chunks())
-        names, own_names = np.array(ids.to_pylist()), np.array(q.to_pylist())
+        own_names = np.array(q.to_pylist())
         lists = mine["cells"].combine_chunks()
         visitor, visited = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
         by_cell = np.argsort(visited, kind="stable")
@@ -263,7 +272,6 @@ def met(visits: DataFrame, index: VectorIndex, k: int, exclude_self: bool) -> Da
                     compared[near] += z - a
                     own = own_names[near][:, None] == names[None, a:z] if exclude_self else np.zeros((len(near), z - a), bool)
                     pool.add(near, asking[near] @ rows[a:z].T, a, own)
-        _, rank = np.unique(names, return_inverse=True)
         query, at, score = pool.best(rank)
         none = pa.nulls(len(q), ids.type)
         return pa.table([pa.concat_arrays([q.take(pa.array(query)), q]), pa.concat_arrays([ids.take(pa.array(at)), none]),

@@ -242,3 +242,24 @@ def test_queries_and_postings_are_not_repeated(spark, monkeypatch):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") > 5 and "FlatMapCoGroups" not in plan and "Generate" not in plan
     assert sorted((q, d, round(s, 9), r) for q, d, s, r in hits.collect()) == bm25(docs, asked, 5)
+
+
+def test_rows_beaten_by_nearer_ones_are_not_handed_on(spark, monkeypatch):
+    """Rows beyond a query's reach stay in the task; copies of parts and blocks of queries change nothing."""
+    monkeypatch.setattr(neighbours, "VISITORS", 30)
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    draw = np.random.default_rng(4).normal(size=(200, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw)], "id long, embedding array<float>")
+    index = neighbours.build(df, new_path(spark, "vectors"), cells=6)
+    asked = df.selectExpr("id AS query_id", "embedding AS vector")
+    visits = neighbours.located(asked, index, 6).withColumn("reach", F.lit(0.3))
+    hits = neighbours.met(visits, index, 10, True).where("doc_id IS NOT NULL").collect()
+    unit = draw.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = unit @ unit.T - 9 * np.eye(200)
+    near = {(q, d) for q, d in zip(*np.nonzero(cosine >= 1 - 0.3 ** 2 / 2)) if (cosine[q] > cosine[q, d]).sum() < 10}
+    assert near <= {(h.query_id, h.doc_id) for h in hits}
+    assert min(h.score for h in hits) > 1 - 0.3 ** 2 / 2 - 1e-7
+    exact = [(r.query_id, r.doc_id, r["rank"]) for r in neighbours.search(index, asked, 10, exclude_self=True).hits.collect()]
+    want = [(q, d, r) for q in range(200) for r, d in enumerate(np.lexsort((np.arange(200), -np.round(cosine[q], 9)))[:10], 1)]
+    assert sorted(exact) == sorted(want)
